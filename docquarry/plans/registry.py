@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("scalars",)
+
+
+def _gathered(what: str) -> dict:
+    out = {}
+    for name in MODULES:
+        out |= getattr(import_module(f"{__package__}.{name}"), what)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _gathered("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _gathered("SQL")
