@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars",)
+MODULES = ("scalars", "lines")
 
 
 def _gathered(what: str) -> dict:
