@@ -141,8 +141,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
 
 def confirm(pairs: DataFrame, docs: DataFrame, least: int = LEAST, k: int = SHINGLE) -> DataFrame:
     """Those pairs a, b of documents whose full shingle sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
-    few = nodes.limit(MOST_SENT + 1).count() <= MOST_SENT
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    few = nodes.count() <= MOST_SENT
     docs = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: int = LEAST, k: int = SHIN
 
     made = settle(docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, held binary").dropDuplicates(["doc_id"]))
     both = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").join(made.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").checkpoint()
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def _unjoined(members: DataFrame, block: int) -> DataFrame:
@@ -233,16 +233,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     least_of = placed.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.count("*").alias("members")).filter("members > 1")
     met = settle(placed.join(least_of.select("bucket", "members", F.col("first.node").alias("first"), F.col("first.n_shingles").alias("first_n")), "bucket"))
     sized = 100 * F.least("n_shingles", "first_n") >= least * F.greatest("n_shingles", "first_n")
-    pairs = met.filter(sized & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().checkpoint()
-    links = confirm(pairs, docs, least, k)
+    pairs = met.filter(sized & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = settle(pairs)
+    links = settle(confirm(pairs, docs, least, k))
     found = components(links)
     # buckets that these links don't join: members are compared with each other
     seen = met.filter("members > 2").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     open_ = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     members = seen.join(open_, "bucket").join(reps.select("node", "places"), "node")
-    more = _unjoined(members, block).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    more = settle(_unjoined(members, block).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        found = components(links.union(confirm(more, docs, least, k)))
+        # links between components: these are few, and joining them moves whole components
+        end = lambda c: F.coalesce(f"component_{c}", c)
+        new = confirm(more, docs, least, k)
+        for c in ("a", "b"):
+            new = new.join(found.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"component_{c}")), F.col(c) == F.col(f"node_{c}"), "left")
+        joined = components(new.select(end("a").alias("a"), end("b").alias("b"))).select(F.col("node").alias("from"), F.col("component").alias("to"))
+        alone = joined.join(found.select(F.col("node").alias("from")), "from", "left_anti")
+        found = found.join(joined, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
     of = classes.select("set_key", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of, (F.col("set_key") == F.col("class_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
