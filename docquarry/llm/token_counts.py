@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .tokenizing import WordEncoder, tokenizer_path
+from .tokenizing import encoder as encoder_of, tokenizer_path
 
 #: Lengths are summed in ranges of so many first, so that no window runs over all of them.
 RANGE = 1024
@@ -29,7 +29,7 @@ def length_histogram(docs: DataFrame, text: str = "text", path: str | None = Non
     path = path or tokenizer_path()
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, found = WordEncoder(path), Counter()
+        encoder, found = encoder_of(path), Counter()
         for batch in batches:
             for ids in encoder.encode_batch(batch.column(0).to_pylist()):
                 found[len(ids) // encoder.dtype.itemsize + extra] += 1

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import fresh_path, mix, settle
-from .tokenizing import WordEncoder, tokenizer_path
+from .tokenizing import encoder as encoder_of, tokenizer_path
 
 MAGIC = b"IDSHARD1"
 #: Ids of a shard: about 8 MB, so that one fits any task many times over.
@@ -148,7 +148,7 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
     rows = rows.repartitionByRange(*([partitions] if partitions else []), "key", "tie").sortWithinPartitions("key", "tie")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, partition, sequence = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, partition, sequence = encoder_of(path), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         keys, ids, held = [], [], 0
 

@@ -7,6 +7,8 @@ each task and remembered; the memory is bounded."""
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,10 +24,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_MARKS, _MARKED = (b".", b","), re.compile(rb"[^<]*[A-Za-z][.,]", re.S)
+
+
 class WordEncoder:
     """ids() and counts() of texts; None counts as the empty text."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -36,10 +41,30 @@ class WordEncoder:
         new = [w for w in found if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known, new = {}, list(found)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        # a mark after a letter is a piece of its own, and A-Z counts as a-z
+        whole = {w: w if b"<|" in w else (w[:-1] if _MARKED.fullmatch(w) else w).lower() for w in new}
+        stems = [*({*whole.values()} - self.known.keys()), *_MARKS]
+        # words of letters alone are one piece each: many of them are encoded as one text
+        plain = [w for w in stems if w.decode().isalpha()]
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            e = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids, width = np.array(e.ids, self.dtype).tobytes(), self.dtype.itemsize
+            word = np.array(e.word_ids)
+            if len(word) and word[-1] != len(part) - 1:  # some letter isn't one to the tokenizer
+                stems += part
+                continue
+            cut = np.searchsorted(word, np.arange(len(part) + 1)) * width
+            self.known.update(zip(part, (ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), strict=True))
+        rest = [w for w in stems if w not in self.known]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, stem in whole.items():
+            if w is not stem:
+                marked = len(stem) < len(w)
+                self.known[w] = self.known[stem] + (self.known[w[-1:]] if marked else b"")
         return self.known
 
     def encode(self, text: str | None) -> bytes:
@@ -56,6 +81,14 @@ class WordEncoder:
         """As encode(), with one call of the tokenizer for the new words of small batches."""
         short = [t.encode() for t in texts if t and len(t) < 100_000]
         new = set(chain.from_iterable(t.split() for t in short)) - self.known.keys()
-        if len(self.known) + len(new) <= self.most:
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, set(chain.from_iterable(t.split() for t in short))
+        if len(new) <= self.most:
             self._learn(new)
         return [self.encode(t) for t in texts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The process's encoder of a file: later tasks of a worker find the words of earlier ones."""
+    return WordEncoder(path)
