@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import settle
+
 #: A block has about this many rows; a source has at most so many blocks.
 BLOCK_ROWS, MOST_BLOCKS = 256, 4096
 #: The exponent is found to this many decimals.
@@ -84,7 +86,7 @@ def mixture(docs: DataFrame, source: str = "source", text: str = "text", key: st
         raise ValueError(f"columns of the result are there already: {clash}")
     cost = word_tokens(F.col(text)) if tokens is None else F.coalesce(F.col(tokens), F.lit(0)).cast("long")
     narrow = docs.select(F.col(source).alias("source"), cost.alias("n_tokens"))
-    shares = source_shares(narrow)
+    shares = settle(source_shares(narrow))  # a row for each source: texts are counted once for all steps
     plan = source_plan(narrow, shares, exponent(shares, target_entropy, most_passes), budget, block_rows)
     return _taken(docs, plan, source, cost, key, seed).select(*docs.columns, *added)
 
