@@ -82,6 +82,15 @@ class Model:
     def scorer(self) -> Scorer:
         return Scorer(self)
 
+    def shared_scorer(self) -> Scorer:
+        """The process's scorer: later tasks of a worker find the margins of earlier ones."""
+        if "_scorer" not in self.__dict__:
+            self.__dict__["_scorer"] = self.scorer()
+        return self.__dict__["_scorer"]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
+
 
 class Scorer:
     def __init__(self, model: Model, most_known: int = 500_000):
@@ -190,7 +199,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        s = held.value.scorer()
+        s = held.value.shared_scorer()
         for texts in batches:
             yield pd.Series([s.score(t) for t in texts], dtype=float)
 
