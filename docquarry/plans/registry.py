@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "lines")
+MODULES = ("scalars", "lines", "library", "tenders")
 
 
 def _gathered(what: str) -> dict:
