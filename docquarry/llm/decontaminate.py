@@ -146,10 +146,15 @@ def _search(docs: DataFrame, held) -> DataFrame:
 def decontaminated(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, most: int = MOST_SENT) -> DataFrame:
     """The rows of docs, all columns, whose text overlaps with no test item; nothing is shuffled."""
     for held in _sent(docs.sparkSession, tests, item, item_text, masks, most):
+        docs = docs.filter(_clean(held)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, held=held) -> pd.Series:
-            return pd.Series([not held.value.overlaps(tokens(t)) for t in texts], dtype=bool)
 
-        docs = docs.filter(clean(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    return docs
+def _clean(held):
+    """A function of texts: whether they overlap with none of the items sent."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not held.value.overlaps(tokens(t)) for t in texts], dtype=bool)
+
+    return clean
