@@ -169,11 +169,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: int = LEAST, k: int = SHIN
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _unjoined(members: DataFrame, block: int) -> DataFrame:
+def _unjoined(members: DataFrame, block: int, best: bool) -> DataFrame:
     """Candidate pairs between different components of the same bucket, by signature.
 
     members: bucket, node, n_shingles, component, places. Blocks of a bucket meet in jobs of
-    bounded size, and a job returns only pairs that agree in enough places."""
+    bounded size, and a job returns only pairs that agree in enough places; with best, for
+    each member the one that agrees most, so no more pairs than members."""
     sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
     placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
@@ -186,12 +187,17 @@ def _unjoined(members: DataFrame, block: int) -> DataFrame:
         out = []
         for i in range(len(node)):
             # of two different blocks only pairs across, of one block each pair once
-            near = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i])) & (node > node[i])
+            near = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i]))
+            if not best:
+                near &= node > node[i]
             if blk.min() != blk.max():
                 near &= blk != blk[i]
             j = np.flatnonzero(near)
-            j = j[(p[j] == p[i]).sum(1) >= LEAST_PLACES * p.shape[1] / PLACES]
-            out += [(int(node[i]), int(node[x])) for x in j]
+            same = (p[j] == p[i]).sum(1)
+            j, same = j[same >= LEAST_PLACES * p.shape[1] / PLACES], same[same >= LEAST_PLACES * p.shape[1] / PLACES]
+            if best and len(j):
+                j = j[[int(same.argmax())]]
+            out += [(int(min(node[i], node[x])), int(max(node[i], node[x]))) for x in j]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +223,16 @@ def _unjoined(members: DataFrame, block: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _joined(found: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after new links, which join whole components."""
+    end = lambda c: F.coalesce(f"component_{c}", c)
+    for c in ("a", "b"):
+        new = new.join(found.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"component_{c}")), F.col(c) == F.col(f"node_{c}"), "left")
+    joined = components(new.select(end("a").alias("a"), end("b").alias("b"))).select(F.col("node").alias("from"), F.col("component").alias("to"))
+    alone = joined.join(found.select(F.col("node").alias("from")), "from", "left_anti")
+    return found.join(joined, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
@@ -237,20 +253,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     pairs = settle(pairs)
     links = settle(confirm(pairs, docs, least, k))
     found = components(links)
-    # buckets that these links don't join: members are compared with each other
-    seen = met.filter("members > 2").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    open_ = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    members = seen.join(open_, "bucket").join(reps.select("node", "places"), "node")
-    more = settle(_unjoined(members, block).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        # links between components: these are few, and joining them moves whole components
-        end = lambda c: F.coalesce(f"component_{c}", c)
-        new = confirm(more, docs, least, k)
-        for c in ("a", "b"):
-            new = new.join(found.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"component_{c}")), F.col(c) == F.col(f"node_{c}"), "left")
-        joined = components(new.select(end("a").alias("a"), end("b").alias("b"))).select(F.col("node").alias("from"), F.col("component").alias("to"))
-        alone = joined.join(found.select(F.col("node").alias("from")), "from", "left_anti")
-        found = found.join(joined, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+    # buckets that these links don't join: first each member meets the one most like it among
+    # other components, which joins large groups; then all pairs that are left are looked at
+    tested = pairs
+    for best in (True, True, False):
+        seen = met.filter("members > 2").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+        open_ = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+        members = seen.join(open_, "bucket").join(reps.select("node", "places"), "node")
+        more = settle(_unjoined(members, block, best).join(tested, ["a", "b"], "left_anti"))
+        new = settle(confirm(more, docs, least, k))
+        if new.limit(1).count():
+            found = settle(_joined(found, new))
+        tested = tested.union(more)
     of = classes.select("set_key", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of, (F.col("set_key") == F.col("class_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
