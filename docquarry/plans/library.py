@@ -280,3 +280,17 @@ def stream_upsert(spark, d):
 
 QUERIES["stream_upsert"] = stream_upsert
 SQL["stream_upsert"] = "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def stream_ttl_cache(spark, d):
+    """Events as questions to the cache of their user, in order of time within a batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = folder(spark)
+    ev = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), _status().alias("status"))
+    ev.write.parquet(f"{out}/in")
+    stream = jobs.ttl_cache(jobs.file_source(spark, f"{out}/in", ev.schema, 10_000), "user_id")
+    stream.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/out")
+
+
+QUERIES["stream_ttl_cache"] = stream_ttl_cache

@@ -198,3 +198,5 @@ def context_assembly(spark, d):
 QUERIES["context_assembly"] = context_assembly
 SQL["context_assembly"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC NULLS LAST, turn) AS rank FROM conversations)
   SELECT conv_id, coalesce(string_agg('[' || rank || '] ' || left(text, 2000), chr(10) || chr(10) ORDER BY rank), '') AS text FROM r WHERE rank <= 2 GROUP BY conv_id"""
+QUERIES["role_names"] = lambda s, d: QUERIES["role_lines"](s, d).select("l_orderkey", "pos", "name")
+SQL["role_names"] = f"SELECT l_orderkey, pos, name FROM ({SQL['role_lines']})"

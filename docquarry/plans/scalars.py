@@ -139,3 +139,18 @@ SQL["title_jaccard"] = f"""WITH p AS (SELECT a.item_id, a.text AS x, b.text AS y
   j AS (SELECT *, CASE WHEN len(s) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(s, t))::DOUBLE / len(list_distinct(list_concat(s, t))) END AS j,
     list_filter(string_split({_key('f')}, ' '), lambda w: length(w) >= 4) AS fw, len(regexp_split_to_array({sql_trim('x')}, {quote(f'[{WS}]+')})) AS n, len(regexp_split_to_array({sql_trim('f')}, {quote(f'[{WS}]+')})) AS fn FROM p)
   SELECT item_id, round(j, 9) AS jaccard, j < 0.3 AS mismatch, CASE WHEN fn <= 5 THEN len(fw) > 0 AND len(list_filter(fw, lambda w: contains(k, w))) = 0 ELSE false END AS short_mismatch FROM j"""
+
+
+def _part(of: str, *columns: str):
+    """A query of some columns of another one, and its twin."""
+    key = {"normalize_regulation": "o_orderkey", "normalize_standard": "p_partkey", "title_jaccard": "item_id"}[of]
+    return lambda spark, d: QUERIES[of](spark, d).select(key, *columns), f"SELECT {key}, {', '.join(columns)} FROM ({SQL[of]})"
+
+
+for _name, _of, _cols in (
+    ("regulation_parts", "normalize_regulation", ("id", "year", "month")),
+    ("regulation_query", "normalize_regulation", ("query",)),
+    ("search_term", "normalize_standard", ("term",)),
+    ("title_mismatch", "title_jaccard", ("mismatch", "short_mismatch")),
+):
+    QUERIES[_name], SQL[_name] = _part(_of, *_cols)

@@ -34,3 +34,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 5
+
+
+def test_cache_in_a_stream_answers_as_in_a_loop(spark, data):
+    from docquarry.plans.library import _STATUS_OF
+
+    got = {r.event_id: r.state for r in QUERIES["stream_ttl_cache"](spark, data).collect()}
+    held, want = {}, {}
+    for r in sorted(spark.read.parquet(f"{data}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        old = held.get(r.user_id)
+        fresh = old is not None and (r.ts - old[0]).total_seconds() < 86400 and old[1] != "unknown"
+        want[r.event_id] = "fresh" if fresh else "check"
+        if not fresh:
+            held[r.user_id] = (r.ts, _STATUS_OF.get(r.event_type, "under_review"))
+    assert got == want
