@@ -43,7 +43,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through a table written in the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, "table")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 1 << 24).parquet(path)  # small row groups need little memory
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,7 @@ SHINGLE, LEAST = 5, 75
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
 #: Shingles whose permutations are held at a time.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 #: Of 128 places, a pair of similarity 0.75 agrees in 96 on average; in fewer than 70 with probability below 1e-10.
 LEAST_PLACES = 70
 #: Members of a bucket that are compared in one job with as many others.
@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
                 ids.append(batch.column(0)[at].as_py())
                 sets.append(s)
                 held += len(s)
-                if held > AT_ONCE or len(ids) == 4000:
+                if held > AT_ONCE or len(ids) == 1000:
                     yield answer(ids, sets)
                     ids, sets, held = [], [], 0
             if ids:

@@ -30,7 +30,7 @@ _MARKS, _MARKED = (b".", b","), re.compile(rb"[^<]*[A-Za-z][.,]", re.S)
 class WordEncoder:
     """ids() and counts() of texts; None counts as the empty text."""
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

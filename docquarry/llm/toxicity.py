@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import words
 
 #: Labelled rows that are looked at, of each label; the smallest by a hash of the text.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2000, 0: 4000}
 #: Bytes of a labelled text that are learned from; whole texts are scored.
 MOST_BYTES = 1 << 16
 #: Bytes of the dictionaries.
@@ -47,11 +47,15 @@ def windows(text: str | None, most: int | None = None) -> Iterator[list[bytes]]:
 
 def _contexts(texts: list[str]) -> Counter:
     """In how many different surroundings each window stands: copies of a text count once."""
-    seen = set()
+    seen, count = set(), Counter()
     for t in texts:
         for w in windows(t, MOST_BYTES):
-            seen.update(zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True))
-    return Counter(m for _, m, _ in seen if m)
+            for x in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True):
+                h = hash(x)
+                if x[1] and h not in seen:
+                    seen.add(h)
+                    count[x[1]] += 1
+    return count
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -93,7 +97,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, most_known: int = 500_000):
+    def __init__(self, model: Model, most_known: int = 150_000):
         make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
         self.toxic, self.ordinary, self.weights = make(model.toxic), make(model.ordinary), np.array(model.weights)
         self.known, self.most = {}, most_known
