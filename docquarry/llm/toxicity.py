@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import words
 
 #: Labelled rows that are looked at, of each label; the smallest by a hash of the text.
-SAMPLE = {1: 2000, 0: 4000}
+SAMPLE = {1: 2000, 0: 6000}
 #: Bytes of a labelled text that are learned from; whole texts are scored.
 MOST_BYTES = 1 << 16
 #: Bytes of the dictionaries.
