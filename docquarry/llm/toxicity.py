@@ -11,6 +11,7 @@ are fitted on labelled rows that trained neither dictionary (calibrated threshol
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -155,9 +156,10 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     ct, co = _contexts(toxic[::2] or toxic), _contexts(ordinary[::2])
     nt, no = max(1, sum(ct.values())), max(1, sum(co.values()))
     least = min(CONTEXTS, max(1, len(toxic) // 8))
-    bad = [w for w, n in ct.most_common() if n >= least and n / nt > TIMES * (co[w] + 0.5) / no]
+    ranked = lambda c: sorted(c.items(), key=lambda x: (-x[1], zlib.crc32(x[0])))  # noqa: E731  equal counts in no order of the texts
+    bad = [w for w, n in ranked(ct) if n >= least and n / nt > TIMES * (co[w] + 0.5) / no]
     pad = lambda found: [b" " + w + b" " for w in found]
-    plain = [w for w, _ in co.most_common(20_000)]
+    plain = [w for w, _ in ranked(co)[:20_000]]
     model = Model(train_dictionary(pad(bad), TOXIC_BYTES), train_dictionary(pad(plain), ORDINARY_BYTES), [0.0] * (len(MARGINS) + 2))
     # ordinary windows that look toxic so far join the ordinary dictionary
     for _ in range(2):
