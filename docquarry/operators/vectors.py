@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -84,15 +85,20 @@ def _nearest(sent, k: int, vector: str, key: str, query: str):
     return run
 
 
+def lists_for(rows: int) -> int:
+    """So many lists that a list has about as many rows as there are lists."""
+    return max(1, round(rows**0.5))
+
+
 def assign_lists(sections: DataFrame, lists: int, vector: str = "embedding", sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """sections with list, the nearest of so many centres; the centres are fitted on a bounded
-    sample, every row gets a list (rows without a vector a null one)."""
+    sample (32 rows a list where that is more), every row gets a list (rows without a vector a null one)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
     rows = sections.withColumn("_u", F.when(size > 0, F.transform(vector, lambda v: v.cast("double") / size)))
-    drawn = rows.filter("_u is not null").orderBy(F.xxhash64("_u")).limit(sample).select(array_to_vector("_u").alias("features"))
+    drawn = rows.filter("_u is not null").orderBy(F.xxhash64("_u")).limit(max(sample, 32 * lists)).select(array_to_vector("_u").alias("features"))
     centres = np.array(KMeans(k=lists, seed=seed, maxIter=10).fit(drawn).clusterCenters())
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     held = sections.sparkSession.sparkContext.broadcast(centres)
@@ -105,20 +111,83 @@ def assign_lists(sections: DataFrame, lists: int, vector: str = "embedding", sam
     return rows.withColumn("list", nearest("_u")).drop("_u"), centres
 
 
-def topk_ivf(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = 3, probes: int = 8, vector: str = "embedding", key: str = "vec_id", query: str = "q_id") -> DataFrame:
-    """As topk_batch(), over the probes nearest lists of each query only."""
+#: Queries that the number of probes is fitted on, at most.
+FITTED = 512
+
+
+def fit_probes(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = 3, recall: float = 0.9, sample: int = FITTED, vector: str = "embedding", key: str = "vec_id", query: str = "q_id") -> tuple[int, float]:
+    """The fewest probes with which topk_ivf() finds the share recall of the true k nearest, and
+    the share that they find, both measured against topk_batch().
+
+    At most sample queries are measured, the smallest by a hash. Where there are more, the mean
+    must be above recall by two standard errors."""
+    sound = queries.filter("q is not null")
+    drawn = sound.orderBy(F.xxhash64(query), query).limit(sample + 1).select(query, "q").cache()
+    all_of_them = drawn.count() <= sample
+    exact = topk_batch(drawn.orderBy(F.xxhash64(query), query).limit(sample), indexed, k, vector, key, query).select(query, key)
+    near = exact.join(indexed.select(key, "list"), key).groupBy(query).agg(F.collect_list("list").alias("lists"))
+    shares = []
+    for q, lists in near.join(drawn, query).select("q", "lists").toLocalIterator():
+        place = np.empty(len(centres), np.int64)
+        place[np.argsort(-(centres @ np.asarray(q, np.float64)), kind="stable")] = np.arange(len(centres))
+        shares.append(np.bincount(place[lists], minlength=len(centres)).cumsum() / len(lists))
+    drawn.unpersist()
+    if not shares:
+        return 1, 1.0
+    mean, error = np.mean(shares, 0), 0.0 if all_of_them else np.std(shares, 0) / len(shares) ** 0.5
+    probes = int(np.flatnonzero(mean - 2 * error >= recall - 1e-12)[0])  # with all lists the mean is 1
+    return probes + 1, float(mean[probes])
+
+
+def topk_ivf(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int = 3, probes: int = 8, vector: str = "embedding", key: str = "vec_id", query: str = "q_id", block: int = BLOCK) -> DataFrame:
+    """As topk_batch(), over the probes nearest lists of each query only.
+
+    The queries and the rows of a list meet in blocks, dealt by hashes of their keys; a pair of
+    blocks gives k rows for each query."""
     held = queries.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("array<int>")
     def near(q: pd.Series) -> pd.Series:
-        return pd.Series([np.argsort(-(held.value @ np.asarray(v, np.float64)))[:probes].astype(np.int32).tolist() for v in q])
-
-    probed = queries.withColumn("list", F.explode(near("q")))
-    scored = probed.join(indexed.select("list", key, vector), "list").select(query, key, cosine(F.col(vector), F.col("q")).alias("similarity"))
-    rank = F.row_number().over(W.partitionBy(query).orderBy(F.round("similarity", 12).desc_nulls_last(), key))
+        return pd.Series([np.argsort(-(held.value @ np.asarray(v, np.float64)), kind="stable")[:probes].astype(np.int32).tolist() for v in q])
+
+    sound = F.exists("q", lambda x: x != 0) & F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x))
+    probed = queries.filter(sound).withColumn("list", F.explode(near("q"))).select("list", F.col(query).cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    rows = indexed.filter("list is not null").select("list", F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = lambda x, name: x.groupBy("list").agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = F.broadcast(blocks(probed, "left").join(blocks(rows, "right"), "list"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = probed.join(sizes, "list").withColumn("i", own("left")).withColumn("j", every("right")).select("list", "i", "j", "id", "v")
+    right = rows.join(sizes, "list").withColumn("j", own("right")).withColumn("i", every("left")).select("list", "i", "j", "id", "v")
+    jobs = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j"))
+    scored = jobs.applyInArrow(_best_pairs(k, key, query), f"{query} long, {key} long, similarity double")
+    rank = F.row_number().over(W.partitionBy(query).orderBy(F.round("similarity", 12).desc(), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _best_pairs(k: int, key: str, query: str):
+    def unit(t: pa.Table) -> np.ndarray:
+        x = np.array(t.column("v").to_pylist(), np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, keys = left.column("id").combine_chunks(), right.column("id").combine_chunks()
+        at, to, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if len(ids) and len(keys):
+            s = unit(left) @ unit(right).T
+            r = np.round(s, 12)
+            # the k-th and all as near as it; then the first k by key
+            at, to = np.nonzero(r >= np.partition(r, max(0, len(keys) - k), axis=1)[:, [max(0, len(keys) - k)]])
+            order = np.lexsort((keys.fill_null(-(2**63)).to_numpy()[to], -r[at, to], at))
+            at, to = at[order], to[order]
+            first = np.arange(len(at)) - np.searchsorted(at, at) < k
+            at, to = at[first], to[first]
+            best = s[at, to]
+        return pa.table({query: ids.take(pa.array(at)), key: keys.take(pa.array(to)), "similarity": pa.array(best)})
+
+    return run
+
+
 def recent(sections: DataFrame, order: list[Column], k: int = 3, kind: Column | None = None) -> DataFrame:
     """The newest k rows with similarity 0.5: what a search gives where vectors are missing."""
     rows = sections.filter(kind) if kind is not None else sections

@@ -1,8 +1,10 @@
 """Every registered query with a twin gives the twin's rows; the others give rows."""
 
+import numpy as np
 import pytest
 from conftest import rows_of
 
+from docquarry.operators import vectors
 from docquarry.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -30,6 +32,30 @@ def test_lists_find_nearly_all_neighbours(spark, data):
     assert len(exact & found) >= 0.6 * len(exact)  # half of the lists of unclustered vectors
 
 
+def test_lists_find_nine_of_ten_neighbours(spark, data):
+    for d in (data, data.replace("0.001", "0.1")):
+        exact = {tuple(r) for r in QUERIES["vector_topk_batch"](spark, d).select("q_id", "vec_id").collect()}
+        found = {tuple(r) for r in QUERIES["vector_topk_ivf"](spark, d).select("q_id", "vec_id").collect()}
+        assert len(exact & found) >= 0.9 * len(exact) and len(found) == len(exact)
+
+
+def test_probes_hold_for_queries_that_they_were_not_fitted_on(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16)).tolist()
+    rows = spark.createDataFrame([*enumerate(x), (3000, None), (3001, [0.0] * 16), (3002, x[7])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(x) if i % 5 == 0] + [(5000, None), (5001, [0.0] * 16)], "q_id long, q array<float>")
+    indexed, centres = vectors.assign_lists(rows, vectors.lists_for(3003))
+    indexed = indexed.cache()
+    assert len(centres) == 55
+    probes, measured = vectors.fit_probes(queries, indexed, centres, sample=150)
+    assert 0.9 <= measured and probes < 55
+    exact = {tuple(r) for r in vectors.topk_batch(queries, rows).select("q_id", "vec_id").collect()}
+    found = vectors.topk_ivf(queries, indexed, centres, probes=probes, block=20).cache()
+    assert len(exact & {tuple(r) for r in found.select("q_id", "vec_id").collect()}) >= 0.9 * len(exact)
+    every = {(r.q_id, r.vec_id, r.rank) for r in vectors.topk_ivf(queries, indexed, centres, probes=55, block=20).collect()}
+    assert every == {(r.q_id, r.vec_id, r.rank) for r in vectors.topk_batch(queries, rows).collect()}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
