@@ -18,12 +18,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, mix, text_words
-
-#: Masks: x is selected, . is ignored. Each has 6 selected positions of up to 11; a window
-#: of 13 tokens with any three substituted still holds a mask that misses them in most places.
-MASKS = ("xxxxxx", "xx.xx.xx", "x.xx..xx.x", "xxx...x.x.x", "x.x.x.xxx")
-#: An overlap counts where at least 3 of 4 tokens are equal, over the whole item or over WINDOW tokens.
+from .common import LOWER, text_words
+
+#: Masks: x is selected, . is ignored. In any WINDOW tokens, and in any item of at least so many,
+#: one of them misses all substitutions that SHARE allows (the tests go through all patterns).
+MASKS = ("xx.x.xxx", "xxx..x..xx", "xx.x....x.xx", "xx.xxxx", "xxx..x.xx", "xxx.x.....xx", "xxx..x...x.x")
+#: The same for items of LEAST_TOKENS to WINDOW - 1 tokens.
+SHORT_MASKS = ("x.xxx", "xxx..x", "xx....xx")
+#: An overlap counts where at least 3 of 4 tokens are equal, over the whole item or over WINDOW
+#: tokens. Items of fewer than LEAST_TOKENS tokens count where all tokens are equal.
 WINDOW, SHARE, LEAST_TOKENS = 13, 0.75, 8
 #: Tokens of the test set in one part: about 200 MB with all seeds.
 MOST_SENT = 2_000_000
@@ -42,42 +45,59 @@ def seeds(t: np.ndarray, mask: str, salt: int) -> np.ndarray:
     n = len(t) - len(mask) + 1
     h = np.zeros(max(0, n), np.uint64)
     if n > 0:
+        # tokens are hashes already, so that a polynomial of them is one
         with np.errstate(over="ignore"):
             for i, c in enumerate(mask):
                 if c == "x":
-                    h = mix(h * np.uint64(31) + t[i : i + n], salt)
+                    h *= _ODD
+                    h += t[i : i + n]
+            h *= _ODD + np.uint64(2 * salt)
     return h
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash by which a place is looked up first.
+_TOP = 20
+
+
 class TestSet:
     """The tokens of all items and where each seed hash occurs."""
 
     def __init__(self, items: list[tuple[int | None, np.ndarray]], masks: tuple[str, ...] = MASKS):
-        items = [(k, t) for k, t in items if len(t) >= LEAST_TOKENS]
+        items = [(k, t) for k, t in items if len(t)]
         self.keys, self.size = [k for k, _ in items], np.array([len(t) for _, t in items], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size))).astype(np.int64)
         self.all = np.concatenate([t for _, t in items]) if items else np.empty(0, np.uint64)
-        self.masks, self.hashes, self.item, self.at = masks, [], [], []
-        for salt, m in enumerate(masks):
-            got = [seeds(t, m, salt) for _, t in items]
+        # (mask, least, most): the masks and the sizes of the items that they serve
+        kinds = [("x" * n, n, n) for n in range(1, LEAST_TOKENS)]
+        kinds += [(m, LEAST_TOKENS, WINDOW - 1) for m in SHORT_MASKS] + [(m, WINDOW, None) for m in masks]
+        self.masks, self.hashes, self.item, self.at, self.top = [], [], [], [], []
+        for salt, (m, least, most) in enumerate(kinds):
+            own = np.flatnonzero((self.size >= least) & (self.size <= (most or np.inf)))
+            got = [seeds(items[i][1], m, salt) for i in own]
             h = np.concatenate(got) if got else np.empty(0, np.uint64)
+            if not len(h):
+                continue
             order = np.argsort(h, kind="stable")
+            self.masks.append((m, salt))
             self.hashes.append(h[order])
-            self.item.append(np.repeat(np.arange(len(got)), [len(x) for x in got])[order] if got else order)
-            self.at.append(np.concatenate([np.arange(len(x)) for x in got])[order] if got else order)
+            self.item.append(np.repeat(own, [len(x) for x in got])[order])
+            self.at.append(np.concatenate([np.arange(len(x)) for x in got])[order])
+            top = np.zeros(1 << _TOP, bool)
+            top[h >> np.uint64(64 - _TOP)] = True
+            self.top.append(top)
 
     def overlaps(self, t: np.ndarray, window: int = WINDOW, share: float = SHARE) -> list[tuple[int, int, int, int, float]]:
         """(item, start, length, equal, similarity) of the best overlap with each item."""
-        if len(t) < LEAST_TOKENS or not len(self.all):
-            return []
         lines = set()
-        for salt, m in enumerate(self.masks):
+        for (m, salt), hashes, top, items, at in zip(self.masks, self.hashes, self.top, self.item, self.at, strict=True):
             h = seeds(t, m, salt)
-            lo = np.searchsorted(self.hashes[salt], h)
-            hit = np.flatnonzero(self.hashes[salt][np.minimum(lo, len(self.hashes[salt]) - 1)] == h) if len(self.hashes[salt]) else []
-            for i in hit:
-                hi = np.searchsorted(self.hashes[salt], h[i], "right")
-                lines.update(zip(self.item[salt][lo[i] : hi].tolist(), (i - self.at[salt][lo[i] : hi]).tolist(), strict=True))
+            some = np.flatnonzero(top[h >> np.uint64(64 - _TOP)])
+            lo = np.searchsorted(hashes, h[some])
+            hit = hashes[np.minimum(lo, len(hashes) - 1)] == h[some]
+            for i, first in zip(some[hit].tolist(), lo[hit].tolist(), strict=True):
+                hi = np.searchsorted(hashes, h[i], "right")
+                lines.update(zip(items[first:hi].tolist(), (i - at[first:hi]).tolist(), strict=True))
         best = {}
         for item, shift in lines:
             a, b = max(0, -shift), min(int(self.size[item]), len(t) - shift)  # of the item, where both have tokens
@@ -86,7 +106,7 @@ class TestSet:
             n = int(self.size[item])
             equal = int(same.sum())
             found = None
-            if equal >= share * n:
+            if equal >= (share * n if n >= LEAST_TOKENS else n):
                 found = (shift + a, b - a, equal, equal / n)
             elif b - a >= window:
                 sums = np.convolve(same, np.ones(window, int), "valid")
@@ -106,8 +126,8 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
 
     start and length: the tokens of the document that are covered. equal: tokens equal in
     place. similarity: equal as a share of the item, or of the covered tokens where only a part
-    of the item was found. Null and empty texts overlap with nothing, nor do items of fewer
-    than LEAST_TOKENS tokens. Rows without a key come out with a null one; repeated rows
+    of the item was found. Null and empty texts overlap with nothing; items of fewer than
+    LEAST_TOKENS tokens overlap where all their tokens stand in the document in a row. Rows without a key come out with a null one; repeated rows
     repeatedly. Without documents or tests there are no rows. Other columns are not read."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None

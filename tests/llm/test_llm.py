@@ -2,6 +2,7 @@
 nulls, empty tables, repeated rows and clashing names."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -279,6 +280,60 @@ def test_contamination(spark):
     assert decontaminate.contamination(docs.limit(0), tests).count() == 0 and decontaminate.contamination(docs, tests.limit(0)).count() == 0
 
 
+def test_masks_miss_no_allowed_pattern():
+    def places(masks, n):
+        return [sum(1 << (i + at) for i, c in enumerate(m) if c == "x") for m in masks for at in range(n - len(m) + 1)]
+
+    for n in range(decontaminate.LEAST_TOKENS, 21):
+        wrong = n - math.ceil(decontaminate.SHARE * n)
+        sets = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), wrong)])
+        masks = decontaminate.MASKS if n >= decontaminate.WINDOW else decontaminate.SHORT_MASKS
+        found = np.zeros(len(sets), bool)
+        for p in places(masks, n):
+            found |= sets & p == 0
+        assert found.all(), n
+
+
+def test_masks_are_enough_for_long_items():
+    """The fewest substitutions that hit all masks, by the last tokens, for items of any length to 200."""
+    span = max(map(len, decontaminate.MASKS)) - 1
+    full = (1 << span) - 1
+    last = np.arange(1 << span)
+    fewest = np.where(last == full, 0, 10**6)  # before the item all tokens differ, at no cost
+    for n in range(1, 201):
+        new = np.full(1 << span, 10**6)
+        for bit in (0, 1):
+            to = last << 1 | bit
+            ok = np.all([to & int(m[::-1].replace("x", "1").replace(".", "0")[::-1], 2) for m in decontaminate.MASKS], axis=0)
+            np.minimum.at(new, to[ok] & full, fewest[ok] + bit)
+        fewest = new
+        if n >= decontaminate.WINDOW:
+            assert fewest.min() > n - math.ceil(decontaminate.SHARE * n), n
+
+
+def test_contamination_of_short_items_and_all_patterns():
+    rng = np.random.default_rng(6)
+    token = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for n in (1, 2, 7, 8, 9, 10, 12, 13, 14):
+        item = token(n)
+        held = decontaminate.TestSet([(5, item), (6, token(30))])
+        wrong = n - math.ceil(0.75 * n) if n >= 8 else 0
+        for places in itertools.combinations(range(n), wrong):
+            text = np.concatenate((token(4), item, token(3)))
+            text[4 + np.array(places, int)] = token(wrong)
+            assert held.overlaps(text) == [(5, 4, n, n - wrong, (n - wrong) / n)]
+        text = np.concatenate((token(4), item, token(3)))
+        middle = 4 + (n - wrong - 1) // 2  # so that no 13 tokens hold fewer
+        text[middle : middle + wrong + 1] = token(wrong + 1)
+        assert held.overlaps(text) == []
+    item = token(13)
+    held = decontaminate.TestSet([(1, np.concatenate((token(20), item, token(20))))])
+    for places in itertools.combinations(range(13), 3):
+        text = np.concatenate((token(4), item, token(4)))
+        text[4 + np.array(places)] = token(3)
+        assert [x[0] for x in held.overlaps(text)] == [1]
+
+
 def test_contamination_as_brute_force(spark, data):
     docs, tests = (common.table(spark, data, t).collect() for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, data).collect()}
