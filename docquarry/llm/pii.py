@@ -5,10 +5,12 @@ from them, and the former are permuted by a Feistel network whose round function
 SHA-256. Walking the cycle keeps the result inside the format. The same value gets the same
 pseudonym in every document, and different values different ones:
 
-    payment card    13 to 19 digits that pass the Luhn check; the first digit and all
-                    separators stay, the last digit is computed anew
+    payment card    13 to 19 digits that pass the Luhn check, one or more whole groups of
+                    digits; the first digit and all separators stay, the last digit is
+                    computed anew
     IP address      four numbers of 0 to 255; the 32-bit address is permuted
-    telephone       + and 8 to 15 digits; the country digit and all separators stay
+    telephone       + and 8 to 15 digits, up to what is itself an address, a date or a card in
+                    its usual groups; the country digit and all separators stay
     date            a day of 1900-01-01 to 2099-12-31, written y-m-d, d.m.y or d/m/y;
                     days of that range are permuted, the way of writing stays
 
@@ -22,11 +24,17 @@ from pyspark.sql import DataFrame, functions as F
 ROUNDS = 8
 #: Fixed patterns, as Java and RE2 both read them; a value stands between characters that are
 #: neither letters nor digits, which is tested on the match's surroundings.
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-PHONE = r"\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}"
 ADDRESS = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-VALUE = rf"(?<![0-9A-Za-z.+])(?:{PHONE}|{DATE}|{ADDRESS}|{CARD})(?![0-9A-Za-z])"
+#: Groups of digits, of which some may make a card: no group that begins an address or a date.
+GROUP = r"[0-9]++(?![A-Za-z])"
+CARDS = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ -](?!(?:{DATE}|{ADDRESS})(?![0-9A-Za-z])){GROUP})*+"
+#: What a telephone stops before: a sound address or date, or a card in its usual groups.
+_BYTE, _DAY, _MONTH, _YEAR = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+_FOURS = "[0-9]{4}(?:[ -][0-9]{4}){3}"
+STOP = rf"(?:{_BYTE}(?:\.{_BYTE}){{3}}|{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR}|{_FOURS}(?:[ -]{_FOURS})*+(?![ -][0-9]{{4}}(?![0-9]))|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z]|\.[0-9])"
+PHONE = rf"\+[0-9](?:(?:[ ().-]{{1,2}}(?<!\.)(?!{STOP})|\.|[ ().-]\.)?[0-9]){{7,14}}"
+VALUE = rf"(?<![0-9A-Za-z.+])(?:{PHONE}|{DATE}|{ADDRESS}|{CARDS})(?![0-9A-Za-z])"
 
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
@@ -75,10 +83,39 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _card(m: str, key: str) -> str:
+    """SQL: the pseudonym of m, a card."""
     sealed = _feistel("substring(d, 2, length(d) - 2)", "(length(d) - 2)", key, "card")
     check = _luhn("concat(s, '0')")
     whole = _let(f"concat(substring(d, 1, 1), {sealed})", "s", f"concat(s, cast(pmod(10 - ({check}) % 10, 10) as string))")
-    return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", f"if({_luhn('d')} % 10 = 0, {_let(whole, 'p', _letters(m, 'p'))}, {m})")
+    return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", _let(whole, "p", _letters(m, "p")))
+
+
+def _cards(m: str, key: str) -> str:
+    """SQL: the parts of m, groups of digits: cards and, with a null kind, what is between them.
+
+    A group that is a card by itself, or groups of the usual lengths that are one, are taken as
+    they stand; else the longest card from each group on that takes in none of these. Where no
+    card is found, m is one part that stays."""
+    digits = lambda i, j: f"array_join(slice(g, {i} + 1, {j} - {i} + 1), '')"
+    sound = lambda d: _let(d, "x", f"case when length(x) between 13 and 19 then {_luhn('x')} % 10 = 0 else false end")
+    lengths = lambda i, n: f"array_join(transform(slice(g, {i} + 1, {n}), y -> length(y)), ' ')"
+    # the last group of the usual card that begins at each group
+    usual = "case " + f"when {sound(digits('i', 'i'))} then i "
+    for form in ("4 4 4 4", "4 4 4 4 3", "4 6 5", "4 6 4"):
+        n = len(form.split())
+        usual += f"when {lengths('i', n)} = '{form}' and {sound(digits('i', f'(i + {n - 1})'))} then i + {n - 1} "
+    usual += "end"
+    other = f"array_max(filter(sequence(i, least(i + 18, size(g) - 1)), j -> forall(slice(u, i + 2, j - i), w -> w is null) and {sound(digits('i', 'j'))}))"
+    ends = f"transform(g, (z, i) -> coalesce(u[i], {other}))"
+    places = "aggregate(sequence(0, size(g) - 1), named_struct('next', 0, 'found', cast(array() as array<struct<a:int,b:int>>)), (acc, i) -> if(i >= acc.next and e[i] is not null, named_struct('next', e[i] + 1, 'found', concat(acc.found, array(named_struct('a', i, 'b', e[i])))), acc), acc -> acc.found)"
+    rest = lambda v: f"named_struct('value', {v}, 'kind', cast(null as string), 'pseudonym', {v})"
+    text = lambda i, n: f"array_join(slice(t, {i} + 1, {n}), '')"
+    card = _let(text("s.a", "s.b - s.a + 1"), "v", _let("regexp_replace(v, '^[ -]', '')", "c", f"named_struct('value', c, 'kind', 'card', 'pseudonym', {_card('c', key)})"))
+    before = _let("if(n = 0, 0, f[n - 1].b + 1)", "o", _let(f"concat({text('o', 's.a - o')}, regexp_extract(t[s.a], '^[ -]?', 0))", "v", rest("v")))
+    after = _let("f[size(f) - 1].b + 1", "o", _let(text("o", "size(t) - o"), "v", rest("v")))
+    parts = f"if(size(f) = 0, array(named_struct('value', {m}, 'kind', 'card', 'pseudonym', {m})), concat(flatten(transform(f, (s, n) -> array({before}, {card}))), array({after})))"
+    body = _let(f"transform(g, (z, i) -> {usual})", "u", _let(ends, "e", _let(places, "f", parts)))
+    return _let(f"regexp_extract_all({m}, '[ -]?[0-9]+', 0)", "t", _let(f"regexp_extract_all({m}, '[0-9]+', 0)", "g", body))
 
 
 def _phone(m: str, key: str) -> str:
@@ -117,13 +154,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     names = docs.columns
     if "values" in names:
         raise ValueError("the result has a column named values")
-    sealed = f"case k when 'phone' then {_phone('m', key)} when 'address' then {_address('m', key)} when 'date' then {_date('m', key)} else {_card('m', key)} end"
-    each = _let(_kind("m"), "k", f"named_struct('value', m, 'kind', k, 'pseudonym', {sealed})")
+    sealed = f"case k when 'phone' then {_phone('m', key)} when 'address' then {_address('m', key)} else {_date('m', key)} end"
+    each = _let(_kind("m"), "k", f"if(k = 'card', {_cards('m', key)}, array(named_struct('value', m, 'kind', k, 'pseudonym', {sealed})))")
     whole = F.col(text).cast("string")
     found = docs.withColumn("_found", F.regexp_extract_all(whole, F.lit(VALUE), F.lit(0)))
-    found = found.withColumn("values", F.expr(f"transform(coalesce(_found, array()), m -> {each})"))
-    # the text between the values, then piece and pseudonym in turn
+    found = found.withColumn("_parts", F.expr(f"transform(coalesce(_found, array()), m -> {each})"))
+    found = found.withColumn("values", F.expr("filter(flatten(_parts), p -> p.kind is not null)"))
+    # the text between the values, then piece and pseudonyms in turn
     pieces = F.split(whole, VALUE, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(F.col("values.pseudonym"), F.array(F.lit(""))), lambda p, v: F.array(p, v))))
+    new = F.expr("transform(_parts, x -> array_join(x.pseudonym, ''))")
+    joined = F.concat_ws("", F.flatten(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, v: F.array(p, v))))
     changed = F.when(F.size("_found") > 0, joined).otherwise(whole)
     return found.withColumn(text, changed).select(*names, "values")

@@ -155,6 +155,29 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_adjacent_numbers(spark):
+    card, spaced, phone, ip = "4111111111111111", "4111 1111 1111 1111", "+1 (826) 555-4081", "190.137.223.204"
+    texts = {
+        f"card {card} 123": [card], f"{card} 10.0.0.1": [card, "10.0.0.1"], f"no 7 {card}": [card], f"12 {spaced} 123-4": [spaced],
+        f"{phone} {ip}": [phone, ip], f"{phone} 2024-02-29": [phone, "2024-02-29"], f"{phone} 31/12/1999 5": [phone, "31/12/1999"], f"{phone} {spaced}": [phone, spaced], f"{phone} {card}": [phone, card],
+        f"{card} {card}-{spaced}": [card, card, spaced], "5 4222222222222 9 378282246310005 77": ["4222222222222", "378282246310005"], "3782 822463 10005 1": ["3782 822463 10005"],
+        "+33 1.23.45.67.89": ["+33 1.23.45.67.89"],
+    }
+    docs = spark.createDataFrame(list(texts), "string").toDF("text").withColumn("old", F.col("text"))
+    seen = {}
+    for r in pii.pseudonymise(docs, "k").collect():
+        changed = [v for v in r["values"] if v.value != v.pseudonym]
+        assert [v.value for v in changed] == texts[r.old]
+        back = r.old
+        for v in changed:
+            assert seen.setdefault(v.value, v.pseudonym) == v.pseudonym
+            back = back.replace(v.value, "#", 1)
+        new = r.text
+        for v in changed:
+            new = new.replace(v.pseudonym, "#", 1)
+        assert back == new
+
+
 def test_pseudonyms_are_permutations(spark):
     days = [(date(1900, 1, 1) + timedelta(days=i)).isoformat() for i in range(0, pii.DAYS, 29)]
     docs = spark.createDataFrame([(d,) for d in days], "text string")
