@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .common import settle
 from .tokenizing import encoder as encoder_of, tokenizer_path
 
 #: Lengths are summed in ranges of so many first, so that no window runs over all of them.
@@ -36,7 +37,8 @@ def length_histogram(docs: DataFrame, text: str = "text", path: str | None = Non
         yield pa.RecordBatch.from_pydict({"length": pa.array(list(found), pa.int64()), "documents": pa.array(list(found.values()), pa.int64())})
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lengths, "length long, documents long")
-    counts = counts.groupBy("length").agg(F.sum("documents").alias("documents"))
+    # a row for each length, written once: it is read on both sides of the join
+    counts = settle(counts.groupBy("length").agg(F.sum("documents").alias("documents")))
     counts = counts.withColumn("tokens", F.col("length") * F.col("documents")).withColumn("_range", F.expr(f"length div {RANGE}"))
     ranges = counts.groupBy("_range").agg(F.sum("documents").alias("_d"), F.sum("tokens").alias("_t"))
     later = W.orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)
