@@ -136,3 +136,18 @@ def llm_object(content: Column) -> Column:
 def llm_rows(content: Column, schema: str) -> Column:
     """The array of structs in the widest [...]; null if it isn't JSON."""
     return F.from_json(found(content, r"\[[\s\S]*\]", 0), schema)
+
+
+# The kinds of sections of an offer, and the section that stands for all of it.
+SECTION_KINDS = ("introduction", "smr_technology", "team_organization", "communication", "other")
+WHOLE = ("other", "Цялото съдържание")
+
+
+def section_list(content: Column) -> Column:
+    """Array of structs type, title, offset from an answer's JSON: rows of known kinds that have
+    a title, the first technology only. What isn't JSON is one section that holds everything."""
+    rows = F.transform(llm_rows(content, "array<struct<type:string,title:string,offset:int>>"), lambda x: F.struct(x["type"].alias("type"), x["title"].alias("title"), F.coalesce(x["offset"], F.lit(0)).alias("offset")))
+    known = F.filter(rows, lambda x: x["type"].isin(*SECTION_KINDS) & (F.coalesce(x["title"], F.lit("")) != ""))
+    first = lambda v: F.array_position(F.transform(v, lambda x: x["type"]), F.lit("smr_technology"))
+    kept = F.transform(F.array(known), lambda v: F.filter(v, lambda x, i: (x["type"] != "smr_technology") | (i == first(v) - 1)))[0]
+    return F.coalesce(kept, F.array(F.struct(F.lit(WHOLE[0]).alias("type"), F.lit(WHOLE[1]).alias("title"), F.lit(0).alias("offset"))))

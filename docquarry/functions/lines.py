@@ -9,7 +9,7 @@ from .chains import WS, sql_match, sql_sub, sql_trim, trim
 _EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 # Fixed values. The class of "rules only" holds the range from \ to the long dash, and so all
 # letters: lines of letters and spaces are garbage by this rule, which is kept as it is.
-RULES_ONLY, RULES_STRICT = rf"(?iu)^[{WS}|=\x{{5C}}-\x{{2014}}><~#]*\z", rf"^[{WS}|=\\\-—–><~#]*\z"
+RULES_ONLY, RULES_STRICT = rf"(?iu)^[{WS}|=\\-—><~#]*\z", rf"^[{WS}|=\\\-—–><~#]*\z"
 _ALNUM = r"[^A-Za-zА-Яа-яЁё0-9]"
 _UNIT = r"(м[23²³]?|бр\.?|тон|кг|л\.?\s*м|км)"
 TABLE_LINE = [
@@ -38,9 +38,9 @@ def sql_any(expr: str, patterns: list[str]) -> str:
 
 
 def _share(line: Column) -> tuple[Column, Column]:
-    """Letters and digits as a share of what isn't white space, and its length."""
+    """Letters and digits as a share of what isn't white space (null if all is), and its length."""
     solid = F.regexp_replace(line, rf"[{WS}]", "")
-    return F.length(F.regexp_replace(solid, _ALNUM, "")) / F.length(solid), F.length(solid)
+    return F.try_divide(F.length(F.regexp_replace(solid, _ALNUM, "")), F.length(solid)), F.length(solid)
 
 
 def garbage_line(line: Column, compat: bool = True) -> Column:

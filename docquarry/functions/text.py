@@ -159,7 +159,7 @@ def comparison_words(title: Column) -> Column:
 def title_jaccard(a: Column, b: Column) -> Column:
     """Shared words of all words; 0 where either title has none."""
     x, y = comparison_words(a), comparison_words(b)
-    shared = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    shared = F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y)))
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(shared)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions.chains import WS, trim
+from .lines import let
+from .matching import _any
 
 # What header cells may say, in order of preference.
 ALIASES = {
@@ -21,10 +23,9 @@ def _norm(cell: Column) -> Column:
     return F.regexp_replace(trim(F.lower(F.coalesce(cell, F.lit("")))), rf"[{WS}]+", " ")
 
 
-def column_index(cells: Column, aliases: list[str]) -> Column:
-    """The column (from 0) of the first alias that some cell holds or is part of, the leftmost
-    such cell; null if there is none. Empty cells never fit."""
-    normal = F.transform(cells, _norm)
+def column_index(normal: Column, aliases: list[str]) -> Column:
+    """The column (from 0) of the first alias that some normal cell holds or is part of, the
+    leftmost such cell; null if there is none. Empty cells never fit."""
     fits = lambda a: lambda c: (c != "") & (F.contains(c, F.lit(a)) | F.contains(F.lit(a), c))
     hits = [F.nullif(F.array_position(F.transform(normal, fits(a)), F.lit(True)), F.lit(0)) for a in aliases]
     return (F.coalesce(*hits) - 1).cast("int")
@@ -32,11 +33,13 @@ def column_index(cells: Column, aliases: list[str]) -> Column:
 
 def category_row(code: Column, name: Column) -> Column:
     """Headings between rows: sections, uppercase labels, road parts, areas and lengths."""
-    c, n = trim(code), trim(name)
-    both = trim(F.concat(code, F.lit(" "), name))
+    return let(trim(code), lambda c: let(trim(name), lambda n: _heading(c, n, trim(F.concat(code, F.lit(" "), name)))))
+
+
+def _heading(c: Column, n: Column, both: Column) -> Column:
     road, area = r"(?iu)^(улично\s+платно|тротоари|паркинг|отводняване)\z", r"(?iu)^обща\s+(площ|дължина)"
     return (
-        (both == "") | both.rlike(r"(?iu)^Сметка\s*[0-9]+") | c.rlike(r"^[IVXіІ]+\.?\s*\z") | ((c != "") & (n == "") & c.rlike("[А-Я]{3,}"))
+        let(both, lambda b: (b == "") | b.rlike(r"(?iu)^Сметка\s*[0-9]+")) | c.rlike(r"^[IVXіІ]+\.?\s*\z") | ((c != "") & (n == "") & c.rlike("[А-Я]{3,}"))
         | ((c == "") & (n != "") & n.rlike("[А-Я]{3,}") & (n == F.upper(n))) | c.rlike(road) | n.rlike(road) | c.rlike(area) | n.rlike(area)
     )
 
@@ -47,12 +50,8 @@ def summary_row(code: Column) -> Column:
 
 def header_row(name: Column, code: Column) -> Column:
     """A header that is repeated among the rows."""
-    n, c = _norm(name), _norm(code)
-    hit = None
-    for a in ALIASES["name"]:
-        one = F.contains(n, F.lit(a)) | F.contains(F.lit(a), n)
-        hit = one if hit is None else hit | one
-    return ((F.length(n) > 3) & hit) | c.isin(*ALIASES["code"])
+    fits = lambda n: _any(F.contains(n, F.lit(a)) | F.contains(F.lit(a), n) for a in ALIASES["name"])
+    return let(_norm(name), lambda n: (F.length(n) > 3) & fits(n)) | _norm(code).isin(*ALIASES["code"])
 
 
 def bill_headers(cells: DataFrame) -> DataFrame:
@@ -60,13 +59,14 @@ def bill_headers(cells: DataFrame) -> DataFrame:
 
     The header is the first of the first rows that names both a name and a quantity, else
     row 0. cells: sheet_id, row_idx, cells."""
-    at = [column_index(F.col("cells"), a).alias(k) for k, a in ALIASES.items()]
-    top = cells.filter(F.col("row_idx") < SCANNED).select("sheet_id", "row_idx", *at)
-    good = F.when(F.col("name").isNotNull() & F.col("quantity").isNotNull(), F.struct("row_idx", *ALIASES))
-    first = top.groupBy("sheet_id").agg(F.min(good).alias("h"), F.min(F.when(F.col("row_idx") == 0, F.struct("row_idx", *ALIASES))).alias("z"))
-    n = cells.groupBy("sheet_id").agg(F.count("*").alias("n_rows"))
-    h = F.coalesce("h", "z")
-    return first.select("sheet_id", h.alias("h")).select("sheet_id", F.col("h.row_idx").alias("header_row"), *[F.col(f"h.{k}").alias(k) for k in ALIASES]).join(n, "sheet_id")
+    # only the first rows are looked at; all are counted in the same aggregation
+    normal = cells.select("sheet_id", "row_idx", F.when(F.col("row_idx") < SCANNED, F.transform("cells", _norm)).alias("normal"))
+    at = F.struct("row_idx", *[column_index(F.col("normal"), a).alias(k) for k, a in ALIASES.items()])
+    top = normal.select("sheet_id", "row_idx", F.when(F.col("normal").isNotNull(), at).alias("at"))
+    good = F.when(F.col("at.name").isNotNull() & F.col("at.quantity").isNotNull(), F.col("at"))
+    heads = top.groupBy("sheet_id").agg(F.min(good).alias("h"), F.min(F.when(F.col("row_idx") == 0, F.col("at"))).alias("z"), F.count("*").alias("n_rows"))
+    heads = heads.select("sheet_id", F.coalesce("h", "z").alias("h"), "n_rows")
+    return heads.select("sheet_id", F.col("h.row_idx").alias("header_row"), *[F.col(f"h.{k}").alias(k) for k in ALIASES], "n_rows")
 
 
 def bill_items(cells: DataFrame) -> DataFrame:
@@ -78,8 +78,11 @@ def bill_items(cells: DataFrame) -> DataFrame:
     heads = heads.select("sheet_id", "header_row", every.alias("headers_matched"), *[F.coalesce(F.col(k), F.lit(i)).alias(f"_{k}") for i, k in enumerate(ALIASES)])
     rows = cells.join(heads, "sheet_id").filter(F.col("row_idx") > F.col("header_row"))
     cell = lambda k: trim(F.coalesce(F.get("cells", F.col(f"_{k}")), F.lit("")))
-    rows = rows.withColumn("code", cell("code")).withColumn("name", cell("name")).withColumn("unit", cell("unit")).withColumn("quantity", X.parse_quantity(cell("quantity")))
+    work = lambda v: ~((v["code"] == "") & (v["name"] == "")) & ~summary_row(v["code"]) & ~category_row(v["code"], v["name"]) & ~header_row(v["name"], v["code"])
+    # the cells are cut once and judged as they are; rows that aren't work have none
+    found = let(F.struct(*[cell(k).alias(k) for k in ALIASES]), lambda v: F.when(work(v), v))
+    rows = rows.select("sheet_id", "row_idx", "headers_matched", found.alias("_v")).filter("_v is not null")
+    rows = rows.select("sheet_id", "row_idx", "headers_matched", "_v.code", "_v.name", "_v.unit", X.parse_quantity(F.col("_v.quantity")).alias("quantity"))
     c, n = F.col("code"), F.col("name")
-    rows = rows.filter(~((c == "") & (n == "")) & ~summary_row(c) & ~category_row(c, n) & ~header_row(n, c))
     empty = lambda col, text: F.when(col == "", text).otherwise(col)
     return rows.select("sheet_id", "row_idx", empty(c, F.concat(F.lit("Поз."), F.col("row_idx").cast("string"))).alias("code"), empty(n, F.lit("(без име)")).alias("name"), empty(F.col("unit"), F.lit("бр.")).alias("unit"), "quantity", "headers_matched")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions.chains import trim
+from .html import positions
 from .library import first_per_key, ttl_split, upsert_latest
 from .lines import let
 
@@ -25,38 +26,41 @@ _CUT = r"\s+(?:БДС(?=[A-Za-z0-9_])|EN\s+[0-9]|ISO\s+[0-9]|Наредба\s).*
 
 def _occurrences(text: Column, pattern: str) -> Column:
     """Array of structs raw, before, after of all matches: up to 350 and 300 letters around."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + F.length(s))
-
-    def one(m: Column, i: Column) -> Column:
-        start = total(F.slice(between, 1, i + 1)) + total(F.slice(matches, 1, i))
-        return F.struct(m.alias("raw"), start.alias("at"), F.right(F.left(text, start), F.lit(350)).alias("before"), F.substr(text, start + F.length(m) + 1, F.lit(300)).alias("after"))
-
-    return F.transform(matches, one)
+    around = lambda p: F.struct(
+        p["raw"].alias("raw"), p["at"].alias("at"), F.right(F.left(text, p["at"]), F.lit(350)).alias("before"), F.substr(text, p["at"] + F.length(p["raw"]) + 1, F.lit(300)).alias("after")
+    )
+    return F.transform(positions(text, pattern), around)
 
 
 def _capped(title: Column) -> Column:
-    t = F.when(F.length(title) > 200, trim(F.regexp_replace(F.left(title, F.lit(200)), r"\s+\S*\z", ""))).otherwise(title)
-    t = trim(F.regexp_replace(t, r"[.,;]+\z", ""))
-    return let(t, lambda v: F.when(F.size(F.split(v, r"\s+")) >= 2, v))
+    cut = lambda t: F.when(F.length(t) > 200, trim(F.regexp_replace(F.left(t, F.lit(200)), r"\s+\S*\z", ""))).otherwise(t)
+    plain = let(title, lambda t: trim(F.regexp_replace(cut(t), r"[.,;]+\z", "")))
+    return let(plain, lambda v: F.when(F.size(F.split(v, r"\s+")) >= 2, v))
 
 
 def title_after(tail: Column) -> Column:
     """The title behind a citation: after a dash, from a capital, up to what isn't title."""
     rest = F.regexp_extract(F.regexp_replace(tail, r"^(?::[0-9]{4}(?:/[A-Z0-9:]+)*)?\s*", ""), r"^(?:–|—|-{1,2})\s*([А-ЯA-Z][\s\S]*)", 1)
-    line = F.regexp_extract(rest, r"^[^\n]{15,250}", 0)
-    t = trim(F.regexp_replace(F.regexp_replace(line, _CUT, ""), r"(?iu),\s+(?:как|а\s|но\s|или\s|при\s|тъй|поради|освен|вкл|т\.|и\s+т\.).*", ""))
-    parts = F.split(t, r"\.\s+(?=[А-ЯA-Z])")
-    three = F.array_join(F.slice(parts, 1, F.when(F.length(F.get(parts, F.lit(2))) <= 40, 3).otherwise(2)), ". ")
-    return F.when(line != "", _capped(F.when(F.size(parts) >= 3, three).otherwise(t)))
+
+    def shown(line: Column) -> Column:
+        t = trim(F.regexp_replace(F.regexp_replace(line, _CUT, ""), r"(?iu),\s+(?:как|а\s|но\s|или\s|при\s|тъй|поради|освен|вкл|т\.|и\s+т\.).*", ""))
+        return let(t, lambda whole: let(F.split(whole, r"\.\s+(?=[А-ЯA-Z])"), lambda parts: sentences(whole, parts)))
+
+    def sentences(whole: Column, parts: Column) -> Column:
+        few = F.array_join(F.slice(parts, 1, F.when(F.length(F.get(parts, F.lit(2))) <= 40, 3).otherwise(2)), ". ")
+        return F.when(F.size(parts) >= 3, few).otherwise(whole)
+
+    return let(F.regexp_extract(rest, r"^[^\n]{15,250}", 0), lambda line: F.when(line != "", _capped(shown(line))))
 
 
 def title_before(head: Column) -> Column:
     """The title in front of a citation: the last block before a dash, from a capital."""
     cand = trim(F.regexp_extract(head, r"^([\s\S]*?)(?:–|—|-{1,2})\s*\z", 1))
-    block = trim(F.element_at(F.split(cand, r"[\n;]", -1), -1))
-    ok = (F.length(cand) >= 15) & (F.length(block) >= 15) & block.rlike("^[А-ЯA-Z]")
-    return F.when(ok, _capped(trim(F.regexp_replace(block, _CUT, ""))))
+
+    def from_block(block: Column) -> Column:
+        return F.when((F.length(block) >= 15) & block.rlike("^[А-ЯA-Z]"), _capped(trim(F.regexp_replace(block, _CUT, ""))))
+
+    return let(cand, lambda c: F.when(F.length(c) >= 15, let(trim(F.element_at(F.split(c, r"[\n;]", -1), -1)), from_block)))
 
 
 def inline_description(tail: Column) -> Column:
@@ -77,8 +81,9 @@ def extract_references(docs: DataFrame, key: str, text: str = "text") -> DataFra
     all_ = F.concat(*[F.transform(_occurrences(F.col("_t"), p), numbered(n)) for n, p in enumerate(STANDARDS + REGULATIONS)])
     rows = found.select(key, F.explode(all_).alias("x")).select(key, "x.pattern", F.col("x.o.at").alias("pos"), trim(F.col("x.o.raw")).alias("raw"), F.col("x.o.before").alias("before"), F.col("x.o.after").alias("after"))
     standard = F.col("pattern") < len(STANDARDS)
-    rows = rows.withColumn("normalized", F.when(standard, X.standard_name(F.col("raw"))).otherwise(X.regulation_name(F.col("raw"))))
-    rows = rows.filter(~(standard & F.col("normalized").rlike(r"-\z")))
+    # bound, so that neither the filter nor what follows reads the raw form again
+    rows = rows.withColumn("normalized", let(F.when(standard, X.standard_name(F.col("raw"))).otherwise(X.regulation_name(F.col("raw"))), lambda v: F.when(~(standard & v.rlike(r"-\z")), v)))
+    rows = rows.filter("normalized is not null")
     rows = rows.withColumn("_k", F.when(standard, F.regexp_replace("normalized", r"^БДС\s+", "")).otherwise(F.col("normalized")))
     rows = first_per_key(rows, [key, "_k"], [F.col("pattern"), F.col("pos")])
     title = F.when(standard, F.coalesce(title_after(F.col("after")), title_before(F.col("before"))))
@@ -103,24 +108,41 @@ def stage_status(code: Column) -> Column:
 
 
 def _number_keys(title: Column) -> Column:
-    """The numbers of a title, each cut at its dashes, dots and colons: 933-1 gives 933, 933-1.
+    """The numbers of a title, each cut at its dashes, dots and colons: 933-1 gives 933, 1.
+
+    A term with letters in it that stands in a title is found under its first number."""
+    numbers = F.regexp_extract_all(title, F.lit(r"[0-9]+(?:[\-.:][0-9]+)*"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(numbers, lambda n: F.split(n, r"[\-.:]"))))
+
 
-    A term that stands in a title by itself starts at one of its numbers, so it is among these
-    or, with letters in it, is found under its first number."""
+def _number_terms(title: Column) -> Column:
+    """All terms of numbers in a title, whole and in parts: 933-1:2012 gives 933, 933-1,
+    933-1:2012, 1, 1:2012, 2012."""
     numbers = F.regexp_extract_all(title, F.lit(r"[0-9]+(?:[\-.:][0-9]+)*"), F.lit(0))
-    parts = F.flatten(F.transform(numbers, lambda n: F.split(n, r"[\-.:]")))
-    return F.array_distinct(parts)
+    run = lambda t, i, j: F.array_join(F.slice(t, i + 1, j - i + 1), "")
+    ends = lambda t, i: F.sequence(i, F.size(t) - 1, F.lit(2))
+    of = lambda t: F.flatten(F.transform(ends(t, F.lit(0)), lambda i: F.transform(ends(t, i), lambda j: run(t, i, j))))
+    return F.array_distinct(F.flatten(F.transform(numbers, lambda n: let(F.regexp_extract_all(n, F.lit(r"[0-9]+|[\-.:]"), F.lit(0)), of))))
+
+
+def _cards_of(terms: DataFrame, registry: DataFrame) -> DataFrame:
+    """Terms with the cards in whose title they stand alone: no digit around them, nor a digit
+    and a space or dash before them.
+
+    A term of numbers meets only the cards that have it, so a frequent number makes no more
+    rows than it has matches; a term with letters meets those of its first number."""
+    plain = F.col("search_term").rlike(r"^[0-9]+(?:[\-.:][0-9]+)*\z")
+    terms = terms.withColumn("_n", F.when(plain, F.col("search_term")).otherwise(F.concat(F.lit("#"), F.regexp_extract("search_term", "[0-9]+", 0)))).filter("_n <> '#'")
+    cards = registry.withColumn("_n", F.explode(F.concat(_number_terms(F.col("title")), F.transform(_number_keys(F.col("title")), lambda n: F.concat(F.lit("#"), n)))))
+    alone = F.concat(F.lit(r"(?<![0-9])(?<![0-9][\s\-])\Q"), F.col("search_term"), F.lit(r"\E(?![0-9])"))
+    return terms.join(cards, "_n").drop("_n").filter(F.regexp_like("title", alone))
 
 
 def registry_match(refs: DataFrame, registry: DataFrame) -> DataFrame:
     """search_term and the first card (by ord) that has it: title, status_code, status.
 
-    registry: ord, title, status_code. The term must stand alone: no digit around it, nor a
-    digit and a space or dash before it. Only cards that share the term's first number meet it."""
-    terms = refs.select("search_term").distinct().withColumn("_n", F.regexp_extract("search_term", "[0-9]+", 0)).filter("_n <> ''")
-    cards = registry.withColumn("_n", F.explode(_number_keys(F.col("title"))))
-    alone = F.concat(F.lit(r"(?<![0-9])(?<![0-9][\s\-])\Q"), F.col("search_term"), F.lit(r"\E(?![0-9])"))
-    hits = terms.join(cards, "_n").filter(F.regexp_like("title", alone))
+    registry: ord, title, status_code."""
+    hits = _cards_of(refs.select("search_term").distinct(), registry)
     best = hits.groupBy("search_term").agg(F.min_by(F.struct("title", "status_code"), F.struct("ord", "title")).alias("c"))
     return best.select("search_term", "c.title", "c.status_code", stage_status(F.col("c.status_code")).alias("status"))
 
@@ -128,10 +150,8 @@ def registry_match(refs: DataFrame, registry: DataFrame) -> DataFrame:
 def registry_successor(matched: DataFrame, registry: DataFrame) -> DataFrame:
     """matched with replaced_by and draft_version: of other cards of the same number the first
     published and the first draft, annexes left out; for replaced standards only."""
-    old = matched.filter("status = 'replaced'").select("search_term", F.col("title").alias("_old")).withColumn("_n", F.regexp_extract("search_term", "[0-9]+", 0))
-    cards = registry.withColumn("_n", F.explode(_number_keys(F.col("title"))))
-    alone = F.concat(F.lit(r"(?<![0-9])(?<![0-9][\s\-])\Q"), F.col("search_term"), F.lit(r"\E(?![0-9])"))
-    rest = old.join(cards, "_n").filter(F.regexp_like("title", alone) & (F.col("title") != F.col("_old")) & ~F.contains("title", F.lit("/NA:")))
+    old = matched.filter("status = 'replaced'").select("search_term", F.col("title").alias("_old"))
+    rest = _cards_of(old, registry).filter((F.col("title") != F.col("_old")) & ~F.contains("title", F.lit("/NA:")))
     published = F.col("status_code").isin(*PUBLISHED)
     draft = ~published & (F.col("status_code").isin(*DRAFTS) | F.startswith("title", F.lit("pr")))
     found = rest.groupBy("search_term").agg(F.min_by(F.when(published, F.col("title")), F.when(published, F.col("ord"))).alias("replaced_by"), F.min_by(F.when(draft, F.col("title")), F.when(draft, F.col("ord"))).alias("draft_version"))
@@ -146,9 +166,14 @@ def regulation_match(refs: DataFrame, listing: DataFrame) -> DataFrame:
     t = listing.withColumn("_u", F.upper("title"))
     t = t.filter(~(F.col("_u").rlike("ИЗМЕНЕНИЕ|ДОПЪЛНЕНИЕ") & F.col("_u").rlike(r"НА\s+НАРЕДБА")))
     t = t.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("_u", F.lit("[0-9]{4}"), F.lit(0)))))
-    numeric = F.regexp_like("_u", F.concat(F.lit(r"№\s*"), F.col("id"), F.lit(r"(?:\s|,|\z)")))
-    same = F.when(F.col("id").rlike(r"^[0-9]+\z"), numeric).otherwise(F.contains("_u", F.upper("id")))
-    hits = r.join(t, "year").filter(same & F.contains("_u", F.col("month")))
+    months = F.array(*[F.lit(m.upper()) for m in X.MONTHS])
+    t = t.withColumn("month", F.explode(F.concat(F.array(F.lit("")), F.filter(months, lambda m: F.contains(F.col("_u"), m)))))
+    # a number is a key of its own; names with letters are looked for among those of the month
+    numeric = F.col("id").rlike(r"^[0-9]+\z")
+    numbered = t.withColumn("id", F.explode(F.array_distinct(F.regexp_extract_all("_u", F.lit(r"№\s*([0-9]+)(?=\s|,|\z)"), F.lit(1)))))
+    hits = r.filter(numeric).join(numbered, ["year", "month", "id"]).select("normalized", "ord", "title", "url")
+    named = r.filter(~numeric).join(t, ["year", "month"]).filter(F.contains("_u", F.upper("id"))).select("normalized", "ord", "title", "url")
+    hits = hits.unionByName(named)
     return hits.groupBy("normalized").agg(F.min_by(F.struct("title", "url"), F.struct("ord", "url")).alias("m")).select("normalized", "m.title", "m.url")
 
 

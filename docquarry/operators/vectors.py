@@ -18,11 +18,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def topk(sections: DataFrame, query: DataFrame, k: int = 3, vector: str = "embedding", key: str = "vec_id", kind: Column | None = None) -> DataFrame:
-    """The k rows nearest to the query, which is the one row of column q. Rows without a
-    vector are left out; equally near ones come by key. Only k rows a task leave it."""
+    """The k rows nearest to the query, which is the one row of column q. A null or zero query
+    finds nothing; rows without a vector, or with a zero one, are left out; equally near ones
+    come by key. Only k rows a task leave it."""
     rows = sections.filter(F.col(vector).isNotNull())
     rows = rows.filter(kind) if kind is not None else rows
-    scored = rows.crossJoin(F.broadcast(query.limit(1))).withColumn("similarity", cosine(F.col(vector), F.col("q")))
+    scored = rows.crossJoin(F.broadcast(query.limit(1).filter("q is not null"))).withColumn("similarity", cosine(F.col(vector), F.col("q")))
+    scored = scored.filter(F.col("similarity").isNotNull())
     return scored.orderBy(F.col("similarity").desc_nulls_last(), key).limit(k).drop("q")
 
 
@@ -35,8 +37,8 @@ def topk_batch(queries: DataFrame, sections: DataFrame, k: int = 3, vector: str
 
     queries: query, q. Blocks of at most MOST_SENT query vectors are sent out, one after the
     other; each task multiplies its rows with them and keeps k for each query, so what is
-    shuffled is k rows for each query and task. Vectors that are null, zero, or of another
-    length than the queries' first have no neighbours."""
+    shuffled is k rows for each query and task. Vectors are compared with those of their own
+    length; null and zero ones have no neighbours."""
     spark = sections.sparkSession
     named = queries.filter("q is not null").select(query, "q")
     parts = max(1, -(-named.count() // MOST_SENT))
@@ -46,12 +48,13 @@ def topk_batch(queries: DataFrame, sections: DataFrame, k: int = 3, vector: str
         held = own.toPandas()
         if not len(held):
             continue
-        dim = len(held["q"].iloc[0])
-        held = held[[len(v) == dim for v in held["q"]]]
-        q = np.array(held["q"].tolist(), np.float64)
-        size = np.linalg.norm(q, axis=1)
-        sent = spark.sparkContext.broadcast((held[query].to_numpy()[size > 0], q[size > 0] / size[size > 0, None]))
-        out = sections.filter(F.size(vector) == dim).select(key, vector).mapInPandas(_nearest(sent, k, vector, key, query), f"{query} long, {key} long, similarity double")
+        sent = {}
+        for dim, own in held.groupby(held["q"].map(len)):
+            q = np.array(own["q"].tolist(), np.float64)
+            size = np.linalg.norm(q, axis=1)
+            sent[dim] = (own[query].to_numpy()[size > 0], q[size > 0] / size[size > 0, None])
+        sent = spark.sparkContext.broadcast(sent)
+        out = sections.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(_nearest(sent, k, vector, key, query), f"{query} long, {key} long, similarity double")
         found = out if found is None else found.union(out)
     if found is None:
         found = spark.createDataFrame([], f"{query} long, {key} long, similarity double")
@@ -61,26 +64,29 @@ def topk_batch(queries: DataFrame, sections: DataFrame, k: int = 3, vector: str
 
 def _nearest(sent, k: int, vector: str, key: str, query: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = sent.value
-        best_s = np.full((len(ids), 0), 0.0)
-        best_k = np.zeros((len(ids), 0), np.int64)
+        best = {dim: (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)) for dim, (ids, _) in sent.value.items()}
         for pdf in batches:
-            x = np.array(pdf[vector].tolist(), np.float64)
-            size = np.linalg.norm(x, axis=1)
-            x, keys = x[size > 0] / size[size > 0, None], pdf[key].to_numpy()[size > 0]
-            if not len(x):
-                continue
-            new_s, new_k = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
-            parts = []
-            for at in range(0, len(ids), BLOCK):
-                s = np.concatenate((best_s[at : at + BLOCK], q[at : at + BLOCK] @ x.T), 1)
-                n = np.concatenate((best_k[at : at + BLOCK], np.broadcast_to(keys, (len(s), len(keys)))), 1)
-                order = np.lexsort((n, -np.round(s, 12)), axis=1)[:, :k]
-                parts.append((np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)))
-            new_s, new_k = (np.concatenate(p) for p in zip(*parts, strict=True))
-            best_s, best_k = new_s, new_k
-        if best_s.shape[1]:
-            yield pd.DataFrame({query: np.repeat(ids, best_s.shape[1]), key: best_k.ravel(), "similarity": best_s.ravel()})
+            for dim, own in pdf.groupby(pdf[vector].map(len)):
+                if dim in best:
+                    best[dim] = better(best[dim], sent.value[dim][1], own)
+        for dim, (s, n) in best.items():
+            if s.shape[1]:
+                yield pd.DataFrame({query: np.repeat(sent.value[dim][0], s.shape[1]), key: n.ravel(), "similarity": s.ravel()})
+
+    def better(best: tuple[np.ndarray, np.ndarray], q: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(rows[vector].tolist(), np.float64)
+        size = np.linalg.norm(x, axis=1)
+        x, keys = x[size > 0] / size[size > 0, None], rows[key].to_numpy()[size > 0]
+        if not len(x) or not len(q):
+            return best
+        parts = []
+        for at in range(0, len(q), BLOCK):
+            s = np.concatenate((best[0][at : at + BLOCK], q[at : at + BLOCK] @ x.T), 1)
+            n = np.concatenate((best[1][at : at + BLOCK], np.broadcast_to(keys, (len(s), len(keys)))), 1)
+            order = np.lexsort((n, -np.round(s, 12)), axis=1)[:, :k]
+            parts.append((np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)))
+        s, n = (np.concatenate(p) for p in zip(*parts, strict=True))
+        return s, n
 
     return run
 
@@ -227,3 +233,18 @@ def embed_sections(sections: DataFrame, text: str, embed, most: int = 8000, name
             yield pd.Series(out)
 
     return sections.withColumn(name, run(F.col(text)))
+
+
+def search_sections(sections: DataFrame, text: DataFrame, embed, order: list[Column], k: int = 3, kind: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The k sections nearest to the one text of text (column text), with similarity.
+
+    A blank or null text finds nothing. Where its embedding fails, the newest k by order are
+    given instead, with similarity 0.5. kind filters the sections before both."""
+    asked = text.limit(1).filter(F.trim("text") != "")
+    q = embed_sections(asked.select("text"), "text", embed, name="q").first()
+    if q is None:
+        return recent(sections, order, 0, kind)
+    if q.q is None:
+        return recent(sections, order, k, kind)
+    held = sections.sparkSession.createDataFrame([(q.q,)], "q array<float>")
+    return topk(sections, held, k, vector, key, kind)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
@@ -19,10 +17,7 @@ _KEY = X.title_key_plain
 
 def folder(spark) -> str:
     """A fresh folder that executors see as well."""
-    import uuid
-
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/job-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="spark-")
+    return T.fresh_path(spark, "job")
 
 
 def topk_context(spark, d):
@@ -79,6 +74,24 @@ QUERIES["embed_sections"] = lambda s, d: V.embed_sections(table(s, d, "benchmark
 SQL["embed_sections"] = "SELECT item_id, 64 AS dim, 1.0::DOUBLE AS self FROM benchmark"
 
 
+def _length_embedder():
+    """Two numbers of a text, so that SQL can say them too: 1 and the length in thousands of letters."""
+    return lambda texts: [[1.0, len(t) / 1024] for t in texts]
+
+
+def search_sections(spark, d):
+    """The three English documents nearest to the first benchmark text, by a toy embedding."""
+    docs = V.embed_sections(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", _length_embedder())
+    text = table(spark, d, "benchmark").agg(F.min_by("text", "item_id").alias("text"))
+    return V.search_sections(docs, text, _length_embedder(), [F.col("doc_id").desc()], key="doc_id", kind=F.col("lang") == "en").select("doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES["search_sections"] = search_sections
+SQL["search_sections"] = """WITH e AS (SELECT doc_id, CAST(least(length(text), 8000) / 1024.0 AS FLOAT)::DOUBLE AS y FROM documents WHERE lang = 'en' AND trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> ''),
+  q AS (SELECT CAST(least(length(min_by(text, item_id)), 8000) / 1024.0 AS FLOAT)::DOUBLE AS z FROM benchmark)
+  SELECT doc_id, round((1 + y * z) / (sqrt(1 + y * y) * sqrt(1 + z * z)), 6) AS similarity FROM e, q ORDER BY (1 + y * z) / (sqrt(1 + y * y) * sqrt(1 + z * z)) DESC, doc_id LIMIT 3"""
+
+
 def best_version(spark, d):
     """Documents as versions of a section: the key is the beginning of the text."""
     docs = table(spark, d, "documents")
@@ -281,7 +294,7 @@ def stream_upsert(spark, d):
     out, ev = folder(spark), table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
     ev.repartitionByRange(4, "event_id").write.parquet(f"{out}/in")
     jobs.upsert_stream(jobs.file_source(spark, f"{out}/in", ev.schema, 2), f"{out}/table", f"{out}/state", ["user_id", "event_type"], ["ts", "event_id"])
-    return spark.read.parquet(f"{out}/table/*").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return jobs.latest_table(spark, f"{out}/table", ev.schema).select("user_id", "event_type", "event_id")
 
 
 QUERIES["stream_upsert"] = stream_upsert
@@ -289,14 +302,22 @@ SQL["stream_upsert"] = "SELECT user_id, event_type, event_id FROM events QUALIFY
 
 
 def stream_ttl_cache(spark, d):
-    """Events as questions to the cache of their user, in order of time within a batch."""
+    """Events as questions to the cache of their user; they arrive in four files, by time."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = folder(spark)
     ev = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), _status().alias("status"))
-    ev.write.parquet(f"{out}/in")
-    stream = jobs.ttl_cache(jobs.file_source(spark, f"{out}/in", ev.schema, 10_000), "user_id")
+    cuts = ev.select(F.col("ts").cast("double").alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01) or [0.0]
+    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        part = ev.filter((F.col("ts").cast("double") >= lo) & (F.col("ts").cast("double") < hi))
+        part.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    stream = jobs.ttl_cache(jobs.file_source(spark, f"{out}/in", ev.schema, 1), "user_id")
     stream.writeStream.format("parquet").option("path", f"{out}/out").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/out")
 
 
 QUERIES["stream_ttl_cache"] = stream_ttl_cache
+SQL["stream_ttl_cache"] = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, {_STATUS_SQL} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT user_id, event_id, n, t AS held, status AS known, 'check' AS state FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - r.held < 86400 AND r.known <> 'unknown' THEN r.held ELSE e.t END, CASE WHEN e.t - r.held < 86400 AND r.known <> 'unknown' THEN r.known ELSE e.status END,
+      CASE WHEN e.t - r.held < 86400 AND r.known <> 'unknown' THEN 'fresh' ELSE 'check' END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+  SELECT event_id, state FROM r"""

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import entities as E, text as X
-from ..functions.chains import quote, sql_trim
+from ..functions.chains import quote, sql_trim, trim
 from ..operators import bills, citations as C, html as H, lines as O, matching as M
 from ..sources.tables import table
 from .library import folder
@@ -229,8 +229,19 @@ SQL["cut_trailing"] = """SELECT page_id, length(h) AS n, length(h || '<table><tr
 
 QUERIES["html_paragraphs"] = lambda s, d: H.paragraphs(table(s, d, "pages"), "page_id").select("page_id", "pos", "raw")
 SQL["html_paragraphs"] = r"SELECT page_id, unnest(p) AS raw, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>.*?</p>') AS p FROM pages)"
-QUERIES["bold_headings"] = lambda s, d: H.paragraphs(table(s, d, "pages"), "page_id").filter(F.col("raw").rlike(r"(?i)<strong>|<b>")).select("page_id", "pos")
-SQL["bold_headings"] = f"SELECT page_id, pos FROM ({SQL['html_paragraphs']}) WHERE regexp_matches(raw, '(?i)<strong>|<b>')"
+
+
+def role_pages(spark, d):
+    """Pages with the heading of a role, a longer bold line, and a role without bold before their own text."""
+    key = F.col("page_id").cast("string")
+    more = F.concat(F.lit("<p><b>Отговорник "), key, F.lit("</b></p><p><b>1. Етап "), key, F.lit("</b></p><p>инженер "), key, F.lit("</p><p><strong>"), F.repeat(F.lit("дълъг "), 20), F.lit("</strong></p>"))
+    return table(spark, d, "pages").select("page_id", F.concat(more, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+QUERIES["bold_headings"] = lambda s, d: H.paragraphs(role_pages(s, d), "page_id").filter(H.position_heading(F.col("raw"), trim(F.col("text")))).select("page_id", "pos")
+_ROLE_P = SQL["html_paragraphs"].replace("(html,", "('<p><b>Отговорник ' || page_id || '</b></p><p><b>1. Етап ' || page_id || '</b></p><p>инженер ' || page_id || '</p><p><strong>' || repeat('дълъг ', 20) || '</strong></p>' || coalesce(html, ''),")
+SQL["bold_headings"] = rf"""SELECT page_id, pos FROM (SELECT page_id, pos, raw, {sql_trim(X.html_paragraphs.sql('raw'))} AS t FROM ({_ROLE_P})) WHERE length(t) BETWEEN 3 AND 80 AND NOT regexp_matches(t, '(?i)^[0-9]+\.\s*(Етап|Основни|Задължения|Отговорности)')
+  AND NOT regexp_matches(t, '^[✅🔹]') AND NOT regexp_matches(t, '(?i)^(Ключови експерти|Основна цел)') AND regexp_matches(t, '[А-Яа-яЁё]') AND NOT regexp_matches(t, '[.;:!?]$') AND (regexp_matches(raw, '(?i)<strong>|<b>') OR regexp_matches(t, '(?i)ръководител|специалист|експерт|лице\s+по|координатор|инженер|геодез'))"""
 QUERIES["heading_blocks"] = lambda s, d: O.heading_blocks(H.paragraphs(table(s, d, "pages"), "page_id"), "page_id", F.col("raw").rlike(r"(?i)<strong>|<b>")).select("page_id", "ord", "title", "body")
 _para = X.html_paragraphs.sql("raw")
 SQL["heading_blocks"] = f"""WITH p AS (SELECT page_id, pos, {_para} AS text, CASE WHEN regexp_matches(raw, '(?i)<strong>|<b>') THEN 1 ELSE 0 END AS h FROM ({SQL['html_paragraphs']})),
@@ -333,16 +344,15 @@ SQL["parse_llm_array"] = "SELECT c_custkey, 'p' || c_custkey AS position, 'NONE'
 
 
 def parse_section_list(spark, d):
-    """Sections in an answer's JSON: known kinds only, the first technology only."""
-    raw = F.concat(F.lit('[{"type":"introduction","title":"У'), _k(), F.lit('"},{"type":"smr_technology","title":"а"},{"type":"smr_technology","title":"б"},{"type":"друго","title":"в"}]'))
-    rows = _named(spark, d, F.posexplode(E.llm_rows(raw, "array<struct<type:string,title:string,offset:int>>")).alias("pos", "x")).select("c_custkey", "pos", "x.type", "x.title", F.coalesce("x.offset", F.lit(0)).alias("offset"))
-    rows = rows.filter(F.col("type").isin("introduction", "smr_technology", "team_organization", "communication", "other"))
-    n = F.row_number().over(W.partitionBy("c_custkey", "type").orderBy("pos"))
-    return rows.withColumn("n", n).filter("type <> 'smr_technology' or n = 1").select("c_custkey", "type", "title", "offset")
+    """Sections in answers: known kinds with a title, the first technology only; some answers aren't JSON."""
+    raw = F.concat(F.lit('ето: [{"type":"introduction","title":"У'), _k(), F.lit('"},{"type":"other","title":""},{"type":"smr_technology","title":"а","offset":7},{"type":"smr_technology","title":"б"},{"type":"друго","title":"в"}] край'))
+    raw = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("няма раздели "), _k())).when(F.col("c_custkey") % 5 == 1, F.concat(F.lit("[ счупено "), _k(), F.lit("]"))).otherwise(raw)
+    return _named(spark, d, F.inline(E.section_list(raw)))
 
 
 QUERIES["parse_section_list"] = parse_section_list
-SQL["parse_section_list"] = """SELECT c_custkey, 'introduction' AS type, 'У' || c_custkey AS title, 0 AS "offset" FROM customer UNION ALL SELECT c_custkey, 'smr_technology', 'а', 0 FROM customer"""
+SQL["parse_section_list"] = """SELECT c_custkey, 'introduction' AS type, 'У' || c_custkey AS title, 0 AS "offset" FROM customer WHERE c_custkey % 5 > 1 UNION ALL SELECT c_custkey, 'smr_technology', 'а', 7 FROM customer WHERE c_custkey % 5 > 1
+  UNION ALL SELECT c_custkey, 'other', 'Цялото съдържание', 0 FROM customer WHERE c_custkey % 5 <= 1"""
 
 
 def _roles(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MB = 1 << 20
@@ -14,6 +17,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir.
+
+    Where the session names none, it is a folder of the warehouse, and in a session of one
+    process a temporary one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_jobs"
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def fresh_path(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def manifest(files: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """path, length, accepted, reason of a listing with columns path and length.
 

@@ -40,42 +40,72 @@ def section_ingest(source: DataFrame, target: str, checkpoint: str, key, only, o
 
 
 def upsert_stream(source: DataFrame, target: str, checkpoint: str, key: list[str], version: list[str]) -> None:
-    """Keep the latest row of each key at target/<batch>; the last folder is the table."""
-    spark, at = source.sparkSession, {"last": None}
+    """Keep the latest row of each key at target/<batch>; the folder of the last batch is the
+    table (latest_table()). A restarted stream goes on from the folder that is there; a batch
+    that is repeated after a failure starts from the one before it."""
+    spark = source.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
-        base = batch.limit(0) if at["last"] is None else spark.read.schema(batch.schema).parquet(f"{target}/{at['last']}")
+        done = [m for m in finished_batches(spark, target) if m < n]
+        base = spark.read.schema(batch.schema).parquet(f"{target}/{max(done)}") if done else batch.limit(0)
         library.upsert_latest(base, batch, key, version).write.mode("overwrite").parquet(f"{target}/{n}")
-        at["last"] = n
 
     run_batches(source, checkpoint, step)
 
 
+def finished_batches(spark: SparkSession, target: str) -> list[int]:
+    """The batches whose folders under target were written to the end."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
+
+
+def latest_table(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The table that upsert_stream() keeps; no rows before its first batch."""
+    done = finished_batches(spark, target)
+    return spark.read.schema(schema).parquet(f"{target}/{done[-1]}") if done else spark.createDataFrame([], schema)
+
+
 class LatestStatus(StatefulProcessor):
-    """For each key the newest known status; rows say whether the cache could answer them."""
+    """For each key the newest known status; rows say whether the cache could answer them.
+
+    A status is forgotten when the stream's watermark is past its time and the hours it holds:
+    a timer of its key clears it, so state is as large as the keys of these last hours."""
 
     def __init__(self, ttl_hours: int = 24):
-        self.ttl = ttl_hours
+        self.ttl = ttl_hours * 3600
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "at double, status string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            out = []
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-                at, got = r.ts.timestamp(), self.held.get() if self.held.exists() else None
-                fresh = got is not None and at - got[0] < self.ttl * 3600 and got[1] != "unknown"
-                if not fresh:
-                    self.held.update((at, r.status))
-                out.append((r.event_id, "fresh" if fresh else "check"))
-            yield pd.DataFrame(out, columns=["event_id", "state"])
+        self.handle, self.held = handle, handle.getValueState("held", "at double, status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.held.get() if self.held.exists() else None
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        state = []
+        for at, status in zip(events["ts"].map(pd.Timestamp.timestamp), events["status"], strict=True):
+            fresh = held is not None and at - held[0] < self.ttl and held[1] != "unknown"
+            held = held if fresh else (at, status)
+            state.append("fresh" if fresh else "check")
+        self.held.update(held)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(int((held[0] + self.ttl) * 1000))
+        yield pd.DataFrame({"event_id": events["event_id"], "state": state})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists() and (self.held.get()[0] + self.ttl) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def ttl_cache(events: DataFrame, key: str, hours: int = 24) -> DataFrame:
+def ttl_cache(events: DataFrame, key: str, hours: int = 24, late: str = "0 seconds") -> DataFrame:
     """event_id, state of a stream event_id, key, ts, status: each row asks the cache, and a
-    row that isn't answered renews it."""
-    return events.groupBy(key).transformWithStateInPandas(LatestStatus(hours), "event_id long, state string", "Append", "None")
+    row that isn't answered renews it. Rows come by time, at most so late."""
+    return events.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(LatestStatus(hours), "event_id long, state string", "Append", "EventTime")
