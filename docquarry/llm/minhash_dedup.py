@@ -6,13 +6,15 @@ ranks of one shingle are correlated, which lowers the variance, and a shingle st
 as its rank is above all values held. Work is by ranks: all shingles of many documents take
 their first rank together, then those of documents with a place still open their second.
 
-Documents with equal shingle sets are one class. A class meets the smallest class of each
-bucket of its bands; where links to that one don't join a bucket, its classes are compared by
-their signatures in blocks. Every candidate is confirmed on the full shingle sets."""
+Documents with equal shingle sets are one class. A class meets the first class of each bucket
+of its bands, and these pairs are confirmed on the full shingle sets. Where their links don't
+join a bucket, its classes are compared by their signatures, in blocks; those alike enough to
+be candidates make clusters, and the classes of a cluster are compared on their full sets, in
+blocks as well. Jobs return spanning forests, so no stage makes more rows than it reads."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
 #: Shingles whose permutations are held at a time.
 AT_ONCE = 1 << 17
-#: Of 128 places, a pair of similarity 0.75 agrees in 96 on average; in fewer than 70 with probability below 1e-10.
+#: Of 128 places, a pair of similarity 0.75 agrees in 96 on average; in fewer than 70 with a
+#: probability below 2e-7 (of independent places; those of one permutation vary less).
 LEAST_PLACES = 70
-#: Members of a bucket that are compared in one job with as many others.
-BLOCK = 512
+#: Signatures of a bucket that one job holds (128 bytes each), twice so many where two blocks meet.
+BLOCK = 8192
+#: Bytes of the shingle sets of a cluster that one job holds, twice so many where two blocks meet.
+SET_BYTES = 1 << 25
 #: So many document ids are sent to all executors (8 bytes each); more are joined by shuffle.
 MOST_SENT = 500_000
 
@@ -139,18 +144,27 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, places binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, least: int = LEAST, k: int = SHINGLE) -> DataFrame:
-    """Those pairs a, b of documents whose full shingle sets are similar enough."""
-    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = nodes.count() <= MOST_SENT
-    docs = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, held: the full shingle set of each node, from a text of its class."""
+    wanted = settle(nodes.join(classes.select("node", "doc_id", "set_key"), "node"))
+    ids = wanted.select("doc_id").distinct()
+    few = wanted.count() <= MOST_SENT
+    docs = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                found = [shingle_set(t, k).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "held"])
+                found = [shingle_set(t, k).tobytes() for t in batch.column(0).slice(at, 200).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], ["set_key", "held"])
+
+    # rows that share a key may differ in their texts: the set's own key tells which is meant
+    made = docs.select("text").mapInArrow(sets, "set_key binary, held binary")
+    made = made.join(F.broadcast(wanted.select("set_key", "node")) if few else wanted.select("set_key", "node"), "set_key")
+    return settle(made.select("node", "held").dropDuplicates(["node"]))
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: int = LEAST, k: int = SHINGLE) -> DataFrame:
+    """Those pairs a, b of nodes whose full shingle sets are similar enough."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -164,108 +178,173 @@ def confirm(pairs: DataFrame, docs: DataFrame, least: int = LEAST, k: int = SHIN
                 ok.append(100 * both >= least * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    made = settle(docs.select("doc_id", "text").mapInArrow(sets, "doc_id long, held binary").dropDuplicates(["doc_id"]))
-    both = pairs.join(made.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b").join(made.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
+    made = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, k)
+    both = pairs.join(made.select(F.col("node").alias("b"), F.col("held").alias("y")), "b").join(made.select(F.col("node").alias("a"), F.col("held").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _unjoined(members: DataFrame, block: int, best: bool) -> DataFrame:
-    """Candidate pairs between different components of the same bucket, by signature.
-
-    members: bucket, node, n_shingles, component, places. Blocks of a bucket meet in jobs of
-    bounded size, and a job returns only pairs that agree in enough places; with best, for
-    each member the one that agrees most, so no more pairs than members."""
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    jobs = placed.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("job"), "block", "node", "n_shingles", "component", "places")
+def _in_jobs(rows: DataFrame, group: str, size: str, block: int, work: Callable[[pa.Table, bool], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: what work finds in the rows of each group, in blocks.
 
-    def compare(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-        t = pa.Table.from_batches(held)
-        node, n, comp, blk = (t.column(c).to_numpy() for c in ("node", "n_shingles", "component", "block"))
-        p = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8).reshape(len(node), -1)
-        out = []
-        for i in range(len(node)):
-            # of two different blocks only pairs across, of one block each pair once
-            near = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= LEAST * np.maximum(n, n[i]))
-            if not best:
-                near &= node > node[i]
-            if blk.min() != blk.max():
-                near &= blk != blk[i]
-            j = np.flatnonzero(near)
-            same = (p[j] == p[i]).sum(1)
-            j, same = j[same >= LEAST_PLACES * p.shape[1] / PLACES], same[same >= LEAST_PLACES * p.shape[1] / PLACES]
-            if best and len(j):
-                j = j[[int(same.argmax())]]
-            out += [(int(min(node[i], node[x])), int(max(node[i], node[x]))) for x in j]
-        return out
+    A group is cut in as many blocks as its sum of size needs. Each block meets itself and each
+    other block in a job; work gets the job's rows and whether only pairs across blocks count."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.sum(size) / block).alias("blocks"))
+    placed = rows.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # most groups are one block, which needs no copies
+    several = placed.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    placed = placed.filter("blocks <= 1").withColumn("other", F.col("block")).unionByName(several)
+    jobs = placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other", size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            job = batch.column("job").to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(job)) + 1, [len(job)]))
+            key = np.stack([batch.column(c).to_numpy() for c in (group, "lo", "hi")])
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0).any(0)) + 1, [batch.num_rows]))
             found = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and job[a] != last:
-                    found += compare(held)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and tuple(key[:, a]) != last:
+                    found += answer(held)
                     held = []
                 held.append(batch.slice(a, b - a))
-                last = job[a]
-            yield answer(found)
+                last = tuple(key[:, a])
+            yield pairs(found)
         if held:
-            yield answer(compare(held))
+            yield pairs(answer(held))
+
+    def answer(held: list[pa.RecordBatch]) -> list[tuple[int, int]]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        return work(t, t.column("lo")[0].as_py() != t.column("hi")[0].as_py())
 
-    def answer(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    dealt = jobs.repartition("job").sortWithinPartitions("job")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = jobs.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _rows_outside(comp: np.ndarray) -> np.ndarray:
+    """The rows that aren't of the largest component: one end of each pair across components is such a row."""
+    of, at, n = np.unique(comp, return_inverse=True, return_counts=True)
+    return np.flatnonzero(at != n.argmax())
+
+
+def alike(node: np.ndarray, n: np.ndarray, comp: np.ndarray, places: np.ndarray, block: np.ndarray | None, least: int = LEAST) -> list[tuple[int, int]]:
+    """A forest over the nodes that joins all pairs of different components, of different
+    blocks if there are blocks, whose signatures agree enough for a pair of that similarity."""
+    cluster, out = np.arange(len(node)), []
+    enough = LEAST_PLACES * places.shape[1] / PLACES
+    for i in _rows_outside(comp):
+        # a pair within a cluster will meet anyway
+        near = (cluster != cluster[i]) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= least * np.maximum(n, n[i]))
+        if block is not None:
+            near &= block != block[i]
+        j = np.flatnonzero(near)
+        j = j[(places[j] == places[i]).sum(1) >= enough] if len(j) else j
+        if len(j):
+            joined, first = np.unique(cluster[j], return_index=True)
+            out += [(int(node[i]), int(node[x])) for x in j[first]]
+            cluster[np.isin(cluster, joined)] = cluster[i]
+    return out
+
+
+def linked(sets: list[np.ndarray], comp: np.ndarray, block: np.ndarray | None, least: int = LEAST) -> list[tuple[int, int]]:
+    """Pairs of rows that join all components between which there is a link, by full sets.
+
+    Two similar sets share one of their rarest elements: of n elements at most n less the least
+    overlap can be missing in the other. Rows that share none of these aren't looked at."""
+    n = np.array([len(s) for s in sets])
+    start = np.concatenate(([0], np.cumsum(n)))
+    _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    word = rank[word]
+    owner = np.repeat(np.arange(len(sets)), n)
+    word = word[np.lexsort((word, owner))]  # each set from its rarest element on
+    prefix = n - -(-least * n // 100) + 1
+    rare = np.arange(len(word)) - start[owner] < prefix[owner]
+    order = np.argsort(word[rare], kind="stable")
+    post, by = owner[rare][order], word[rare][order]
+    lo, hi = np.searchsorted(by, np.arange(len(count))), np.searchsorted(by, np.arange(len(count)), "right")
+    comp, out, mark = np.unique(comp, return_inverse=True)[1], [], np.zeros(len(count), bool)
+    outside = _rows_outside(comp)
+    is_outside = np.zeros(len(sets), bool)
+    is_outside[outside] = True
+    for i in outside:
+        own = word[start[i] : start[i + 1]]
+        # rows beside it of which one link after the other is looked for, until all are of its component
+        lists = [post[lo[w] : hi[w]] for w in own[: prefix[i]] if hi[w] - lo[w] > 1]
+        if not lists:
+            continue
+        j = np.unique(np.concatenate(lists))
+        j = j[(comp[j] != comp[i]) & (~is_outside[j] | (j > i)) & (100 * np.minimum(n[j], n[i]) >= least * np.maximum(n[j], n[i]))]
+        if block is not None:
+            j = j[block[j] != block[i]]
+        mark[own] = True
+        while len(j):
+            now, j = j[:2048], j[2048:]
+            at = np.concatenate(([0], np.cumsum(n[now])[:-1]))
+            where = np.repeat(start[now] - at, n[now]) + np.arange(n[now].sum())
+            both = np.add.reduceat(mark[word[where]].astype(np.int64), at)
+            good = now[100 * both >= least * (n[now] + n[i] - both)]
+            for x in good:
+                if comp[x] != comp[i]:
+                    out.append((int(i), int(x)))
+                    comp[comp == comp[x]] = comp[i]
+            j = j[comp[j] != comp[i]]
+        mark[own] = False
+    return out
+
+
+def _open_links(met: DataFrame, found: DataFrame, classes: DataFrame, docs: DataFrame, least: int, k: int, block: int, set_bytes: int) -> DataFrame:
+    """Links between classes of one bucket that are of different components so far."""
+    seen = met.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    open_ = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+    members = seen.join(open_, "bucket").join(classes.select("node", "places"), "node").withColumn("one", F.lit(1))
+
+    def compare(t: pa.Table, across: bool) -> list[tuple[int, int]]:
+        if t.num_rows < 2:
+            return []
+        node, n, comp, blk = (t.column(c).to_numpy() for c in ("node", "n_shingles", "component", "block"))
+        places = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8).reshape(len(node), -1)
+        return alike(node, n, comp, places, blk if across else None, least)
+
+    clusters = components(settle(_in_jobs(members, "bucket", "one", block, compare).distinct())).withColumnRenamed("component", "cluster")
+    clusters = settle(clusters.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("node", "cluster", F.coalesce("component", "node").alias("component")))
+    held = clusters.join(_sets(clusters.select("node"), classes, docs, k), "node").withColumn("bytes", F.octet_length("held"))
 
+    def compare_sets(t: pa.Table, across: bool) -> list[tuple[int, int]]:
+        if t.num_rows < 2:
+            return []
+        node, comp, blk = (t.column(c).to_numpy() for c in ("node", "component", "block"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("held")]
+        return [(int(node[x]), int(node[y])) for x, y in linked(sets, comp, blk if across else None, least)]
 
-def _joined(found: DataFrame, new: DataFrame) -> DataFrame:
-    """Components after new links, which join whole components."""
-    end = lambda c: F.coalesce(f"component_{c}", c)
-    for c in ("a", "b"):
-        new = new.join(found.select(F.col("node").alias(f"node_{c}"), F.col("component").alias(f"component_{c}")), F.col(c) == F.col(f"node_{c}"), "left")
-    joined = components(new.select(end("a").alias("a"), end("b").alias("b"))).select(F.col("node").alias("from"), F.col("component").alias("to"))
-    alone = joined.join(found.select(F.col("node").alias("from")), "from", "left_anti")
-    return found.join(joined, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")).union(alone)
+    return settle(_in_jobs(held, "cluster", "bytes", set_bytes, compare_sets))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, block: int = BLOCK, set_bytes: int = SET_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
     Documents without words or text have no shingles and link with nothing. Rows that share a
-    key are one document and keep together; a row without a key links with nothing, has no
-    component and is kept. Repeated rows come back repeated. Other columns are not read. An
-    empty table gives no rows."""
+    key are each compared by their own text; those with equal texts keep together. A row
+    without a key links with nothing, has no component and is kept. Repeated rows come back
+    repeated. Other columns are not read. An empty table gives no rows."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = settle(signatures(docs, bands, rows, k))
-    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "places")).alias("c")).select("set_key", "c.*")
-    classes = settle(classes.withColumnRenamed("doc_id", "node"))
-    reps = classes.drop("set_key")
-    placed = reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    least_of = placed.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.count("*").alias("members")).filter("members > 1")
-    met = settle(placed.join(least_of.select("bucket", "members", F.col("first.node").alias("first"), F.col("first.n_shingles").alias("first_n")), "bucket"))
+    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "places")).alias("c"))
+    # nodes are numbers of their own, as one key may have texts of several classes; written, they stay
+    classes = settle(classes.select(F.monotonically_increasing_id().alias("node"), "set_key", "c.*"))
+    placed = classes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
+    first_of = placed.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.count("*").alias("members")).filter("members > 1")
+    met = settle(placed.join(first_of.select("bucket", "members", F.col("first.node").alias("first"), F.col("first.n_shingles").alias("first_n")), "bucket"))
     sized = 100 * F.least("n_shingles", "first_n") >= least * F.greatest("n_shingles", "first_n")
-    pairs = met.filter(sized & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = settle(pairs)
-    links = settle(confirm(pairs, docs, least, k))
-    found = components(links)
-    # buckets that these links don't join: first each member meets the one most like it among
-    # other components, which joins large groups; then all pairs that are left are looked at
-    tested = pairs
-    for best in (True, True, False):
-        seen = met.filter("members > 2").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-        open_ = seen.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        members = seen.join(open_, "bucket").join(reps.select("node", "places"), "node")
-        more = settle(_unjoined(members, block, best).join(tested, ["a", "b"], "left_anti"))
-        new = settle(confirm(more, docs, least, k))
-        if new.limit(1).count():
-            found = settle(_joined(found, new))
-        tested = tested.union(more)
-    of = classes.select("set_key", "node").join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "node").alias("component"))
+    pairs = settle(met.filter(sized & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    links = settle(confirm(pairs, classes, docs, least, k))
+    more = _open_links(met.filter("members > 2"), components(links), classes, docs, least, k, block, set_bytes)
+    found = components(links.union(more))
+    ids = found.join(classes.select("node", "doc_id"), "node")
+    ids = ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("node").alias("of"), "component_id")
+    of = classes.select("set_key", "node", "doc_id").join(ids, F.col("node") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of, (F.col("set_key") == F.col("class_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
