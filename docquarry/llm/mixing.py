@@ -5,7 +5,9 @@ all sources equal. The exponent is bisected, many points a step, until the weigh
 wanted entropy or no source is repeated more often than allowed. A source's weight times the
 budget is its token budget. It is spent on whole passes over the source and on the beginning
 of one more, each pass in another order: blocks are permuted by a keyed hash, rows inside a
-block as well. Only one block a source is cut; rows are never sorted beyond their block."""
+block as well. Only one block a source is cut; rows are never sorted beyond their block, and
+blocks are ranked in ranges of their hash, so no task sees all blocks of a source. Texts are
+shuffled once, to their blocks, before rows are repeated."""
 
 from __future__ import annotations
 
@@ -13,8 +15,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import settle
 
-#: A block has about this many rows; a source has at most so many blocks.
-BLOCK_ROWS, MOST_BLOCKS = 256, 4096
+#: A block has about this many rows.
+BLOCK_ROWS = 256
+#: Blocks of a source are ranked in 2 ** RANGE_BITS ranges of their hash.
+RANGE_BITS = 12
+#: The plan of so many sources is sent to all executors (about 100 bytes each); that of more
+#: is joined by shuffle, with SALTS rows for each source.
+MOST_SENT, SALTS = 100_000, 64
 #: The exponent is found to this many decimals.
 DECIMALS = 6
 _POINTS = 15
@@ -25,10 +32,15 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def source_shares(rows: DataFrame) -> DataFrame:
+def source_totals(rows: DataFrame) -> DataFrame:
+    """source, documents, tokens of each source."""
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))
+
+
+def source_shares(totals: DataFrame) -> DataFrame:
     """source, documents, tokens, share of each source that has tokens."""
-    totals = rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
-    return totals.crossJoin(F.broadcast(totals.agg(F.sum("tokens").alias("_all")))).select("source", "documents", "tokens", (F.col("tokens") / F.col("_all")).alias("share"))
+    some = totals.filter("tokens > 0")
+    return some.crossJoin(F.broadcast(some.agg(F.sum("tokens").alias("_all")))).select("source", "documents", "tokens", (F.col("tokens") / F.col("_all")).alias("share"))
 
 
 def entropy(shares: DataFrame, exponents: list[float]) -> list[float]:
@@ -77,56 +89,83 @@ def mixture(docs: DataFrame, source: str = "source", text: str = "text", key: st
     at least once, so no document is lost; with one, it is that many tokens, and sources are
     cut or repeated. The row that crosses a source's budget is still taken.
 
-    A null source is a source of its own. Texts without tokens cost nothing: each whole pass
-    takes them. Equal rows have a place each. An empty table gives no rows. The added names
-    must not be columns of docs."""
-    added = ["mix_pass", "mix_block", "mix_place", "mix_tokens", "mix_weight"]
-    clash = sorted({*added, "_n", "_src", "_key"} & set(docs.columns))
-    if clash:
-        raise ValueError(f"columns of the result are there already: {clash}")
+    A null source is a source of its own. Texts without tokens, null ones too, cost nothing:
+    each whole pass takes them. Rows without a key are dealt by their text. Equal rows have a
+    place each. An empty table gives no rows. A column of docs that has an added name stays;
+    the added one then has underscores before its name."""
     cost = word_tokens(F.col(text)) if tokens is None else F.coalesce(F.col(tokens), F.lit(0)).cast("long")
-    narrow = docs.select(F.col(source).alias("source"), cost.alias("n_tokens"))
-    shares = settle(source_shares(narrow))  # a row for each source: texts are counted once for all steps
-    plan = source_plan(narrow, shares, exponent(shares, target_entropy, most_passes), budget, block_rows)
-    return _taken(docs, plan, source, cost, key, seed).select(*docs.columns, *added)
-
-
-def source_plan(rows: DataFrame, shares: DataFrame, t: float, budget: int | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    # the row's block depends on what it is, not on where it was read
+    own = F.xxhash64(F.lit(seed), F.col(key), F.col(text).cast("string"))
+    held = [f"c{i}" for i in range(len(docs.columns))]  # names that nothing here has
+    rows = docs.select(_name(F.col(source)).alias("source"), cost.alias("n_tokens"), own.alias("own"), *[F.col(f"`{c}`").alias(h) for c, h in zip(docs.columns, held, strict=True)])
+    narrow = settle(rows.drop(*held))  # texts are counted once for all that follows but the rows themselves
+    totals = settle(source_totals(narrow))  # a row for each source
+    plan = settle(source_plan(totals, exponent(source_shares(totals), target_entropy, most_passes), budget, block_rows))
+    blocks = _blocks(_planned(narrow, plan), seed)
+    placed = _planned(rows, plan).join(blocks, ["source", "block"])
+    placed = placed.select("*", F.explode("ranks").alias("rank")).select("*", F.col("rank.pass").alias("pass"))
+    order = W.partitionBy("source", "block", "pass").orderBy(F.xxhash64(F.lit(seed), F.col("pass"), F.col("own")), "own")
+    inner = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("inner", inner).withColumn("place", F.row_number().over(order) - 1)
+    # of the block where the budget ends, the rows before that point are the first ones
+    placed = placed.filter(~F.col("rank.cut") | (F.col("before") + F.col("inner") < F.col("rest")))
+    added = {"mix_pass": F.col("pass"), "mix_block": F.col("rank.at"), "mix_place": F.col("place").cast("long"), "mix_tokens": F.col("n_tokens"), "mix_weight": F.col("weight")}
+    taken = {c.lower() for c in docs.columns}
+    for name in list(added):
+        free = name
+        while free in taken:
+            free = f"_{free}"
+        taken.add(free)
+        added[free] = added.pop(name)
+    return placed.select(*[F.col(h).alias(c) for h, c in zip(held, docs.columns, strict=True)], *[c.alias(n) for n, c in added.items()])
+
+
+def _name(source: Column) -> Column:
+    """The source as a string that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
+def source_plan(totals: DataFrame, t: float, budget: int | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """source, weight, tokens, budget, passes (whole ones), rest (tokens of one more), blocks."""
-    weights = shares.withColumn("_w", F.pow("share", F.lit(t)))
+    weights = source_shares(totals).withColumn("_w", F.pow("share", F.lit(t)))
     total = weights.agg(F.sum("_w").alias("_sum"), F.max(F.col("tokens") / F.col("_w")).alias("_most"))
     # without a budget: the source that is passed least often is passed once
     whole = F.col("_most") * F.col("_sum") if budget is None else F.lit(float(budget))
-    out = weights.crossJoin(F.broadcast(total)).select("source", "documents", "tokens", (F.col("_w") / F.col("_sum")).alias("weight"), F.round(F.col("_w") / F.col("_sum") * whole).cast("long").alias("budget"))
+    out = weights.crossJoin(F.broadcast(total)).select("source", (F.col("_w") / F.col("_sum")).alias("weight"), F.round(F.col("_w") / F.col("_sum") * whole).cast("long").alias("budget"))
     # sources without a token are passed once, whatever the weights are
-    out = rows.groupBy("source").agg(F.count("*").alias("documents")).join(out.drop("documents").withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    out = totals.join(out, "source", "left")
     passes = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(1)
     return out.select(
         "source", F.coalesce("weight", F.lit(0.0)).alias("weight"), "tokens", "budget", passes.cast("long").alias("passes"),
         F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(0).alias("rest"),
-        F.least(F.greatest(F.ceil(F.col("documents") / block_rows), F.lit(1)), F.lit(MOST_BLOCKS)).alias("blocks"),
+        F.greatest(F.ceil(F.col("documents") / block_rows), F.lit(1)).alias("blocks"),
     )
 
 
-def _taken(docs: DataFrame, plan: DataFrame, source: str, cost: Column, key: str, seed: int) -> DataFrame:
-    plan = plan.withColumnRenamed("source", "_src").withColumnRenamed("weight", "mix_weight")
-    rows = docs.withColumn("mix_tokens", cost).join(plan, F.col(source).eqNullSafe(F.col("_src")))
-    # the row's block depends on what it is, not on where it was read
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.col(key), "mix_tokens")).withColumn("_block", F.pmod("_key", "blocks"))
-    whole = rows.withColumn("mix_pass", F.explode(F.expr("if(passes > 0, sequence(1L, passes), array())")))
-    # of the pass that is cut: blocks in their order until the budget is spent
-    part = rows.filter("rest > 0").withColumn("mix_pass", F.col("passes") + 1)
-    order = F.xxhash64(F.lit(seed), F.col("_src"), F.col("mix_pass"), F.col("_block"))
-    sums = part.groupBy("_src", "_block", "mix_pass", "rest").agg(F.sum("mix_tokens").alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.partitionBy("_src").orderBy(order, "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    reached = sums.withColumn("_before", before).filter("_before < rest").select(F.col("_src").alias("_s"), F.col("_block").alias("_b"), "_before", (F.col("_before") + F.col("_sum") > F.col("rest")).alias("_cut"))
-    part = part.join(reached, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
-    place = F.xxhash64(F.lit(seed), F.col("mix_pass"), F.col("_key"))
-    inner = F.coalesce(F.sum("mix_tokens").over(W.partitionBy("_src", "_block").orderBy(place, "_key").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # whole blocks are taken as they are; only the block that is cut needs its rows in order
-    cut = part.filter("_cut").withColumn("_inner", inner).filter("_before + _inner < rest").drop("_inner")
-    taken = whole.unionByName(part.filter("not _cut").unionByName(cut).drop("_s", "_b", "_before", "_cut"))
-    ranks = taken.groupBy("_src", "mix_pass", "_block").agg(F.count("*").alias("_n"))
-    ranks = ranks.select(F.col("_src").alias("_s"), F.col("mix_pass").alias("_p"), F.col("_block").alias("_b"), (F.row_number().over(W.partitionBy("_src", "mix_pass").orderBy(order, "_block")) - 1).cast("long").alias("mix_block"))
-    out = taken.join(ranks, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("mix_pass") == F.col("_p")) & (F.col("_block") == F.col("_b")))
-    return out.withColumn("mix_place", (F.row_number().over(W.partitionBy("_src", "mix_pass", "_block").orderBy(place, "_key")) - 1).cast("long"))
+def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with their source's plan and their block."""
+    plan = plan.select("source", "weight", "passes", "rest", "blocks")
+    if plan.count() <= MOST_SENT:
+        out = rows.join(F.broadcast(plan), "source")
+    else:
+        salted = plan.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        out = rows.withColumn("salt", F.pmod("own", F.lit(SALTS))).join(salted, ["source", "salt"]).drop("salt")
+    return out.withColumn("block", F.pmod("own", "blocks"))
+
+
+def _blocks(narrow: DataFrame, seed: int) -> DataFrame:
+    """source, block, before, ranks: of each block the passes that take it, with its rank (at)
+    in each and whether the budget ends in it (cut), and the tokens before it in that pass."""
+    sums = narrow.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("n"))
+    passes = F.expr("explode(sequence(1L, passes + if(rest > 0, 1L, 0L)))")
+    runs = sums.filter("passes > 0 or rest > 0").select("source", "block", "n", "rest", (F.col("rest") > 0).alias("ends"), "passes", passes.alias("pass"))
+    runs = runs.withColumn("order", F.xxhash64(F.lit(seed), F.col("source"), F.col("pass"), F.col("block"))).withColumn("range", F.shiftright("order", 64 - RANGE_BITS))
+    ranges = runs.groupBy("source", "pass", "range").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    outer, inner = W.partitionBy("source", "pass").orderBy("range"), W.partitionBy("source", "pass", "range").orderBy("order", "block")
+    ranges = ranges.select("source", "pass", "range", before("n", outer).alias("n_before"), before("m", outer).alias("m_before"))
+    runs = runs.join(ranges, ["source", "pass", "range"]).withColumn("before", F.col("n_before") + before("n", inner)).withColumn("at", F.col("m_before") + F.row_number().over(inner) - 1)
+    last = F.col("pass") > F.col("passes")
+    runs = runs.filter(~last | (F.col("before") < F.col("rest")))
+    cut = last & (F.col("before") + F.col("n") > F.col("rest"))
+    return settle(runs.groupBy("source", "block").agg(F.max(F.when(last, F.col("before"))).alias("before"), F.collect_list(F.struct("pass", "at", cut.alias("cut"))).alias("ranks")))

@@ -4,12 +4,14 @@ nulls, empty tables, repeated rows and clashing names."""
 import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -62,12 +64,28 @@ def test_words_give_the_tokenizer_s_ids(text):
     path = tokenizing.tokenizer_path()
     e = tokenizing.WordEncoder(path, most_words=3)
     assert np.frombuffer(e.encode(text), e.dtype).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert e.encode_batch([text, None]) == [e.encode(text), b""]
+    assert list(e.encode_batch([text, None])) == [e.encode(text), b""]
 
 
-def encoded(text):
-    e = tokenizing.encoder(tokenizing.tokenizer_path())
-    return np.frombuffer(e.encode(text), e.dtype)
+def tokenized(text):
+    """The ids that the tokenizer itself gives."""
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids
+
+
+TOKENIZER = __import__("tokenizers").Tokenizer.from_file(tokenizing.tokenizer_path())
+
+
+@pytest.mark.parametrize("most", [600_000, 400])
+def test_whole_texts_give_the_tokenizer_s_ids(most):
+    """Also while words leave the memory all the time."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    if most < 1000:
+        texts = texts[::20]
+    e = tokenizing.WordEncoder(tokenizing.tokenizer_path(), most_words=most)
+    for text, ids in zip(texts, e.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, e.dtype).tolist() == tokenized(text)
 
 
 def test_token_output(spark, odd, data):
@@ -80,7 +98,7 @@ def test_token_output(spark, odd, data):
             assert (g.doc_id, g.start) == (key if has else None, at)
             at += g.n_tokens
         for has, key, text in rows:
-            ids = [*encoded(text).tolist(), 2]
+            ids = [*tokenized(text), 2]
             want[(key if has else None, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
         assert want == Counter((g.doc_id, g.n_tokens, g.ids_crc32) for g in got)
 
@@ -96,7 +114,7 @@ def test_perfect_hash():
 
 def test_token_counts(spark, odd, data):
     for docs in (odd, common.table(spark, data, "documents")):
-        lengths = [len(encoded(r.text)) for r in docs.select("text").collect()]
+        lengths = [len(tokenized(r.text)) for r in docs.select("text").collect()]
         hist = token_counts.length_histogram(docs).cache()
         assert {r.length: r.documents for r in hist.collect()} == Counter(lengths)
         for r in hist.collect():
@@ -206,6 +224,68 @@ def test_mixture(spark, odd, data):
     assert mixing.mixture(odd.limit(0), most_passes=2.0).count() == 0
 
 
+def mixed(rows, t, budget=None, seed=0, block_rows=256):
+    """What the mix takes of rows (doc_id, source, text), one row after the other."""
+    by = defaultdict(list)
+    for k, s, x in rows:
+        by["" if s is None else f"={s}"].append((spark_hash32(seed, k, x), k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))))
+    total = {s: sum(r[3] for r in v) for s, v in by.items()}
+    every = sum(total.values())
+    w = {s: (n / every) ** t for s, n in total.items() if n}
+    whole = max((total[s] / w[s] for s in w), default=0) * sum(w.values()) if budget is None else budget
+    out = []
+    for s, v in by.items():
+        spend = round(w[s] / sum(w.values()) * whole) if s in w else 0
+        passes, rest = divmod(spend, total[s]) if s in w else (1, 0)
+        blocks = defaultdict(list)
+        for r in v:
+            blocks[r[0] % max(1, -(-len(v) // block_rows))].append(r)
+        for p in range(1, passes + 1 + (rest > 0)):
+            spent = 0
+            for at, b in enumerate(sorted(blocks, key=lambda b: (spark_hash32(seed, s, p, b), b))):
+                for place, r in enumerate(sorted(blocks[b], key=lambda r: (spark_hash32(seed, p, r[0]), r[0]))):
+                    if p <= passes or spent < rest:
+                        out.append((r[1], p, at, place, r[3]))
+                    spent += r[3]
+    return Counter(out)
+
+
+def spark_hash32(seed, *values):
+    """As spark_hash(), with an int before the values."""
+    first = xxhash.xxh64_intdigest(int(seed).to_bytes(4, "little", signed=True), 42)
+    for v in values:
+        if v is not None:
+            first = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else int(v).to_bytes(8, "little", signed=True), first)
+    return first - (1 << 64) if first >> 63 else first
+
+
+def test_mixture_as_brute_force(spark, odd, data):
+    docs = common.table(spark, data, "documents").select("doc_id", "source", "text")
+    docs = docs.union(spark.createDataFrame([(None, "web", "no key"), (None, None, None), (7, None, "a b"), (8, "none", "")], docs.schema))
+    rows = [tuple(r) for r in docs.collect()]
+    total = Counter()
+    for _, s, x in rows:
+        total[s] += len((x or "").encode().split())
+    shares = [n / sum(total.values()) for n in total.values() if n]
+    for most, budget in ((2.0, None), (1.3, 20_000), (3.0, 500_000)):
+        lo, hi = 0.0, 1.0  # the smallest exponent at which no source is passed more often than that
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if max(max(shares) / s for s in shares) ** (1 - mid) > most else (lo, mid)
+        t = mixing.exponent(mixing.source_shares(mixing.source_totals(docs.select("source", mixing.word_tokens(F.col("text")).alias("n_tokens")))), most_passes=most)
+        assert abs(t - hi) < 2e-6
+        got = mixing.mixture(docs, most_passes=most, budget=budget, block_rows=16).collect()
+        assert Counter((r.doc_id, r.mix_pass, r.mix_block, r.mix_place, r.mix_tokens) for r in got) == mixed(rows, t, budget, block_rows=16)
+
+
+def test_mixture_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "source", "text", "tokens", "blocks", "budget", "rest", "passes", "block", "_block", "mix_pass", "_mix_pass", "own", "c0", "rank", "place"]
+    docs = spark.createDataFrame([(1, "a", "x y", *[f"v{i}" for i in range(len(names) - 3)])], names)
+    got = mixing.mixture(docs, most_passes=2.0)
+    assert got.columns == [*names, "__mix_pass", "mix_block", "mix_place", "mix_tokens", "mix_weight"]
+    assert tuple(got.first())[: len(names)] == tuple(docs.first())
+
+
 def test_exponent_meets_targets(spark):
     shares = spark.createDataFrame([(s, v) for s, v in (("a", 0.6), ("b", 0.3), ("c", 0.1))], "source string, share double")
     t = mixing.exponent(shares, most_passes=2.0)
