@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from docquarry.llm import decontaminate, minhash_dedup, mixing, token_output, toxicity
 from docquarry.llm.common import settle, table
@@ -10,30 +10,53 @@ from docquarry.llm.queries import MOST_PASSES
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier doesn't reject, all their columns as they are.
+
+    Null and empty texts have no window that speaks for toxicity and stay; rows without a key
+    are scored by their text like all others; repeated rows share their fate; without labels of
+    both kinds nothing is rejected; an empty table stays empty."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, name="_toxic").filter("_toxic < 0.5").drop("_toxic")
+    return docs.filter(toxicity.score_of(docs, model) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; rows that repeat it go as well."""
-    kept = minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group, the one with the smallest key.
+
+    Rows that share a key are one document: the first by a hash of all columns stays. Rows
+    without a key link with nothing and all stay, as do texts that are null or without words,
+    once for each key. An empty table stays empty."""
+    near = settle(minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
+    found = docs.join(near, docs["doc_id"] == near["doc_id"], "left_semi")
+    if near.filter("n > 1").limit(1).count():
+        # only then are rows brought together by key; the columns travel as one
+        rows = found.select(F.struct("*").alias("row"), F.xxhash64("*").alias("hash"))
+        first = F.row_number().over(W.partitionBy("row.doc_id").orderBy("hash"))
+        found = rows.withColumn("n", first).filter("n = 1").select("row.*")
     return found.unionByName(docs.filter("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage, all their columns as they are.
+
+    Null and empty texts hold none; rows without a key and repeated rows are looked at each by
+    itself; without benchmark items all stay; an empty table stays empty."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to MOST_PASSES times."""
-    return mixing.mixture(docs, most_passes=MOST_PASSES).select(*docs.columns)
+    """Every document at least once, those of small sources up to MOST_PASSES times.
+
+    A null source is a source of its own; texts without words cost nothing and are taken in
+    each whole pass; rows without a key and repeated rows are taken like others; columns of any
+    name pass through; an empty table stays empty."""
+    return mixing.mixture(docs, most_passes=MOST_PASSES).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every row of the mix, as the shard files have them."""
+    """The token ids of every row of the mix, as the shard files have them.
+
+    Null texts count as empty; rows without a key come first; rows that share a key, as the
+    mix makes them, stand beside each other; an empty table gives no rows."""
     return token_output.token_output(docs)
 
 
