@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..sources.tables import fresh_path, table
+
+__all__ = ["fresh_path", "mix", "pieces", "settle", "table", "text_words", "word_hashes", "words"]
 
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
@@ -16,29 +18,6 @@ _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 PIECE = 1 << 22
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where the session names none (tests in one process) a temporary one is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        held = sc._jsc.sc().getCheckpointDir()
-    return held.get()
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through a table written in the shared folder."""
     spark = df.sparkSession

@@ -12,13 +12,14 @@ about that size by a hash of the item, and each part is joined by itself."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, text_words
+from .common import LOWER, settle, text_words
 
 #: Masks: x is selected, . is ignored. In any WINDOW tokens, and in any item of at least so many,
 #: one of them misses all substitutions that SHARE allows (the tests go through all patterns).
@@ -127,27 +128,29 @@ def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
     start and length: the tokens of the document that are covered. equal: tokens equal in
     place. similarity: equal as a share of the item, or of the covered tokens where only a part
     of the item was found. Null and empty texts overlap with nothing; items of fewer than
-    LEAST_TOKENS tokens overlap where all their tokens stand in the document in a row. Rows without a key come out with a null one; repeated rows
-    repeatedly. Without documents or tests there are no rows. Other columns are not read."""
+    LEAST_TOKENS tokens overlap where all their tokens stand in the document in a row. Rows
+    without a key come out with a null one; repeated rows repeatedly. Without documents or tests there are no rows. Other columns are not read."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for held in _sent(docs.sparkSession, tests, item, item_text, masks, most):
+    for held, more in _sent(docs.sparkSession, tests, item, item_text, masks, most):
         found = _search(docs, held)
+        if more:  # one part after the other: what was sent for it goes before the next
+            found = settle(found)
+            held.unpersist()
         out = found if out is None else out.union(found)
     return out
 
 
-def _sent(spark, tests: DataFrame, item: str, item_text: str, masks: tuple[str, ...], most: int) -> list:
-    """The test set on all executors, in parts of at most about that many tokens."""
+def _sent(spark, tests: DataFrame, item: str, item_text: str, masks: tuple[str, ...], most: int) -> Iterator[tuple[Any, bool]]:
+    """The test set on all executors, in parts of at most about that many tokens, and whether
+    there are several. A part is built when it is asked for."""
     tests = tests.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     # a token has a byte and, but for the last, a separator
     size = tests.agg(F.sum((F.octet_length("text") + 2) / 2)).first()[0] or 0
     parts = max(1, int(-(-size // most)))
-    out = []
     for part in range(parts):
         own = tests if parts == 1 else tests.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        out.append(spark.sparkContext.broadcast(TestSet([(r.item_id, tokens(r.text)) for r in own.toLocalIterator()], masks)))
-    return out
+        yield spark.sparkContext.broadcast(TestSet([(r.item_id, tokens(r.text)) for r in own.toLocalIterator()], masks)), parts > 1
 
 
 def _search(docs: DataFrame, held) -> DataFrame:
@@ -164,9 +167,16 @@ def _search(docs: DataFrame, held) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, most: int = MOST_SENT) -> DataFrame:
-    """The rows of docs, all columns, whose text overlaps with no test item; nothing is shuffled."""
-    for held in _sent(docs.sparkSession, tests, item, item_text, masks, most):
+    """The rows of docs, all columns, whose text overlaps with no test item; nothing is shuffled.
+
+    Null and empty texts overlap with nothing and stay, as do rows without a key, which are
+    judged like others. Repeated rows stay or go together. Without tests all rows stay; an
+    empty table stays empty. Columns of any name pass through."""
+    for held, more in _sent(docs.sparkSession, tests, item, item_text, masks, most):
         docs = docs.filter(_clean(held)(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+        if more:
+            docs = settle(docs)
+            held.unpersist()
     return docs
 
 

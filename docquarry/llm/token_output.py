@@ -175,7 +175,9 @@ def write_shards(docs: DataFrame, out: str, key: str = "doc_id", text: str = "te
 def read_shards(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, found through the index.
 
-    start counts the ids of all documents before it over all shards in order. A key that the
+    start counts the ids of all documents before it over all shards in order. Documents without
+    a key come first, with a null doc_id; those that share a key stand beside each other, of
+    which the index gives the first. A folder without shards gives no rows. A key that the
     index doesn't lead to raises an error."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
