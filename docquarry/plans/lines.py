@@ -108,6 +108,12 @@ SQL["erase_table_regions"] = f"""WITH m AS ({_state}), s AS (SELECT *, coalesce(
   SELECT l_orderkey, {sql_trim(sql_sub('text', chr(92) + 'n{4,}', chr(10) * 3))} AS text FROM t WHERE {sql_trim('text')} <> ''"""
 
 QUERIES["erase_leaked_rows"] = lambda s, d: O.erase_leaked(tender_docs(s, d), "l_orderkey").filter("text <> ''")
+_leak = f"""SELECT *, CASE WHEN t = '' THEN NULL WHEN {L.sql_any('t', O.LEAK_START)} THEN 1 WHEN {sql_match('t', O.LEAK_STOP)} AND NOT {sql_match('t', O.LEAK_STOP_NOT)} THEN 0 END AS mark FROM (SELECT *, {sql_trim('line')} AS t FROM {TENDER_LINES})"""
+_squeezed = sql_trim(sql_sub("text", chr(92) + "n{3,}", chr(10) * 2))
+_undated = sql_trim(sql_sub(_squeezed, r"(?iu)\s*\d{4}\s*г\.?\s*\z", ""))
+SQL["erase_leaked_rows"] = f"""WITH s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS inside FROM ({_leak})),
+  k AS (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY pos) AS text FROM s WHERE inside = 0 AND (t = '' OR NOT ({L.sql_any('t', O.LEAK_LINE)} OR ({sql_match('t', O.LEAK_ROW[0])} AND {sql_match('t', O.LEAK_ROW[1])}))) GROUP BY l_orderkey)
+  SELECT * FROM (SELECT l_orderkey, {sql_trim(sql_sub(_undated, r"(?iu)\s*гр\.\s*\S+\s*\z", ""))} AS text FROM k) WHERE text <> ''"""
 
 
 def strip_boilerplate(spark, d):
@@ -179,6 +185,21 @@ def files_by_section(spark, d):
 
 QUERIES["files_by_section"] = files_by_section
 QUERIES["clean_corpus"] = lambda s, d: O.clean_corpus(tender_files(s, d), "conv_id")
+# each file's lines outside of tables, and what its class lets through
+_PARTS = rf"""f AS (SELECT *, {L.sql_document_class('filename', 'body')} AS class, instr(body, regexp_extract(body, '(?i)(X[.]|Х[.]|ГАРАНЦИОННА)')) AS i FROM {FILES}),
+  l AS (SELECT conv_id, ord, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT conv_id, ord, regexp_split_to_array(body, '\r?\n') AS x FROM f)),
+  m AS (SELECT *, CASE WHEN t = '' THEN NULL WHEN {L.sql_table_line('t')} THEN 1 WHEN {L.sql_any('t', L.HEADING_LINE)} THEN 0 END AS mark FROM (SELECT *, {sql_trim('line')} AS t FROM l)),
+  s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id, ord ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS inside FROM m),
+  k AS (SELECT conv_id, ord, string_agg(CASE WHEN t = '' THEN '' ELSE line END, chr(10) ORDER BY pos) AS text FROM s WHERE inside = 0 AND (t = '' OR NOT {L.sql_garbage_line('t')}) GROUP BY conv_id, ord),
+  p AS (SELECT f.conv_id, f.ord, f.filename, class, nullif({sql_trim(sql_sub('text', chr(92) + 'n{4,}', chr(10) * 3))}, '') AS whole, body, i FROM f LEFT JOIN k ON k.conv_id = f.conv_id AND k.ord = f.ord),
+  parts AS (SELECT *, CASE class WHEN 'kss' THEN NULL WHEN 'documentation' THEN NULL
+    WHEN 'contract' THEN CASE WHEN i > 1 THEN '[Извлечено от Проект на договор – Гаранционна отговорност]' || chr(10) || {sql_trim('left(substr(body, i), 3000)')} END
+    WHEN 'techSpec' THEN '[Техническа спецификация]' || chr(10) || whole WHEN 'parameters' THEN '[Параметри на поръчката]' || chr(10) || left(body, 3000)
+    WHEN 'explanatoryNote' THEN '[Обяснителна записка]' || chr(10) || whole ELSE whole END AS part FROM p)"""
+SQL["clean_corpus"] = f"""WITH {_PARTS} SELECT conv_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY ord) AS text FROM parts WHERE part IS NOT NULL GROUP BY conv_id"""
+_of_class = " ".join(f"WHEN '{c}' THEN {x}" for c, x in SECTIONS_OF.items())
+SQL["files_by_section"] = f"""WITH {_PARTS}, u AS (SELECT conv_id, ord, filename, unnest(CASE class {_of_class} END) AS section FROM parts WHERE part <> '')
+  SELECT conv_id, section, string_agg(filename, ', ' ORDER BY ord, filename) AS files FROM u GROUP BY conv_id, section"""
 QUERIES["role_sections"] = lambda s, d: O.role_sections(tender_lines(s, d), "l_orderkey")
 QUERIES["role_requirements"] = lambda s, d: O.role_sections(O.explode_lines(_roles(s, d), "l_orderkey"), "l_orderkey").filter("requirements <> ''")
 
@@ -187,6 +208,29 @@ def _roles(spark, d):
     return tender_docs(spark, d).select("l_orderkey", F.concat(F.lit("изисквания към екип\n"), "text", F.lit("\n2) Геодезист - стаж 3 г.\nдиплома")).alias("text"))
 
 
+def _sql_roles(lines: str) -> str:
+    """The roles of lines, whose role lines are those of the pattern and a surveyor's."""
+    role = "(line LIKE '1. Р%' OR line LIKE 'ключови%' OR line LIKE '2) Г%')"
+    name = "CASE WHEN line LIKE '1. Р%' THEN 'Ръководител на проекта' WHEN line LIKE '2) Г%' THEN 'Геодезист' ELSE 'ключови експерти' END"
+    tail = "CASE WHEN line LIKE '1. Р%' THEN split_part(line, '– ', 2) WHEN line LIKE '2) Г%' THEN split_part(line, ' - ', 2) END"
+    end = f"({L.sql_any('line', O.ROLE_END)} OR ({sql_match('line', O.ROLE_END_NUMBERED)} AND NOT {sql_match('line', O.ROLE_END_NOT)}))"
+    return f"""WITH a AS (SELECT *, {sql_trim('line')} AS t, {role} AS role, {L.sql_any('line', O.ROLE_START)} AS start FROM {lines}),
+  b AS (SELECT *, min(pos) FILTER (WHERE {end}) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop_at,
+    min(pos) FILTER (WHERE role) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN CURRENT ROW AND 299 FOLLOWING) AS next_at FROM a),
+  c AS (SELECT *, least(coalesce(stop_at, 1073741824), pos + 300) AS stop FROM b),
+  f AS (SELECT l_orderkey, min(pos) AS first, min_by(stop, pos) AS stop FROM c WHERE start AND next_at < stop GROUP BY l_orderkey),
+  g AS (SELECT c.l_orderkey, pos, line, role, list({{'t': t, 'halt': t = '' OR role OR regexp_matches(t, '^[0-9]+[.][0-9]+')}}) OVER (PARTITION BY c.l_orderkey ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING) AS after
+    FROM c JOIN f ON f.l_orderkey = c.l_orderkey AND pos >= f.first AND pos < f.stop),
+  h AS (SELECT *, coalesce(nullif(list_position(list_transform(after, lambda x: x.halt), true), 0), len(after) + 1) AS n FROM g WHERE role)
+  SELECT l_orderkey, pos AS ord, {name} AS name, {sql_trim(f"concat_ws(' ', {tail}, nullif(array_to_string(list_transform(after[1 : n - 1], lambda x: x.t), ' '), ''))")} AS requirements FROM h"""
+
+
+SQL["role_sections"] = _sql_roles(TENDER_LINES)
+_MORE_LINES = f"""(SELECT l_orderkey, 0 AS pos, 'изисквания към екип' AS line FROM {TENDER_LINES} GROUP BY l_orderkey UNION ALL SELECT l_orderkey, pos + 1, line FROM {TENDER_LINES}
+  UNION ALL SELECT l_orderkey, max(pos) + 2, '2) Геодезист - стаж 3 г.' FROM {TENDER_LINES} GROUP BY l_orderkey UNION ALL SELECT l_orderkey, max(pos) + 3, 'диплома' FROM {TENDER_LINES} GROUP BY l_orderkey)"""
+SQL["role_requirements"] = f"SELECT * FROM ({_sql_roles(_MORE_LINES)}) WHERE requirements <> ''"
+
+
 def context_assembly(spark, d):
     """The two longest turns of a conversation, cut and numbered."""
     c = table(spark, d, "conversations")

@@ -49,6 +49,13 @@ QUERIES["match_exact"] = match_exact
 SQL["match_exact"] = f"SELECT p.p_partkey AS item_id, t.tpl_id FROM part p JOIN {_TPL} t ON t.title = p.p_name || ' ' || p.p_brand"
 QUERIES["match_all_items"] = lambda s, d: M.match_all(table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_partkey").alias("ord"), F.concat_ws(" ", F.lower("p_type"), "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))).alias("name")), _templates(s, d), threshold=60).select("item_id", "matched_title", F.round("confidence", 4).alias("confidence"), "text")
 
+_NAMED = "(SELECT p_partkey, lower(p_type) || ' ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand ELSE '' END AS name FROM part)"
+_LEX_ALL = _LEX.replace(_ITEM, f"(SELECT min(p_partkey) AS item_id, name FROM {_NAMED} GROUP BY name)")
+SQL["match_all_items"] = f"""{_LEX_ALL}, best AS (SELECT item_id, tpl_id, least(100.0, score * 100) AS confidence FROM r WHERE true QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, tpl_id) = 1),
+  named AS (SELECT min(p_partkey) AS item_id, name FROM {_NAMED} GROUP BY name),
+  full_ AS (SELECT name, title, confidence FROM best JOIN named USING (item_id) JOIN {_TPL} t USING (tpl_id) WHERE confidence >= 60)
+  SELECT p_partkey AS item_id, title AS matched_title, round(coalesce(confidence, 0.0)::DOUBLE, 4) AS confidence, coalesce('Технология: ' || title, '[не е намерен]') AS text FROM {_NAMED} n LEFT JOIN full_ ON full_.name = n.name"""
+
 
 def match_resolve(spark, d):
     """Each item with the best title, as an answer in free text."""
@@ -145,6 +152,9 @@ def validate(spark, d):
 
 
 QUERIES["validate_references"] = validate
+SQL["validate_references"] = f"""SELECT ref_type, status, cached, count(*) AS n FROM (
+  SELECT 'standard' AS ref_type, CASE WHEN o_orderkey % 3 = 0 THEN 'valid' ELSE coalesce(status, 'unknown') END AS status, o_orderkey % 3 = 0 AS cached FROM orders LEFT JOIN ({SQL["registry_match"]}) m ON m.search_term = o_orderkey || '-1'
+  UNION ALL SELECT 'standard', 'unknown', false UNION ALL SELECT 'regulation', CASE WHEN o_orderkey % 5 <> 0 THEN 'valid' ELSE 'unknown' END, false FROM orders) GROUP BY ALL"""
 
 
 def status_sort(spark, d):
@@ -218,6 +228,9 @@ def resource_pages(spark, d):
 
 
 QUERIES["technology_blocks"] = lambda s, d: H.technology_blocks(resource_pages(s, d), "page_id").select("page_id", "ord", "title", F.length("plain").alias("n"))
+_RES = "'<table><tr><td>Технология ' || k || ' на ' || page_id || '</td></tr><tr><td>Aнгажирани</td></tr><tr><td>Механизaция</td></tr></table>'"
+_RES_TEXT = "CASE WHEN k = 3 THEN '<p>' || repeat('Изпълнението се извършва на пластове. ', 80) || page_id || '</p>' ELSE '' END"
+SQL["technology_blocks"] = f"SELECT page_id, k AS ord, 'Технология ' || k || ' на ' || page_id AS title, length({X.html_block.sql('raw')}) AS n FROM (SELECT page_id, k, {_RES} || {_RES_TEXT} AS raw FROM pages, (SELECT unnest([1, 2, 3]) AS k))"
 QUERIES["resource_tables"] = lambda s, d: H.toplevel_tables(resource_pages(s, d), "page_id").filter(H.resource_table(F.col("table"))).select("page_id", "ord")
 SQL["resource_tables"] = "SELECT page_id, n AS ord FROM pages, (SELECT unnest([1, 2, 3]) AS n)"
 QUERIES["donor_fill"] = lambda s, d: H.donor_fill(H.technology_blocks(resource_pages(s, d), "page_id"), "page_id").select("page_id", "ord", (F.length("plain") > 1500).alias("filled"))
