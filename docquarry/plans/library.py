@@ -6,13 +6,20 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import text as X
 from ..functions.chains import sql_match
-from ..operators import library as B, vectors as V
+from ..operators import library as B, lines as O, vectors as V
 from ..sources import tables as T
 from ..sources.tables import table
 from ..streaming import jobs
 
 QUERIES, SQL = {}, {}
-_KEY = X.title_key_plain
+
+
+def _key(text):
+    """The title key of a whole text, as a digest: it is short whatever the text's length."""
+    return F.md5(X.title_key_plain(text))
+
+
+_KEY_SQL = f"md5({X.title_key_plain.sql('text')})"
 
 
 def folder(spark) -> str:
@@ -26,7 +33,7 @@ def topk_context(spark, d):
     query = e.filter("vec_id = 0").select(F.col("embedding").alias("q"), F.col("label").alias("l"))
     label = query.select("l")
     near = V.topk(e.join(F.broadcast(label), F.col("label") == F.col("l"), "left_semi"), query.select("q"), 5)
-    docs = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(2000)).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     got = near.join(docs, F.col("vec_id") == F.col("doc_id"), "left")
     rank = F.row_number().over(W.partitionBy("label").orderBy(F.col("similarity").desc_nulls_last(), "vec_id"))
     return got.select(F.lit(1).alias("query"), rank.alias("rank"), "vec_id", F.round("similarity", 6).alias("similarity"), "text")
@@ -34,7 +41,7 @@ def topk_context(spark, d):
 
 QUERIES["topk_context"] = topk_context
 _near = """(SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings WHERE embedding IS NOT NULL)"""
-SQL["topk_context"] = f"""SELECT 1 AS query, row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 6) AS similarity, left(text, 2000) AS text
+SQL["topk_context"] = f"""SELECT 1 AS query, row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 6) AS similarity, text
   FROM (SELECT * FROM {_near} WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY s DESC, vec_id LIMIT 5) LEFT JOIN documents ON doc_id = vec_id"""
 
 
@@ -93,33 +100,31 @@ SQL["search_sections"] = """WITH e AS (SELECT doc_id, CAST(least(length(text), 8
 
 
 def best_version(spark, d):
-    """Documents as versions of a section: the key is the beginning of the text."""
+    """Documents as versions of a section: texts that differ in letters' case and marks only."""
     docs = table(spark, d, "documents")
-    return B.best_version(docs.select("doc_id", "text", "lang"), _KEY(F.left("text", F.lit(40))), "text", ["doc_id"]).select("key", "doc_id", F.length("text").alias("n"), F.col("first_seen.doc_id").alias("first_seen"))
+    return B.best_version(docs.select("doc_id", "text", "lang"), _key(F.col("text")), "text", ["doc_id"]).select("key", "doc_id", F.length("text").alias("n"), F.col("first_seen.doc_id").alias("first_seen"))
 
 
 QUERIES["best_version"] = best_version
-_K = _KEY.sql("left(text, 40)")
-SQL["best_version"] = f"""SELECT key, doc_id, length(text) AS n, min(doc_id) OVER (PARTITION BY key) AS first_seen FROM (SELECT *, {_K} AS key FROM documents)
+SQL["best_version"] = f"""SELECT key, doc_id, length(text) AS n, min(doc_id) OVER (PARTITION BY key) AS first_seen FROM (SELECT *, {_KEY_SQL} AS key FROM documents)
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY coalesce(length(text), 0) DESC, doc_id) = 1"""
 QUERIES["refresh_library"] = lambda s, d: best_version(s, d).orderBy("first_seen")
 SQL["refresh_library"] = SQL["best_version"]
 
 
 def _sections(spark, d):
-    """Documents as sections; English ones are technologies."""
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.left("text", F.lit(60)).alias("title"), "n_chars")
+    """Documents as sections, which have their whole texts as titles; English ones are technologies."""
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.col("text").alias("title"), "n_chars")
 
 
 def dedup_against_library(spark, d):
     s, only = _sections(spark, d), F.col("lang") == "en"
     old = F.col("doc_id") % 3 == 0
-    return B.dedup_against_library(s.filter(~old), s.filter(old & only), _KEY(F.col("title")), _KEY(F.col("title")), only, [F.col("doc_id")]).select("doc_id", "lang")
+    return B.dedup_against_library(s.filter(~old), s.filter(old & only), _key(F.col("title")), _key(F.col("title")), only, [F.col("doc_id")]).select("doc_id", "lang")
 
 
 QUERIES["dedup_against_library"] = dedup_against_library
-_T = _KEY.sql("left(text, 60)")
-SQL["dedup_against_library"] = f"""WITH s AS (SELECT doc_id, lang, {_T} AS k FROM documents), old AS (SELECT DISTINCT k FROM s WHERE doc_id % 3 = 0 AND lang = 'en')
+SQL["dedup_against_library"] = f"""WITH s AS (SELECT doc_id, lang, {_KEY_SQL} AS k FROM documents), old AS (SELECT DISTINCT k FROM s WHERE doc_id % 3 = 0 AND lang = 'en')
   SELECT doc_id, lang FROM s WHERE doc_id % 3 <> 0 AND (lang IS NULL OR lang <> 'en') UNION ALL
   SELECT doc_id, lang FROM (SELECT * FROM s WHERE doc_id % 3 <> 0 AND lang = 'en' AND (k IS NULL OR k NOT IN (SELECT k FROM old WHERE k IS NOT NULL)) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1)"""
 
@@ -128,23 +133,23 @@ def replace_children(spark, d):
     """The sections of source src1 get new versions: those of src2, in its name."""
     s, only = _sections(spark, d), F.col("lang") == "en"
     new = s.filter("source = 'src2'").withColumn("source", F.lit("src1"))
-    return B.replace_children(s, new, "source", _KEY(F.col("title")), only, [F.col("doc_id")]).groupBy("source").agg(F.count("*").alias("section_count"))
+    return B.replace_children(s, new, "source", _key(F.col("title")), only, [F.col("doc_id")]).groupBy("source").agg(F.count("*").alias("section_count"))
 
 
 QUERIES["replace_children"] = replace_children
-SQL["replace_children"] = f"""WITH s AS (SELECT doc_id, lang, source, {_T} AS k FROM documents), o AS (SELECT * FROM s WHERE source IS NULL OR source <> 'src1'), n AS (SELECT * FROM s WHERE source = 'src2'),
+SQL["replace_children"] = f"""WITH s AS (SELECT doc_id, lang, source, {_KEY_SQL} AS k FROM documents), o AS (SELECT * FROM s WHERE source IS NULL OR source <> 'src1'), n AS (SELECT * FROM s WHERE source = 'src2'),
   r AS (SELECT source FROM o UNION ALL SELECT 'src1' FROM n WHERE lang <> 'en' UNION ALL
     SELECT 'src1' FROM (SELECT * FROM n WHERE lang = 'en' AND k NOT IN (SELECT k FROM o WHERE lang = 'en' AND k IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1))
   SELECT source, count(*) AS section_count FROM r GROUP BY source"""
 
 
 def prefer_merge(spark, d):
-    s = _sections(spark, d).withColumn("k", _KEY(F.col("title")))
+    s = _sections(spark, d).withColumn("k", _key(F.col("title")))
     return B.prefer_merge(s.filter("lang = 'en'"), s.filter("lang <> 'en'"), ["k"], [F.col("doc_id")]).select("k", "doc_id")
 
 
 QUERIES["prefer_merge"] = prefer_merge
-SQL["prefer_merge"] = f"SELECT k, doc_id FROM (SELECT doc_id, lang, {_T} AS k FROM documents WHERE lang IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) = 1"
+SQL["prefer_merge"] = f"SELECT k, doc_id FROM (SELECT doc_id, lang, {_KEY_SQL} AS k FROM documents WHERE lang IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, doc_id) = 1"
 
 
 def cascade_delete(spark, d):
@@ -265,16 +270,19 @@ SQL["augment_list"] = "SELECT p_name, CAST(p_partkey AS DOUBLE) AS p_partkey FRO
 
 
 def assemble_sections(spark, d):
-    s = _sections(spark, d)
-    docs = table(spark, d, "documents").select("source", F.lit("всичко").alias("text")).distinct()
-    rows = s.filter("source not in ('src3', 'src4')").select("source", F.when(F.col("lang") == "en", "smr_technology").otherwise("introduction").alias("section_type"), "title", F.col("title").alias("plain_text"), F.col("doc_id").alias("order_index"))
+    """Conversations as offers: an assistant's turns are technologies; of some nothing was found."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    docs = O.join_lines(turns.select("conv_id", F.col("turn").alias("pos"), F.col("text").alias("line")), "conv_id")
+    title = F.regexp_extract("text", r"^[^\n]*", 0)
+    rows = turns.filter("conv_id % 5 < 3").select("conv_id", F.when(F.col("role") == "assistant", "smr_technology").otherwise("introduction").alias("section_type"), title.alias("title"), F.col("text").alias("plain_text"), F.col("turn").alias("order_index"))
     tech = rows.filter("section_type = 'smr_technology'").withColumnRenamed("order_index", "ord")
-    return B.assemble_sections(docs, rows, tech, "source").select("source", "section_type", "order_index", "title")
+    return B.assemble_sections(docs, rows, tech, "conv_id").select("conv_id", "section_type", "order_index", "title", "plain_text")
 
 
 QUERIES["assemble_sections"] = assemble_sections
-SQL["assemble_sections"] = """SELECT source, CASE WHEN lang = 'en' THEN 'smr_technology' ELSE 'introduction' END AS section_type, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'en' THEN 1 ELSE 0 END, doc_id) - 1 AS order_index, left(text, 60) AS title FROM documents WHERE source NOT IN ('src3', 'src4')
-  UNION ALL SELECT DISTINCT source, 'other', 0, 'Цялото съдържание' FROM documents WHERE source IN ('src3', 'src4')"""
+SQL["assemble_sections"] = """WITH t AS (SELECT conv_id, turn, coalesce(role = 'assistant', false) AS tech, coalesce(text, '') AS text FROM conversations)
+  SELECT conv_id, CASE WHEN tech THEN 'smr_technology' ELSE 'introduction' END AS section_type, row_number() OVER (PARTITION BY conv_id ORDER BY tech, turn) - 1 AS order_index, split_part(text, chr(10), 1) AS title, text AS plain_text FROM t WHERE conv_id % 5 < 3
+  UNION ALL SELECT conv_id, 'other', 0, 'Цялото съдържание', string_agg(text, chr(10) ORDER BY turn) FROM t WHERE conv_id % 5 >= 3 GROUP BY conv_id"""
 
 
 def stream_section_ingest(spark, d):
@@ -282,12 +290,12 @@ def stream_section_ingest(spark, d):
     out, s = folder(spark), _sections(spark, d)
     s.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{out}/in")
     only = F.col("lang") == "en"
-    jobs.section_ingest(jobs.file_source(spark, f"{out}/in", s.schema, 2), f"{out}/table", f"{out}/state", _KEY(F.col("title")), only, [F.col("doc_id")])
-    return spark.read.parquet(f"{out}/table").select(_KEY(F.col("title")).alias("key"), "lang")
+    jobs.section_ingest(jobs.file_source(spark, f"{out}/in", s.schema, 2), f"{out}/table", f"{out}/state", _key(F.col("title")), only, [F.col("doc_id")])
+    return spark.read.parquet(f"{out}/table").select(_key(F.col("title")).alias("key"), "lang")
 
 
 QUERIES["stream_section_ingest"] = stream_section_ingest
-SQL["stream_section_ingest"] = f"SELECT {_T} AS key, lang FROM documents WHERE lang <> 'en' UNION ALL SELECT DISTINCT {_T}, lang FROM documents WHERE lang = 'en'"
+SQL["stream_section_ingest"] = f"SELECT {_KEY_SQL} AS key, lang FROM documents WHERE lang <> 'en' UNION ALL SELECT DISTINCT {_KEY_SQL}, lang FROM documents WHERE lang = 'en'"
 
 
 def stream_upsert(spark, d):
