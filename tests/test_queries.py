@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions
 
-from docquarry.operators import vectors
+from docquarry.operators import citations, matching, vectors
 from docquarry.plans import registry
+from docquarry.streaming import jobs
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -26,12 +28,6 @@ def test_gives_rows(spark, data, name):
     assert QUERIES[name](spark, data).count() > 0
 
 
-def test_lists_find_nearly_all_neighbours(spark, data):
-    exact = {tuple(r) for r in QUERIES["vector_topk_batch"](spark, data).select("q_id", "vec_id").collect()}
-    found = {tuple(r) for r in QUERIES["vector_topk_ivf"](spark, data).select("q_id", "vec_id").collect()}
-    assert len(exact & found) >= 0.6 * len(exact)  # half of the lists of unclustered vectors
-
-
 def test_lists_find_nine_of_ten_neighbours(spark, data):
     for d in (data, data.replace("0.001", "0.1")):
         exact = {tuple(r) for r in QUERIES["vector_topk_batch"](spark, d).select("q_id", "vec_id").collect()}
@@ -74,3 +70,66 @@ def test_cache_in_a_stream_answers_as_in_a_loop(spark, data):
         if not fresh:
             held[r.user_id] = (r.ts, _STATUS_OF.get(r.event_type, "under_review"))
     assert got == want
+
+
+def test_searches_without_a_query(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    none = spark.createDataFrame([(None,)], "q array<float>")
+    assert vectors.topk(rows, none).count() == 0
+    assert [r.vec_id for r in vectors.topk(rows, spark.createDataFrame([([2.0, 0.1],)], "q array<float>")).collect()] == [1, 4]
+    embed = lambda texts: [[1.0, 0.5] for _ in texts]
+
+    def broken(texts):
+        raise RuntimeError("the model is away")
+
+    asked = spark.createDataFrame([("ремонт",)], "text string")
+    newest = [rows["vec_id"].desc()]
+    assert [r.vec_id for r in vectors.search_sections(rows, asked, embed, newest, k=1).collect()] == [4]
+    assert [(r.vec_id, r.similarity) for r in vectors.search_sections(rows, asked, broken, newest, k=2).collect()] == [(4, 0.5), (3, 0.5)]
+    for text in ("  ", None):
+        assert vectors.search_sections(rows, spark.createDataFrame([(text,)], "text string"), embed, newest).count() == 0
+
+
+def test_queries_of_several_lengths(spark):
+    rows = spark.createDataFrame([(i, [1.0, i / 10] + [0.5] * (i % 3)) for i in range(12)], "vec_id long, embedding array<float>")
+    queries = rows.selectExpr("vec_id as q_id", "embedding as q").union(spark.createDataFrame([(99, [1.0] * 7)], "q_id long, q array<float>"))
+    got = vectors.topk_batch(queries, rows, 1).collect()
+    assert {(r.q_id, r.vec_id) for r in got} == {(i, i) for i in range(12)}
+
+
+def test_upserts_go_on_after_a_restart(spark, tmp_path):
+    schema = "k long, v long, at long"
+    for run, rows in enumerate([[(1, 10, 1), (2, 20, 1)], [(2, 21, 2)], [(1, 9, 0), (3, 30, 3)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = jobs.file_source(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        jobs.upsert_stream(source, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], ["at"])
+        assert len(jobs.finished_batches(spark, str(tmp_path / "table"))) == run + 1
+    got = jobs.latest_table(spark, str(tmp_path / "table"), source.schema)
+    assert {tuple(r) for r in got.collect()} == {(1, 10, 1), (2, 21, 2), (3, 30, 3)}
+    assert jobs.latest_table(spark, str(tmp_path / "none"), source.schema).count() == 0
+
+
+def test_judge_from_a_function(spark):
+    candidates = spark.createDataFrame([(1, "Изкоп", 1, 5, "Изкоп машинен"), (1, "Изкоп", 2, 4, "Насип"), (2, "Бордюр", 1, 1, "Тротоар")], "item_id long, name string, rank int, ord long, title string")
+    judge = matching.python_judge(lambda name, titles: f'ето {{"matchedTitle":"{titles[0]}","confidence":{len(titles) * 40}}}')
+    assert {tuple(r) for r in judge(candidates).collect()} == {(1, "Изкоп машинен", 80.0), (2, "Тротоар", 40.0)}
+
+
+def test_cache_after_new_results(spark):
+    cache = spark.createDataFrame([("a", "valid", "2024-01-01 00:00:00"), ("b", "unknown", "2024-01-01 00:00:00")], "reference_key string, status string, checked_at string")
+    results = spark.createDataFrame([("b", "replaced", False), ("c", "valid", False), ("a", "withdrawn", True)], "reference string, status string, cached boolean")
+    got = citations.save_cache(cache, results, functions.lit("2024-02-01 00:00:00")).collect()
+    assert {(r.reference_key, r.status, str(r.checked_at)[:7]) for r in got} == {("a", "valid", "2024-01"), ("b", "replaced", "2024-02"), ("c", "valid", "2024-02")}
+
+
+def test_registry_terms(spark):
+    cards = spark.createDataFrame([(1, "БДС EN 933-1:2012 нещо", "60.60"), (2, "БДС EN 1933-1", "60.60"), (3, "EN 933-10", "60.60"), (4, "EN 12 933-1", "60.60"), (5, "ISO 9001/A1", "90.20"), (6, "EN 13242+A1", "95.99")], "ord long, title string, status_code string")
+    refs = spark.createDataFrame([("933-1",), ("9001",), ("EN 13242+A1",), ("77",), ("без",)], "search_term string")
+    got = {r.search_term: r.title for r in citations.registry_match(refs, cards).collect()}
+    assert got == {"933-1": "БДС EN 933-1:2012 нещо", "9001": "ISO 9001/A1", "EN 13242+A1": "EN 13242+A1"}
+
+
+def test_regulations_by_number_and_name(spark):
+    listing = spark.createDataFrame([(1, "НАРЕДБА № 3 ОТ 31 ЮЛИ 2003 Г. ЗА АКТОВЕТЕ", "/a"), (2, "НАРЕДБА № 31 ОТ 1 ЮЛИ 2003 Г.", "/b"), (3, "Наредба № РД-02-20-1 от 5 февруари 2015 г.", "/c"), (4, "НАРЕДБА ЗА ИЗМЕНЕНИЕ НА НАРЕДБА № 3 ОТ ЮЛИ 2003", "/d")], "ord long, title string, url string")
+    refs = spark.createDataFrame([("Наредба № 3 от 31.07.2003 г.",), ("Наредба № РД-02-20-1 от 05.02.2015 г.",), ("Наредба № 3 от 31.08.2003 г.",)], "normalized string")
+    assert {r.normalized[8:15]: r.url for r in citations.regulation_match(refs, listing).collect()} == {"№ 3 от ": "/a", "№ РД-02": "/c"}
