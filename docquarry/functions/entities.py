@@ -19,23 +19,26 @@ def _slim(value: Column) -> Column:
     return trim(F.regexp_replace(value, r"\s+", " "))
 
 
+# How a tender names its authority, its subject and its number, in order.
+AUTHORITY, MUNICIPALITY, NO_AUTHORITY = r"[Вв]ъзложител\s*[:\-–]\s*([^\n,]{5,80})", r"[Оо]бщина\s+([А-Яа-яA-Za-z\s\-]{3,40})", "Възложителя"
+SUBJECT, STREET, NO_SUBJECT = r"[Пп]редмет\s+на\s+поръчката[:\s]+([^\n]{10,150})", r"(?:ул\.|бул\.|пл\.)\s+[„\"]?([А-Яа-яA-Za-z\s\-„\"]+)[„\"]?", "строително-монтажни работи"
+NUMBERS = [  # pattern, and whether what was found is stripped of all but letters, digits and dashes
+    (r"(?iu)номера?\s*на\s*поръчката\s*(?:е)?\s*[:\s]*([0-9A-Za-z\-]+)", True), (r"(?iu)поръчката\s*([0-9]{5}-[0-9]{4}-[0-9]{4})", False),
+    (r"(?iu)референтен\s*номер\s*[:\s]*([0-9A-Za-z\-]+)", True), (r"([0-9]{5}-[0-9]{4}-[0-9]{4})", False),
+]
+
+
 def authority(text: Column) -> Column:
-    first = _slim(found(text, r"[Вв]ъзложител\s*[:\-–]\s*([^\n,]{5,80})"))
-    return F.coalesce(first, F.concat(F.lit("Община "), trim(found(text, r"[Оо]бщина\s+([А-Яа-яA-Za-z\s\-]{3,40})"))), F.lit("Възложителя"))
+    return F.coalesce(_slim(found(text, AUTHORITY)), F.concat(F.lit("Община "), trim(found(text, MUNICIPALITY))), F.lit(NO_AUTHORITY))
 
 
 def subject(text: Column) -> Column:
-    street = trim(found(text, r"(?:ул\.|бул\.|пл\.)\s+[„\"]?([А-Яа-яA-Za-z\s\-„\"]+)[„\"]?", 0))
-    return F.coalesce(trim(found(text, r"[Пп]редмет\s+на\s+поръчката[:\s]+([^\n]{10,150})")), street, F.lit("строително-монтажни работи"))
+    return F.coalesce(trim(found(text, SUBJECT)), trim(found(text, STREET, 0)), F.lit(NO_SUBJECT))
 
 
 def order_number(text: Column) -> Column:
     plain = lambda c: F.nullif(F.regexp_replace(trim(c), r"[^0-9A-Za-z_\-]", ""), F.lit(""))
-    named = found(text, r"(?iu)референтен\s*номер\s*[:\s]*([0-9A-Za-z\-]+)")
-    return F.coalesce(
-        plain(found(text, r"(?iu)номера?\s*на\s*поръчката\s*(?:е)?\s*[:\s]*([0-9A-Za-z\-]+)")), found(text, r"(?iu)поръчката\s*([0-9]{5}-[0-9]{4}-[0-9]{4})"),
-        plain(named), found(text, r"([0-9]{5}-[0-9]{4}-[0-9]{4})"),
-    )
+    return F.coalesce(*[plain(found(text, p)) if stripped else found(text, p) for p, stripped in NUMBERS])
 
 
 def main_object(text: Column, day: Column) -> Column:
@@ -73,18 +76,27 @@ def _street(name: Column) -> Column:
     return F.regexp_replace(_slim(name), rf"(?iu)(?<=\S)(?:\s+(?:{tail}))+\z", "")
 
 
+# How a place is named, the first that is found counts: what stands before it,
+# the pattern, whether words at its end that belong to no name go, and its least length.
+PLACES = [
+    ("ул. ", rf"(?iu)(?<!б)ул\.\s*{_Q}({_NQ}{{2,40}}){_Q}", False, 0), ("ул. ", rf"(?iu)(?<!б)ул\.\s+{_WORDS}", True, 2),
+    ("ул. ", rf"(?iu)улица\s+{_Q}({_NQ}{{2,40}}){_Q}", False, 0), ("ул. ", rf"(?iu)улица\s+{_WORDS}", True, 2),
+    ("АМ ", r"(?iu)(?:автомагистрала|АМ)\s+[„\"«»]?([А-Яа-яA-Za-z\s]{3,30}?)[„\"«»]?(?:\s*[,.]|\s+от\s+|\s+в\s+|\z)", False, 0),
+    ("Път ", r"/([IV]+[-–][0-9]{1,3})/", False, 0), ("", r"(?iu)(?:път|пътен\s+участък)\s+([A-ZА-Яа-я0-9\s–-]{3,40}?)(?:\s*[,.]|\s+от\s+|\s+в\s+)", False, 0),
+    ("бул. ", rf"(?iu)бул\.\s*{_Q}({_NQ}{{2,40}}){_Q}", False, 0), ("бул. ", rf"(?iu)бул\.\s+{_WORDS}", True, 0),
+    ("бул. ", rf"(?iu)булевард\s+{_WORDS}", True, 2), ("кв. ", r"(?iu)кв(?:артал)?\.\s+([А-Яа-я]+(?:\s+[А-Яа-я]+){0,2})", True, 2),
+]
+
+
 def address(text: Column) -> Column:
     """A street, motorway, road, boulevard or district, in that order; else the city."""
-    long_ = lambda prefix, c: F.when(F.length(c) >= 2, F.concat(F.lit(prefix), c))
-    plain = lambda prefix, c: F.concat(F.lit(prefix), c)
-    return F.coalesce(
-        plain("ул. ", _slim(found(text, rf"(?iu)(?<!б)ул\.\s*{_Q}({_NQ}{{2,40}}){_Q}"))), long_("ул. ", _street(found(text, rf"(?iu)(?<!б)ул\.\s+{_WORDS}"))),
-        plain("ул. ", _slim(found(text, rf"(?iu)улица\s+{_Q}({_NQ}{{2,40}}){_Q}"))), long_("ул. ", _street(found(text, rf"(?iu)улица\s+{_WORDS}"))),
-        plain("АМ ", _slim(found(text, r"(?iu)(?:автомагистрала|АМ)\s+[„\"«»]?([А-Яа-яA-Za-z\s]{3,30}?)[„\"«»]?(?:\s*[,.]|\s+от\s+|\s+в\s+|\z)"))),
-        plain("Път ", found(text, r"/([IV]+[-–][0-9]{1,3})/")), _slim(found(text, r"(?iu)(?:път|пътен\s+участък)\s+([A-ZА-Яа-я0-9\s–-]{3,40}?)(?:\s*[,.]|\s+от\s+|\s+в\s+)")),
-        plain("бул. ", _slim(found(text, rf"(?iu)бул\.\s*{_Q}({_NQ}{{2,40}}){_Q}"))), plain("бул. ", _street(found(text, rf"(?iu)бул\.\s+{_WORDS}"))),
-        long_("бул. ", _street(found(text, rf"(?iu)булевард\s+{_WORDS}"))), long_("кв. ", _street(found(text, r"(?iu)кв(?:артал)?\.\s+([А-Яа-я]+(?:\s+[А-Яа-я]+){0,2})"))), city(text),
-    )
+
+    def place(prefix: str, pattern: str, named: bool, least: int) -> Column:
+        got = found(text, pattern)
+        name = _street(got) if named else _slim(got)
+        return F.concat(F.lit(prefix), F.when(F.length(name) >= least, name) if least else name)
+
+    return F.coalesce(*[place(*p) for p in PLACES], city(text))
 
 
 def location(intro: Column, raw: Column) -> Column:
@@ -95,28 +107,34 @@ def location(intro: Column, raw: Column) -> Column:
     return F.concat(got, F.when(town.isNotNull() & ~F.contains(got, town), F.concat(F.lit(", "), town)).otherwise(""), F.lit(", България"))
 
 
+# Where a guarantee clause begins and ends; the parameters of a documentation by
+# name, with the most letters of some.
+GUARANTEE, GUARANTEE_END, GUARANTEE_MOST = r"(?imu)(?:X\.|Х\.|ГАРАНЦИОННА\s+ОТГОВОРНОСТ)", r"(?m)\n\s*(?:Х?I{1,3}|XI{1,3})\.\s+[А-ЯA-Z]", 3000
+GUARANTEE_TITLE, PARAMETERS_TITLE = "[Извлечено от Проект на договор – Гаранционна отговорност]\n", "[Извлечено от Документация за участие – ключови параметри]\n"
+PARAMETERS = [
+    ("Предмет", r"(?imu)(?:предмет\s+на\s+(?:настоящата\s+)?(?:обществена(?:та)?\s+)?поръчка(?:\s+е)?:?\s*)([\s\S]{20,800}?)(?=\n\s*(?:\d+\.\s+|предвижда|пълната\s+информация|има\s+изготвен))", 1000),
+    ("Критерий за възлагане", r"(?imu)критери[ий]\s+за\s+възлагане[^.]*?(?:„[^\"]+\"|най[\s–-]+ниска\s+цена|оптимално\s+съотношение)[^.]{0,200}\.", None),
+    ("Процедура", r"(?imu)(?:вид\s+на\s+процедурата|публично\s+състезание|открита\s+процедура)[^.]{0,200}\.", None),
+    ("Финансиране", r"(?imu)финансиране[:\s][\s\S]{0,500}?(?=\n\s*\d+\.\d*\s+|$)", 500),
+]
+
+
 def guarantee(body: Column) -> Column:
     """The guarantee clause of a draft contract: up to the next section, else 3000 letters.
 
     A clause that the text begins with counts as none."""
-    at = F.regexp_instr(body, F.lit(r"(?imu)(?:X\.|Х\.|ГАРАНЦИОННА\s+ОТГОВОРНОСТ)"))
+    at = F.regexp_instr(body, F.lit(GUARANTEE))
     rest = F.substr(body, at)
-    stop = F.regexp_instr(rest, F.lit(r"(?m)\n\s*(?:Х?I{1,3}|XI{1,3})\.\s+[А-ЯA-Z]"))
-    clause = trim(F.left(rest, F.when(stop > 1, stop - 1).otherwise(F.lit(3000))))
-    return F.when(at > 1, F.concat(F.lit("[Извлечено от Проект на договор – Гаранционна отговорност]\n"), clause))
+    stop = F.regexp_instr(rest, F.lit(GUARANTEE_END))
+    clause = trim(F.left(rest, F.when(stop > 1, stop - 1).otherwise(F.lit(GUARANTEE_MOST))))
+    return F.when(at > 1, F.concat(F.lit(GUARANTEE_TITLE), clause))
 
 
 def key_parameters(body: Column) -> Column:
     """Subject, criterion, procedure and financing, as far as they are given; else null."""
-    part = lambda name, p, most=None: F.concat(F.lit(f"{name}: "), trim(found(body, p, 0)) if most is None else F.left(trim(found(body, p, 0)), F.lit(most)))
-    parts = [
-        part("Предмет", r"(?imu)(?:предмет\s+на\s+(?:настоящата\s+)?(?:обществена(?:та)?\s+)?поръчка(?:\s+е)?:?\s*)([\s\S]{20,800}?)(?=\n\s*(?:\d+\.\s+|предвижда|пълната\s+информация|има\s+изготвен))", 1000),
-        part("Критерий за възлагане", r"(?imu)критери[ий]\s+за\s+възлагане[^.]*?(?:„[^\"]+\"|най[\s–-]+ниска\s+цена|оптимално\s+съотношение)[^.]{0,200}\."),
-        part("Процедура", r"(?imu)(?:вид\s+на\s+процедурата|публично\s+състезание|открита\s+процедура)[^.]{0,200}\."),
-        part("Финансиране", r"(?imu)финансиране[:\s][\s\S]{0,500}?(?=\n\s*\d+\.\d*\s+|$)", 500),
-    ]
-    whole = F.concat_ws("\n\n", *parts)
-    return F.when(whole != "", F.concat(F.lit("[Извлечено от Документация за участие – ключови параметри]\n"), whole))
+    part = lambda name, p, most: F.concat(F.lit(f"{name}: "), trim(found(body, p, 0)) if most is None else F.left(trim(found(body, p, 0)), F.lit(most)))
+    whole = F.concat_ws("\n\n", *[part(*p) for p in PARAMETERS])
+    return F.when(whole != "", F.concat(F.lit(PARAMETERS_TITLE), whole))
 
 
 def llm_object(content: Column) -> Column:
