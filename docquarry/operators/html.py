@@ -17,18 +17,22 @@ TAG = r"(?i)</?table[^>]*>"
 
 def positions(text: Column, pattern: str) -> Column:
     """Array of structs raw, at: all matches and their places."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # one pass: the place of a match is the length of all that stands before it
-    walk = F.aggregate(
-        F.arrays_zip(between.alias("b"), matches.alias("m")),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<raw:string,at:int>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["n"] + F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("n"),
-            F.when(x["m"].isNotNull(), F.concat(a["out"], F.array(F.struct(x["m"].alias("raw"), (a["n"] + F.length(x["b"])).alias("at"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return walk
+    none = F.array().cast("array<struct<raw:string,at:int>>")
+
+    def walk(matches: Column) -> Column:
+        # one pass: the place of a match is the length of all that stands before it
+        return F.aggregate(
+            F.arrays_zip(F.split(text, pattern, -1).alias("b"), matches.alias("m")),
+            F.struct(F.lit(0).alias("n"), none.alias("out")),
+            lambda a, x: F.struct(
+                (a["n"] + F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("n"),
+                F.when(x["m"].isNotNull(), F.concat(a["out"], F.array(F.struct(x["m"].alias("raw"), (a["n"] + F.length(x["b"])).alias("at"))))).otherwise(a["out"]).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    # most texts have no match, and are looked at once
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, walk(m)).otherwise(F.when(m.isNotNull(), none)))
 
 
 def paragraphs(pages: DataFrame, key: str, html: str = "html", tag: str = "p") -> DataFrame:
