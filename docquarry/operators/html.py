@@ -171,16 +171,28 @@ def trim_at_phrase(plain: Column, phrase: str = "В изпълнение на з
     return F.when(at >= least, trim(F.left(plain, at))).otherwise(plain)
 
 
+def title_place(text: Column, title: Column, start: Column) -> Column:
+    """The place (from 1) of a title at or after start: as it is, else three of its first six
+    words of three letters or more in a row, with up to 80 letters, such as tags, between them;
+    null if neither is there."""
+    words = F.slice(F.filter(F.split(title, r"\s+"), lambda w: F.length(w) > 2), 1, 6)
+    gap = r"\E[\s\S]{0,80}\Q"
+    three = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat(F.lit(r"(?iu)\Q"), F.array_join(F.slice(w, i, 3), gap), F.lit(r"\E"))))
+    hits = lambda rest: F.filter(F.transform(let(words, three), lambda p: F.regexp_instr(rest, p)), lambda at: at > 0)
+    windows = let(F.substr(text, start), lambda rest: F.try_element_at(hits(rest), F.lit(1)))
+    return let(F.call_function("locate", title, text, start), lambda at: F.when(at > 0, at).otherwise(windows + start - 1))
+
+
 def split_by_titles(docs: DataFrame, sections: DataFrame, key: str, text: str = "text", least: int = 50) -> DataFrame:
     """key, ord, title, body: a text cut where its titles stand, each behind the one before.
 
-    A title that isn't found there follows the one before at once; short bodies go.
-    sections: key, ord, title."""
+    Titles are looked for as title_place() does, so tags inside them don't matter. A title that
+    isn't found there follows the one before at once; short bodies go. sections: key, ord, title."""
     lists = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("s")).withColumnRenamed(key, "_key")
     both = docs.join(lists, F.col(key) == F.col("_key"))
     walk = F.aggregate(
         "s", F.struct(F.lit(-1).alias("p"), F.array().cast("array<struct<ord:int,title:string,at:int>>").alias("out")),
-        lambda a, x: let(F.call_function("locate", x["title"], F.col(text), a["p"] + 2), lambda f: let(F.when(f > 0, f - 1).otherwise(a["p"] + 1), lambda p: F.struct(p.cast("int").alias("p"), F.concat(a["out"], F.array(F.struct(x["ord"].cast("int").alias("ord"), x["title"].alias("title"), p.cast("int").alias("at")))).alias("out")))),
+        lambda a, x: let(title_place(F.col(text), x["title"], a["p"] + 2), lambda f: let(F.coalesce(f - 1, a["p"] + 1), lambda p: F.struct(p.cast("int").alias("p"), F.concat(a["out"], F.array(F.struct(x["ord"].cast("int").alias("ord"), x["title"].alias("title"), p.cast("int").alias("at")))).alias("out")))),
         lambda a: a["out"],
     )
     rows = both.select(key, text, F.posexplode(walk).alias("_i", "x"), F.length(text).alias("_len"))

@@ -5,7 +5,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions
 
-from docquarry.operators import citations, matching, vectors
+from docquarry.operators import citations, html, matching, vectors
 from docquarry.plans import registry
 from docquarry.streaming import jobs
 
@@ -133,3 +133,12 @@ def test_regulations_by_number_and_name(spark):
     listing = spark.createDataFrame([(1, "НАРЕДБА № 3 ОТ 31 ЮЛИ 2003 Г. ЗА АКТОВЕТЕ", "/a"), (2, "НАРЕДБА № 31 ОТ 1 ЮЛИ 2003 Г.", "/b"), (3, "Наредба № РД-02-20-1 от 5 февруари 2015 г.", "/c"), (4, "НАРЕДБА ЗА ИЗМЕНЕНИЕ НА НАРЕДБА № 3 ОТ ЮЛИ 2003", "/d")], "ord long, title string, url string")
     refs = spark.createDataFrame([("Наредба № 3 от 31.07.2003 г.",), ("Наредба № РД-02-20-1 от 05.02.2015 г.",), ("Наредба № 3 от 31.08.2003 г.",)], "normalized string")
     assert {r.normalized[8:15]: r.url for r in citations.regulation_match(refs, listing).collect()} == {"№ 3 от ": "/a", "№ РД-02": "/c"}
+
+
+def test_titles_with_tags_between_their_words(spark):
+    text = "увод " * 12 + "Технология <b>на</b> ИЗПЪЛНЕНИЕ <i>(и)</i> контрола " + "стъпка " * 12 + "Край на всичко: " + "още " * 20
+    docs = spark.createDataFrame([(1, text)], "k long, text string")
+    titles = spark.createDataFrame([(1, 1, "увод"), (1, 2, "технология изпълнение и контрола"), (1, 3, "Край на всичко:"), (1, 4, "липсва тук нещо")], "k long, ord int, title string")
+    got = {r.ord: r.body for r in html.split_by_titles(docs, titles, "k", least=1).collect()}
+    assert got[1].endswith("увод") and got[2].startswith("Технология <b>") and got[2].endswith("стъпка")
+    assert got[3] == "К" and got[4].startswith("рай на всичко:")
