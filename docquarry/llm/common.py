@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from ..sources.tables import fresh_path, table
 
-__all__ = ["fresh_path", "mix", "pieces", "settle", "table", "text_words", "word_hashes", "words"]
+__all__ = ["forget", "fresh_path", "kept", "mix", "pieces", "settle", "table", "text_words", "word_hashes", "words"]
 
 _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
@@ -18,6 +19,23 @@ _SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 PIECE = 1 << 22
 
 
+_KEPT: dict = {}
+
+
+def kept(name: tuple, make: Callable[[], Any]) -> Any:
+    """What this Python process keeps from task to task: one thing at a time, so that the
+    memories of a pipeline's stages, which share their processes, don't add up."""
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Drop what kept() holds: at the beginning of tasks that need their memory otherwise."""
+    _KEPT.clear()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage through a table written in the shared folder."""
     spark = df.sparkSession

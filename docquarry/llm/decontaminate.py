@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER, settle, text_words
+from .common import LOWER, forget, settle, text_words
 
 #: Masks: x is selected, . is ignored. In any WINDOW tokens, and in any item of at least so many,
 #: one of them misses all substitutions that SHARE allows (the tests go through all patterns).
@@ -185,6 +185,7 @@ def _clean(held):
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series([not held.value.overlaps(tokens(t)) for t in texts], dtype=bool)
 
     return clean

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ANY_WORD, LOWER, mix, settle, text_words
+from .common import ANY_WORD, LOWER, forget, mix, settle, text_words
 from .graph import components
 
 SHINGLE, LEAST = 5, 75
@@ -116,6 +116,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
     """doc_id, n_shingles, set_key (128 bits; null for the empty set), bands, places."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, sets, held = [], [], 0
             for at in range(batch.num_rows):
@@ -152,6 +153,7 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> Data
     docs = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 found = [shingle_set(t, k).tobytes() for t in batch.column(0).slice(at, 200).to_pylist()]

@@ -11,11 +11,10 @@ import os
 import string
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
-from .common import words
+from .common import kept, words
 
 TOKENIZER = "word_bpe_49k.json"
 #: Texts that are encoded together, and new words that the tokenizer gets together.
@@ -32,7 +31,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordEncoder:
     """ids() and counts() of texts; None counts as the empty text."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,7 +111,6 @@ class WordEncoder:
                 yield self.encode(t) if w is None else self._joined(w)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
     """The process's encoder of a file: later tasks of a worker find the words of earlier ones."""
-    return WordEncoder(path)
+    return kept(("encoder", path), lambda: WordEncoder(path))

@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle, words
+from .common import kept, settle, words
 
 #: Labelled rows that are looked at, of each label; the smallest by a hash of the key. Half of
 #: them train, half calibrate; all by their whole texts.
@@ -74,12 +74,7 @@ class Model:
 
     def shared_scorer(self) -> Scorer:
         """The process's scorer: later tasks of a worker find the margins of earlier ones."""
-        if "_scorer" not in self.__dict__:
-            self.__dict__["_scorer"] = Scorer(self)
-        return self.__dict__["_scorer"]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
+        return kept(("scorer", self.toxic, self.ordinary, *self.weights), lambda: Scorer(self))
 
 
 class Scorer:
