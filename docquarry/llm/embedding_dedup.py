@@ -17,15 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import settle
-from .graph import components, forest
+from .graph import components
 
 #: Vectors that fit the centres; a bound whatever the size of the table.
 SAMPLE = 20_000
-#: Vectors of a cell that are aimed at, most centres, vectors of a block.
-CELL, MOST_CELLS, BLOCK = 1000, 1024, 1024
+#: Vectors of a cell that are aimed at, most centres of vectors of one length.
+CELL, MOST_CELLS = 1000, 1024
+#: Most vectors of a block, and most bytes of it.
+BLOCK, BLOCK_BYTES = 8192, 1 << 25
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled first, so that no square is too large or too small."""
+    x = x / np.abs(x).max(-1, keepdims=True)
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
 
@@ -66,67 +70,63 @@ def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vec
 
     classes: rep (smallest key), label, embedding, n; counts: rep, links (rows of other
     classes within the cosine); edges: a, b."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.filter(sound).withColumn("v", F.expr("transform(v, x -> x + 0.0D)"))  # -0.0 is 0.0
     classes = settle(rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    found = _compare(classes.withColumn("dim", F.size("v")), _centres(classes, cell, sample), least, block)
+    counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    return classes, counts, found.filter("b is not null").select("a", "b")
+
+
+def _centres(classes: DataFrame, cell: int, sample: int) -> dict[int, np.ndarray]:
+    """For each length of vectors of which some label has more than a cell, the centres."""
     sizes = classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most"))
-    kept = None
-    counts, edges = [], []
-    for dim, most in sorted(map(tuple, sizes.limit(64).collect())):  # vectors of different lengths have no cosine
-        own = classes.filter(F.size("v") == dim)
-        k = int(min(MOST_CELLS, max(1, -(-most // cell))))
-        if k > 1:
-            # the bound on the sample is its documented parameter; the rows are the smallest by a hash
-            drawn = own.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
-            x = unit(_matrix(drawn.column(0).combine_chunks(), dim))
-            centres = spherical_kmeans(x, min(k, len(x)))
-        else:
-            centres = np.eye(1, dim)
-        held = spark.sparkContext.broadcast(centres)
-        got = _compare(own, held, dim, least, block)
-        counts.append(got.filter("b is null").select(F.col("a").alias("rep"), "links"))
-        edges.append(got.filter("b is not null").select("a", "b"))
-        kept = got
-    if kept is None:
-        empty = spark.createDataFrame([], "a long, b long, links long")
-        return classes, empty.select(F.col("a").alias("rep"), "links"), empty.select("a", "b")
-    union = lambda x: x[0] if len(x) == 1 else x[0].union(union(x[1:]))
-    return classes, union(counts).groupBy("rep").agg(F.sum("links").alias("links")), union(edges)
-
-
-def _compare(own: DataFrame, held, dim: int, least: float, block: int) -> DataFrame:
+    out = {}
+    # one job for each length of which there are many; others are one cell
+    for dim, most in map(tuple, sizes.filter(F.col("most") > cell).collect()):
+        # the bound on the sample is its documented parameter; the rows are the smallest by a hash
+        drawn = classes.filter(F.size("v") == dim).select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
+        x = unit(_matrix(drawn.column(0).combine_chunks(), dim))
+        out[dim] = spherical_kmeans(x, min(MOST_CELLS, -(-most // cell), len(x)))
+    return out
+
+
+def _compare(classes: DataFrame, centres: dict[int, np.ndarray], least: float, block: int) -> DataFrame:
     """a, b, links: for each home class and block its links (b null), and edges of forests."""
+    held = classes.sparkSession.sparkContext.broadcast(centres)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = held.value
         for batch in batches:
-            x = _matrix(batch.column("v"), dim)
-            home, more = copied(unit(x), centres, least)
-            row, at = np.nonzero(more)
-            row, at, guest = np.concatenate((np.arange(len(x)), row)), np.concatenate((home, at)), np.concatenate((np.zeros(len(x), bool), np.ones(len(row), bool)))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(at), pa.array(guest), batch.column("rep").take(take), batch.column("n").take(take), pa.array(home[row]), batch.column("v").take(take)], ["label", "cell", "guest", "rep", "n", "home", "v"])
-
-    kind = own.schema["label"].dataType.simpleString()
-    dealt = settle(own.select("label", "v", "rep", "n").mapInArrow(deal, f"label {kind}, cell long, guest boolean, rep long, n long, home long, v array<double>"))
-    sizes = dealt.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    placed = dealt.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # block i meets block j >= i: a row goes to each pair that its block is part of
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    placed = placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    pairs = placed.select(F.xxhash64("label", "cell", "lo", "hi").alias("job"), "label", "cell", "lo", "hi", "block", "guest", "rep", "n", "home", "v")
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():  # vectors of different lengths have no cosine
+                yield cells(batch.filter(pa.array(dims == dim)), dim)
+
+    def cells(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+        n = batch.num_rows
+        home, more = copied(unit(_matrix(batch.column("v"), dim)), held.value[dim], least) if dim in held.value else (np.zeros(n, np.int64), np.zeros((n, 1), bool))
+        row, at = np.nonzero(more)
+        row, at, guest = np.concatenate((np.arange(n), row)), np.concatenate((home, at)), np.concatenate((np.zeros(n, bool), np.ones(len(row), bool)))
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("dim", "label", "rep", "n", "v")), pa.array(at), pa.array(guest), pa.array(home[row])], ["dim", "label", "rep", "n", "v", "cell", "guest", "home"])
+
+    kind = classes.schema["label"].dataType.simpleString()
+    dealt = settle(classes.select("dim", "label", "rep", "n", "v").mapInArrow(deal, f"dim int, label {kind}, rep long, n long, v array<double>, cell long, guest boolean, home long"))
+    most = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
+    sizes = dealt.groupBy("dim", "label", "cell").agg(F.count("*").alias("rows")).select("dim", "label", "cell", F.ceil(F.col("rows") / most).alias("blocks"))
+    placed = dealt.join(sizes, ["dim", "label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    # block i meets block j >= i: a row goes to each pair that its block is part of; most cells are one block
+    several = placed.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    placed = placed.filter("blocks <= 1").withColumn("other", F.col("block")).unionByName(several).drop("blocks")
+    jobs = placed.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
 
     def job(table: pa.Table) -> pa.Table:
-        centres = held.value
+        dim, cell, lo, hi = (table.column(c)[0].as_py() for c in ("dim", "cell", "lo", "hi"))
         v, rep, n = unit(_matrix(table.column("v").combine_chunks(), dim)), table.column("rep").to_numpy(), table.column("n").to_numpy()
-        guest, home, own_block = table.column("guest").to_numpy(), table.column("home").to_numpy(), table.column("block").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        guest, home, own_block = (table.column(c).to_numpy() for c in ("guest", "home", "block"))
         left, right = np.flatnonzero(own_block == lo), np.flatnonzero(own_block == hi)
-        cell = table.column("cell")[0].as_py()
-        has = copied(v, centres, least)[1]
-        links, ends = np.zeros(len(v), np.int64), []
+        has = copied(v, held.value[dim], least)[1] if dim in held.value else np.zeros((len(v), 1), bool)
+        links, tree, joined = np.zeros(len(v), np.int64), [], np.arange(len(v))
         for at in range(0, len(left), 512):
             i = left[at : at + 512]
             close = v[i] @ v[right].T >= least
@@ -136,22 +136,26 @@ def _compare(own: DataFrame, held, dim: int, least: float, block: int) -> DataFr
             close &= ~(seen & (np.minimum(home[i][:, None], home[right][None, :]) != cell))
             if lo == hi:
                 close &= i[:, None] < right[None, :]
-            p, q = np.nonzero(close)
-            ends.append((i[p], right[q]))
-        p, q = (np.concatenate(x) for x in zip(*ends, strict=True)) if ends else (np.empty(0, int), np.empty(0, int))
-        np.add.at(links, p, n[q])
-        np.add.at(links, q, n[p])
-        tree = forest(p.tolist(), q.tolist(), len(v))
+            links[i] += close @ n[right]
+            links[right] += n[i] @ close
+            for row in np.flatnonzero(close.any(1)):
+                ends = right[close[row]]
+                trees, first = np.unique(joined[ends], return_index=True)
+                new = trees != joined[i[row]]
+                if new.any():  # a link to each tree that the row isn't part of yet
+                    tree += [(i[row], e) for e in ends[first[new]]]
+                    joined[np.isin(joined, trees)] = joined[i[row]]
         some = np.flatnonzero(links)
-        a = np.concatenate((rep[some], rep[[x for x, _ in tree]] if tree else np.empty(0, np.int64)))
-        b = [None] * len(some) + [int(rep[y]) for _, y in tree]
+        a = [*rep[some].tolist(), *[int(rep[x]) for x, _ in tree]]
+        b = [*[None] * len(some), *[int(rep[y]) for _, y in tree]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(tree)], pa.int64())})
 
-    return settle(pairs.groupBy("job").applyInArrow(job, "a long, b long, links long"))
+    return settle(jobs.groupBy("dim", "label", "cell", "lo", "hi").applyInArrow(job, "a long, b long, links long"))
 
 
 def embedding_dedup(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", **kw) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row.
+    """vec_id, n_links, component_id, kept for each row. Vectors of any length are compared with
+    those of their own.
 
     Rows whose key, label or vector is null, whose vector is empty or zero or holds a null or
     non-finite component, link with nothing: 0 links, their own key as component, kept. Equal

@@ -86,19 +86,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         edges = settle(_stars(_stars(edges, True), False))
     raise RuntimeError(f"links aren't joined after {most_rounds} rounds")
-
-
-def forest(a, b, n: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (a[i], b[i]) over nodes 0 to n - 1, by union-find."""
-    root = list(range(n))
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = x, y
-        while root[p] != p:
-            root[p] = p = root[root[p]]
-        while root[q] != q:
-            root[q] = q = root[root[q]]
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
