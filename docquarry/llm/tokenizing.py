@@ -31,7 +31,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordEncoder:
     """ids() and counts() of texts; None counts as the empty text."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -88,7 +88,7 @@ def tokenized(text):
 TOKENIZER = __import__("tokenizers").Tokenizer.from_file(tokenizing.tokenizer_path())
 
 
-@pytest.mark.parametrize("most", [300_000, 400])
+@pytest.mark.parametrize("most", [450_000, 400])
 def test_whole_texts_give_the_tokenizer_s_ids(most):
     """Also while words leave the memory all the time."""
     import pyarrow.parquet as pq
