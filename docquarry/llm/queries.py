@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embedding_dedup, minhash_dedup, mixing, oracles, pii, sharding, token_counts, token_output, toxicity, warc
+from . import byte_bpe, centroids, conversation_repair, decontaminate, embedding_dedup, minhash_dedup, mixing, oracles, pii, sharding, token_counts, token_output, toxicity, warc
 from .common import table
 
 #: The pseudonyms' key; a real run takes its own.
@@ -69,6 +69,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the bytes that they decode to. A null text is empty."""
+    return byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector of 64 sound components, after 5 rounds with 40 centroids."""
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of each damaged conversation, and its cheapest repair. Nulls are one space."""
+    return conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents; its stages state their cases."""
     import corpus_pipeline
@@ -77,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    out = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_pii, op4_sharding, op5_token_output, op6_toxicity, op7_minhash_dedup, op8_embedding_dedup, op9_mixing, op10_token_counts)}
+    out = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_pii, op4_sharding, op5_token_output, op6_toxicity, op7_minhash_dedup, op8_embedding_dedup, op9_mixing, op10_token_counts, op11_byte_bpe, op12_centroid_clusters, op13_conversation_repair)}
     return out | {"pipeline": pipeline}
 
 
