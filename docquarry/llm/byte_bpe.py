@@ -25,7 +25,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of text whose pre-tokens are held at a time, and bytes of values that are worked on together.
 PART, BATCH = 1 << 20, 1 << 23
 #: Bytes of pre-tokens that a process remembers twice over, and the longest of them.
-MEMORY, LONGEST = 64 << 20, 64
+MEMORY, LONGEST = 40 << 20, 64
 
 
 @functools.cache
