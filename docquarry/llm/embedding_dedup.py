@@ -23,6 +23,8 @@ from .graph import components
 SAMPLE = 20_000
 #: Vectors of a cell that are aimed at, most centres of vectors of one length.
 CELL, MOST_CELLS = 1000, 1024
+#: Vectors of a label below which it is one cell, and bytes of all centres together.
+LEAST_CELL, CENTRE_BYTES = 32, 1 << 26
 #: Most vectors of a block, and most bytes of it.
 BLOCK, BLOCK_BYTES = 8192, 1 << 25
 
@@ -68,27 +70,36 @@ def copied(x: np.ndarray, centres: np.ndarray, least: float) -> tuple[np.ndarray
 def near_links(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", cell: int = CELL, block: int = BLOCK, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal vectors, their links to other classes, and a forest of the links.
 
-    classes: rep (smallest key), label, embedding, n; counts: rep, links (rows of other
-    classes within the cosine); edges: a, b."""
+    classes: node (a number of its own, as vectors that share a key may be of several classes),
+    rep (smallest key), label, v, n; counts: node, links (rows of other classes within the
+    cosine); edges: a, b, nodes."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     rows = rows.filter(sound).withColumn("v", F.expr("transform(v, x -> x + 0.0D)"))  # -0.0 is 0.0
-    classes = settle(rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    classes = rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()))  # written, the numbers stay
     found = _compare(classes.withColumn("dim", F.size("v")), _centres(classes, cell, sample), least, block)
-    counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     return classes, counts, found.filter("b is not null").select("a", "b")
 
 
 def _centres(classes: DataFrame, cell: int, sample: int) -> dict[int, np.ndarray]:
-    """For each length of vectors of which some label has more than a cell, the centres."""
+    """For each length of vectors the centres: at least two, about one for a cell of the largest label.
+
+    Lengths of which no label has LEAST_CELL vectors have none, nor have those whose centres would
+    go beyond CENTRE_BYTES: their labels are one cell, which is compared in blocks all the same."""
     sizes = classes.groupBy(F.size("v").alias("dim"), "label").count().groupBy("dim").agg(F.max("count").alias("most"))
-    out = {}
-    # one job for each length of which there are many; others are one cell
-    for dim, most in map(tuple, sizes.filter(F.col("most") > cell).collect()):
+    out, held = {}, 0
+    # one job for each length of which there are many
+    for dim, most in map(tuple, sizes.filter(F.col("most") > min(cell, LEAST_CELL)).orderBy(F.desc("most"), "dim").collect()):
+        k = min(MOST_CELLS, max(2, -(-most // cell)))
+        held += 8 * k * dim
+        if held > CENTRE_BYTES:
+            break
         # the bound on the sample is its documented parameter; the rows are the smallest by a hash
-        drawn = classes.filter(F.size("v") == dim).select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
+        drawn = classes.filter(F.size("v") == dim).select("v", F.xxhash64("rep", "v").alias("h")).orderBy("h").limit(sample).select("v").toArrow()
         x = unit(_matrix(drawn.column(0).combine_chunks(), dim))
-        out[dim] = spherical_kmeans(x, min(MOST_CELLS, -(-most // cell), len(x)))
+        out[dim] = spherical_kmeans(x, min(k, len(x)))
     return out
 
 
@@ -108,13 +119,13 @@ def _compare(classes: DataFrame, centres: dict[int, np.ndarray], least: float, b
         row, at = np.nonzero(more)
         row, at, guest = np.concatenate((np.arange(n), row)), np.concatenate((home, at)), np.concatenate((np.zeros(n, bool), np.ones(len(row), bool)))
         take = pa.array(row)
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("dim", "label", "rep", "n", "v")), pa.array(at), pa.array(guest), pa.array(home[row])], ["dim", "label", "rep", "n", "v", "cell", "guest", "home"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("dim", "label", "node", "n", "v")), pa.array(at), pa.array(guest), pa.array(home[row])], ["dim", "label", "node", "n", "v", "cell", "guest", "home"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    dealt = settle(classes.select("dim", "label", "rep", "n", "v").mapInArrow(deal, f"dim int, label {kind}, rep long, n long, v array<double>, cell long, guest boolean, home long"))
+    dealt = settle(classes.select("dim", "label", "node", "n", "v").mapInArrow(deal, f"dim int, label {kind}, node long, n long, v array<double>, cell long, guest boolean, home long"))
     most = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim")))))
     sizes = dealt.groupBy("dim", "label", "cell").agg(F.count("*").alias("rows")).select("dim", "label", "cell", F.ceil(F.col("rows") / most).alias("blocks"))
-    placed = dealt.join(sizes, ["dim", "label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    placed = dealt.join(sizes, ["dim", "label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     # block i meets block j >= i: a row goes to each pair that its block is part of; most cells are one block
     several = placed.filter("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     placed = placed.filter("blocks <= 1").withColumn("other", F.col("block")).unionByName(several).drop("blocks")
@@ -122,7 +133,7 @@ def _compare(classes: DataFrame, centres: dict[int, np.ndarray], least: float, b
 
     def job(table: pa.Table) -> pa.Table:
         dim, cell, lo, hi = (table.column(c)[0].as_py() for c in ("dim", "cell", "lo", "hi"))
-        v, rep, n = unit(_matrix(table.column("v").combine_chunks(), dim)), table.column("rep").to_numpy(), table.column("n").to_numpy()
+        v, node, n = unit(_matrix(table.column("v").combine_chunks(), dim)), table.column("node").to_numpy(), table.column("n").to_numpy()
         guest, home, own_block = (table.column(c).to_numpy() for c in ("guest", "home", "block"))
         left, right = np.flatnonzero(own_block == lo), np.flatnonzero(own_block == hi)
         has = copied(v, held.value[dim], least)[1] if dim in held.value else np.zeros((len(v), 1), bool)
@@ -146,8 +157,8 @@ def _compare(classes: DataFrame, centres: dict[int, np.ndarray], least: float, b
                     tree += [(i[row], e) for e in ends[first[new]]]
                     joined[np.isin(joined, trees)] = joined[i[row]]
         some = np.flatnonzero(links)
-        a = [*rep[some].tolist(), *[int(rep[x]) for x, _ in tree]]
-        b = [*[None] * len(some), *[int(rep[y]) for _, y in tree]]
+        a = [*node[some].tolist(), *[int(node[x]) for x, _ in tree]]
+        b = [*[None] * len(some), *[int(node[y]) for _, y in tree]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([*links[some].tolist(), *[0] * len(tree)], pa.int64())})
 
     return settle(jobs.groupBy("dim", "label", "cell", "lo", "hi").applyInArrow(job, "a long, b long, links long"))
@@ -159,12 +170,15 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
 
     Rows whose key, label or vector is null, whose vector is empty or zero or holds a null or
     non-finite component, link with nothing: 0 links, their own key as component, kept. Equal
-    vectors are compared once and counted as often as they occur. An empty table gives no
+    vectors are compared once and counted as often as they occur. Rows that share a key are each
+    compared by their own vector; their component is the smallest key that its links reach. An empty table gives no
     rows. Other columns are not read, whatever their names."""
     classes, counts, edges = near_links(vectors, least, key, vector, label, **kw)
     found = components(edges)
-    own = classes.join(counts, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
-    own = own.select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = found.withColumnRenamed("node", "of").join(classes.select("node", "rep"), F.col("of") == F.col("node")).select("of", "component", "rep")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select("of", "least")
+    own = classes.join(counts, "node", "left").join(named, F.col("node") == F.col("of"), "left")
+    own = own.select(F.col("label").alias("_label"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "rep").alias("component"))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.expr(f"transform(cast(`{vector}` as array<double>), x -> x + 0.0D)").alias("_vec"), F.col(label).alias("_lab"))
     out = rows.join(own, (F.col("_lab") == F.col("_label")) & (F.col("_vec") == F.col("_v")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component", "vec_id")

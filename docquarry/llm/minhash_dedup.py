@@ -113,15 +113,15 @@ def _sign(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits; null for the empty set), bands, places."""
+    """doc_id, text_key, n_shingles, set_key (128 bits; null for the empty set), bands, places."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
             ids, sets, held = [], [], 0
             for at in range(batch.num_rows):
-                s = shingle_set(batch.column(1)[at].as_py(), k)
-                ids.append(batch.column(0)[at].as_py())
+                s = shingle_set(batch.column(2)[at].as_py(), k)
+                ids.append((batch.column(0)[at].as_py(), batch.column(1)[at].as_py()))
                 sets.append(s)
                 held += len(s)
                 if held > AT_ONCE or len(ids) == 1000:
@@ -138,11 +138,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
             for row, n in enumerate(some):
                 keys[n], band[n], place[n] = xxhash.xxh3_128_digest(sets[n].tobytes()), b[row], p[row].tobytes()
         return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "set_key": pa.array(keys, pa.binary()),
+            "doc_id": pa.array([i for i, _ in ids], pa.int64()), "text_key": pa.array([t for _, t in ids], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "set_key": pa.array(keys, pa.binary()),
             "bands": pa.array(band, pa.list_(pa.int64())), "places": pa.array(place, pa.binary()),
         })
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, places binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, places binary")
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -325,7 +325,7 @@ def _open_links(met: DataFrame, found: DataFrame, classes: DataFrame, docs: Data
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, block: int = BLOCK, set_bytes: int = SET_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row.
+    """doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text) for each row.
 
     Documents without words or text have no shingles and link with nothing. Rows that share a
     key are each compared by their own text; those with equal texts keep together. A row
@@ -347,6 +347,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     ids = found.join(classes.select("node", "doc_id"), "node")
     ids = ids.join(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select(F.col("node").alias("of"), "component_id")
     of = classes.select("set_key", "node", "doc_id").join(ids, F.col("node") == F.col("of"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of, (F.col("set_key") == F.col("class_key")) & F.col("doc_id").isNotNull(), "left")
+    out = signed.select("doc_id", "n_shingles", "set_key", "text_key").join(of, (F.col("set_key") == F.col("class_key")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")

@@ -11,7 +11,10 @@ document, and different values different ones:
                     computed anew
     IP address      four numbers of 0 to 255; the 32-bit address is permuted
     telephone       + and 8 to 15 digits, up to what is itself an address, a date or a card in
-                    its usual groups; the country digit and all separators stay
+                    its usual groups; as many digits as its country's numbers have, where these
+                    have one length (NATIONAL), and of others no short group behind 11 digits,
+                    so that equal telephones link whatever follows; the first digit and all
+                    separators stay
     date            a day of 1900-01-01 to 2099-12-31, written y-m-d, d.m.y or d/m/y, or m/d/y
                     where d/m/y is no day; days of that range are permuted (for m/d/y those
                     after the 12th, so that the result reads the same way). The order and the
@@ -37,7 +40,16 @@ CARDS = rf"(?=[0-9](?:[ -]?[0-9]){{12}}){GROUP}(?:[ -](?!(?:{DATE}|{ADDRESS})(?!
 _BYTE, _DAY, _MONTH, _YEAR = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})", "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 _FOURS = "[0-9]{4}(?:[ -][0-9]{4}){3}"
 STOP = rf"(?:{_BYTE}(?:\.{_BYTE}){{3}}|{_YEAR}-{_MONTH}-{_DAY}|{_DAY}\.{_MONTH}\.{_YEAR}|{_DAY}/{_MONTH}/{_YEAR}|{_FOURS}(?:[ -]{_FOURS})*+(?![ -][0-9]{{4}}(?![0-9]))|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z]|\.[0-9])"
-PHONE = rf"\+[0-9](?:(?:[ ().-]{{1,2}}(?<!\.)(?!{STOP})|\.|[ ().-]\.)?[0-9]){{7,14}}"
+#: Country codes whose numbers have one length, by the digits behind the code.
+NATIONAL = {
+    8: "45 47 65 216 353 370 371 372 373 374 375 501 502 503 504 505 506 507 591 852 853 965 968 973 974",
+    9: "27 31 32 33 34 41 48 51 56 61 84 94 351 355 376 380 381 385 420 421 593 595 966 971 972 977 992 994 995",
+    10: "1 7 20 30 40 44 52 57 58 60 63 82 90 91 92 98",
+}
+_GAP = rf"(?:[ ().-]{{1,2}}(?<!\.)(?!{STOP})|\.|[ ().-]\.)?"
+_FIXED = "|".join(rf"(?:{codes.replace(' ', '|')})(?:{_GAP}[0-9]){{{n}}}" for n, codes in NATIONAL.items())
+#: Behind 11 digits of other numbers a space and one to three digits are something else.
+PHONE = rf"\+(?:(?:{_FIXED})(?![0-9])|[0-9](?:{_GAP}[0-9]){{7,10}}(?:(?! [0-9]{{1,3}}(?![0-9])){_GAP}[0-9]){{0,4}})"
 VALUE = rf"(?<![0-9A-Za-z.+])(?:{PHONE}|{DATE}|{ADDRESS}|{CARDS})(?![0-9A-Za-z])"
 
 FIRST_DAY, DAYS = "1900-01-01", 73049

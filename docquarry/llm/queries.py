@@ -49,7 +49,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document; null and empty texts link with nothing."""
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

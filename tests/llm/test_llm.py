@@ -216,7 +216,8 @@ def test_pseudonyms_of_adjacent_numbers(spark):
         f"card {card} 123": [card], f"{card} 10.0.0.1": [card, "10.0.0.1"], f"no 7 {card}": [card], f"12 {spaced} 123-4": [spaced],
         f"{phone} {ip}": [phone, ip], f"{phone} 2024-02-29": [phone, "2024-02-29"], f"{phone} 31/12/1999 5": [phone, "31/12/1999"], f"{phone} {spaced}": [phone, spaced], f"{phone} {card}": [phone, card],
         f"{card} {card}-{spaced}": [card, card, spaced], "5 4222222222222 9 378282246310005 77": ["4222222222222", "378282246310005"], "3782 822463 10005 1": ["3782 822463 10005"],
-        "+33 1.23.45.67.89": ["+33 1.23.45.67.89"],
+        "+33 1.23.45.67.89": ["+33 1.23.45.67.89"], "+33 1 23 45 67 89 12": ["+33 1 23 45 67 89"], "+359 88 123 4567 2": ["+359 88 123 4567"],
+        f"{phone} 12": [phone], f"{phone} 7 items": [phone], f"{phone} 555 6": [phone], f"{phone}-12": [phone], f"{phone}": [phone], "+49 30 1234567 12": ["+49 30 1234567"], "+49 30 1234567": ["+49 30 1234567"],
     }
     docs = spark.createDataFrame(list(texts), "string").toDF("text").withColumn("old", F.col("text"))
     seen = {}
@@ -452,6 +453,18 @@ def test_vectors(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_a_key(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.embedding_dedup(df).collect())
+    assert got == [(1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 1, False), (4, 3, 1, False), (4, 3, 1, False), (9, 0, 9, True)]
+
+
+def test_given_vectors_meet_in_several_cells(spark, data):
+    classes = spark.read.parquet(data.replace("0.001", "0.1") + "/embeddings.parquet").selectExpr("vec_id as rep", "label", "cast(embedding as array<double>) as v")
+    assert [len(c) for c in embedding_dedup._centres(classes, embedding_dedup.CELL, 20_000).values()] == [2]
+
+
 def test_vectors_of_many_lengths(spark):
     rows = [(2 * n + i, [1.0, *[0.01 * i] * n], 1) for n in range(1, 71) for i in (0, 1)] + [(900, [], 1)]
     got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
@@ -652,6 +665,18 @@ def test_pipeline_on_odd_rows(spark, odd, data):
     assert {tuple(r) for r in near.collect()} == {tuple(r) for r in p.drop_near_duplicates(spark, docs.repartition(5), data).collect()}
 
 
+def test_one_kept_and_one_dropped_text_of_a_key(spark, data):
+    import corpus_pipeline as p
+
+    a, b, c = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "some other words that nobody else has here"
+    rows = [(2, a), (5, a), (5, b), (6, b), (7, c), (7, c), (8, c + " too"), (9, a), (9, a), (9, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for d in (docs, docs.repartition(7), docs.orderBy("text")):
+        got = sorted((r.doc_id or 0, r.text) for r in p.drop_near_duplicates(spark, d, data).collect() if r.text)
+        assert got == [(0, a), (2, a), (5, b), (7, c)]
+        assert p.drop_near_duplicates(spark, d, data).count() == 5  # (9, null) too
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline as p
 
