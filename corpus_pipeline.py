@@ -22,11 +22,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest key.
 
-    Rows that share a key are one document: the first by a hash of all columns stays. Rows
-    without a key link with nothing and all stay, as do texts that are null or without words,
-    once for each key. An empty table stays empty."""
-    near = settle(minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
-    found = docs.join(near, docs["doc_id"] == near["doc_id"], "left_semi")
+    Rows that share a key are one document: of those that stay as the first of their groups, one
+    stays, the first by its text's and then by its row's hash; a row whose text is a near copy
+    of another key's goes, whatever else its key has. Rows without a key link with nothing and
+    all stay, as do texts that are null or without words, once for each key. An empty table
+    stays empty."""
+    near = minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null")
+    # one text for each key, and how many rows have just it
+    near = settle(near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.min(F.struct("text_key", "n")).alias("first")).select("doc_id", "first.*"))
+    found = docs.join(near, (docs["doc_id"] == near["doc_id"]) & (F.xxhash64(docs["text"]) == near["text_key"]), "left_semi")
     if near.filter("n > 1").limit(1).count():
         # only then are rows brought together by key; the columns travel as one
         rows = found.select(F.struct("*").alias("row"), F.xxhash64("*").alias("hash"))
