@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions.chains import trim
-from .html import positions
-from .library import first_per_key, ttl_split, upsert_latest
+from ..functions.places import all_matches
+from .library import ttl_split, upsert_latest
 from .lines import let
 
 # How standards and regulations are cited; the order decides which form stays.
@@ -24,14 +24,6 @@ REGULATIONS = [
 _CUT = r"\s+(?:БДС(?=[A-Za-z0-9_])|EN\s+[0-9]|ISO\s+[0-9]|Наредба\s).*"
 
 
-def _occurrences(text: Column, pattern: str) -> Column:
-    """Array of structs raw, before, after of all matches: up to 350 and 300 letters around."""
-    around = lambda p: F.struct(
-        p["raw"].alias("raw"), p["at"].alias("at"), F.right(F.left(text, p["at"]), F.lit(350)).alias("before"), F.substr(text, p["at"] + F.length(p["raw"]) + 1, F.lit(300)).alias("after")
-    )
-    return F.transform(positions(text, pattern), around)
-
-
 def _capped(title: Column) -> Column:
     cut = lambda t: F.when(F.length(t) > 200, trim(F.regexp_replace(F.left(t, F.lit(200)), r"\s+\S*\z", ""))).otherwise(t)
     plain = let(title, lambda t: trim(F.regexp_replace(cut(t), r"[.,;]+\z", "")))
@@ -74,20 +66,23 @@ def extract_references(docs: DataFrame, key: str, text: str = "text") -> DataFra
     inline_description: each citation once, in the first form by pattern and place.
 
     A standard with and without its national prefix is one. Texts are read as they are
-    without tags; nulls have no citations. All is done in the row but the choice of the first."""
+    without tags; nulls have no citations. Each row is read by itself, and nothing is shuffled:
+    places come first, then names, of equal names the first, and only around these up to 350
+    letters before and 300 behind are looked at for titles."""
     # most texts cite nothing: one cheap look spares them the patterns
     found = docs.filter(F.col(text).rlike(r"(?iu)БДС|EN|ISO|наредба")).select(key, X.html_inline(F.col(text)).alias("_t"))
-    numbered = lambda n: lambda o: F.struct(F.lit(n).alias("pattern"), o.alias("o"))
-    all_ = F.concat(*[F.transform(_occurrences(F.col("_t"), p), numbered(n)) for n, p in enumerate(STANDARDS + REGULATIONS)])
-    rows = found.select(key, F.explode(all_).alias("x")).select(key, "x.pattern", F.col("x.o.at").alias("pos"), trim(F.col("x.o.raw")).alias("raw"), F.col("x.o.before").alias("before"), F.col("x.o.after").alias("after"))
+    found = found.withColumn("_m", all_matches(F.col("_t"), STANDARDS + REGULATIONS))
+    is_standard = lambda x: x["pattern"] < len(STANDARDS)
+    # a standard without its prefix, then its forms in order
+    form = lambda x, v: F.struct(F.when(is_standard(x), F.regexp_replace(v, r"^БДС\s+", "")).otherwise(v).alias("k"), x["pattern"].alias("pattern"), x["at"].alias("at"), x["raw"].alias("raw"), v.alias("normalized"))
+    named = F.transform("_m", lambda x: let(F.when(is_standard(x), X.standard_name(trim(x["raw"]))).otherwise(X.regulation_name(trim(x["raw"]))), lambda v: form(x, v)))
+    named = F.filter(named, lambda x: ~(is_standard(x) & x["normalized"].rlike(r"-\z")))
+    found = found.withColumn("_n", F.array_sort(named)).withColumn("_n", F.filter("_n", lambda x, i: (i == 0) | (F.get("_n", i - 1)["k"] != x["k"])))
+    t = F.col("_t")
+    around = F.transform("_n", lambda x: F.struct(x["pattern"].alias("pattern"), x["at"].alias("pos"), trim(x["raw"]).alias("raw"), x["normalized"].alias("normalized"), F.right(F.left(t, x["at"]), F.lit(350)).alias("before"), F.substr(t, x["at"] + F.length(x["raw"]) + 1, F.lit(300)).alias("after")))
+    rows = found.select(key, F.inline(around))
     standard = F.col("pattern") < len(STANDARDS)
-    # bound, so that neither the filter nor what follows reads the raw form again
-    rows = rows.withColumn("normalized", let(F.when(standard, X.standard_name(F.col("raw"))).otherwise(X.regulation_name(F.col("raw"))), lambda v: F.when(~(standard & v.rlike(r"-\z")), v)))
-    rows = rows.filter("normalized is not null")
-    rows = rows.withColumn("_k", F.when(standard, F.regexp_replace("normalized", r"^БДС\s+", "")).otherwise(F.col("normalized")))
-    rows = first_per_key(rows, [key, "_k"], [F.col("pattern"), F.col("pos")])
-    title = F.when(standard, F.coalesce(title_after(F.col("after")), title_before(F.col("before"))))
-    rows = rows.withColumn("extracted_title", title)
+    rows = rows.withColumn("extracted_title", F.when(standard, F.coalesce(title_after(F.col("after")), title_before(F.col("before")))))
     return rows.select(key, "pattern", "pos", "raw", "normalized", F.when(standard, "standard").otherwise("regulation").alias("ref_type"), F.when(standard, X.search_term(F.col("normalized"))).otherwise(F.col("raw")).alias("search_term"), "extracted_title", F.when(F.col("extracted_title").isNull(), inline_description(F.col("after"))).alias("inline_description"))
 
 

@@ -1,7 +1,7 @@
 """Operators over HTML texts: paragraphs, tables, blocks, sections, images.
 
-Tags are exploded to rows and put in order by windows over one document each, so a document's
-work grows with its tags. Positions count letters from 0."""
+What is inside one text is found in its row: no operator shuffles texts to their tags. Positions
+count letters from 0."""
 
 from __future__ import annotations
 
@@ -9,30 +9,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..functions.chains import trim
+from ..functions.places import all_matches, table_spans
 from .lines import let
 
 FOLD = ("tcoaepx", "тсоаерх")
-TAG = r"(?i)</?table[^>]*>"
-
-
-def positions(text: Column, pattern: str) -> Column:
-    """Array of structs raw, at: all matches and their places."""
-    none = F.array().cast("array<struct<raw:string,at:int>>")
-
-    def walk(matches: Column) -> Column:
-        # one pass: the place of a match is the length of all that stands before it
-        return F.aggregate(
-            F.arrays_zip(F.split(text, pattern, -1).alias("b"), matches.alias("m")),
-            F.struct(F.lit(0).alias("n"), none.alias("out")),
-            lambda a, x: F.struct(
-                (a["n"] + F.length(x["b"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("n"),
-                F.when(x["m"].isNotNull(), F.concat(a["out"], F.array(F.struct(x["m"].alias("raw"), (a["n"] + F.length(x["b"])).alias("at"))))).otherwise(a["out"]).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
-
-    # most texts have no match, and are looked at once
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, walk(m)).otherwise(F.when(m.isNotNull(), none)))
 
 
 def paragraphs(pages: DataFrame, key: str, html: str = "html", tag: str = "p") -> DataFrame:
@@ -53,20 +33,9 @@ def toplevel_tables(pages: DataFrame, key: str, html: str = "html", most: int =
     """key, ord, start, stop, table: tables that stand in no other, stop behind the end tag.
 
     A stray end tag is passed over; a table without an end reaches so many letters on, or to
-    the text's end."""
-    tags = pages.select(key, F.length(html).alias("_len"), F.explode(positions(F.col(html), TAG)).alias("t"))
-    up = F.when(F.col("t.raw").startswith("</"), -1).otherwise(1)
-    w = W.partitionBy(key).orderBy("t.at").rowsBetween(W.unboundedPreceding, 0)
-    tags = tags.withColumn("_s", F.sum(up).over(w)).withColumn("_low", F.least(F.lit(0), F.min("_s").over(w)))
-    # depth without the stray ends: what the running sum is above its lowest point so far
-    tags = tags.withColumn("depth", F.col("_s") - F.col("_low")).withColumn("_up", up)
-    opens = (F.col("_up") == 1) & (F.col("depth") == 1)
-    tags = tags.withColumn("ord", F.sum(opens.cast("int")).over(w)).filter("ord > 0")
-    start = F.min("t.at")
-    stop = F.min(F.when((F.col("_up") == -1) & (F.col("depth") == 0), F.col("t.at") + F.length("t.raw")))
-    got = tags.groupBy(key, "ord").agg(start.alias("start"), stop.alias("stop"), F.max("_len").alias("_len"))
-    got = got.withColumn("stop", F.coalesce("stop", F.least(F.col("start") + most, F.col("_len")))).drop("_len").withColumnRenamed(key, "_key")
-    return pages.join(got, F.col(key) == F.col("_key")).select(key, "ord", "start", "stop", F.substr(html, F.col("start") + 1, F.col("stop") - F.col("start")).alias("table"))
+    the text's end. Each page is looked at in its row; nulls and texts without tables give no
+    rows, rows that share a key are pages of their own."""
+    return pages.select(key, F.inline(table_spans(F.col(html), most)))
 
 
 def first_cell(table: Column) -> Column:
@@ -82,12 +51,10 @@ def title_table(table: Column) -> Column:
 
 def template_blocks(pages: DataFrame, key: str, html: str = "html", least: int = 20) -> DataFrame:
     """key, ord, title, body, html_body: each title table and what stands up to the next one."""
-    t = toplevel_tables(pages, key, html).filter(title_table(F.col("table")))
-    nxt = F.lead("start").over(W.partitionBy(key).orderBy("start"))
-    t = t.withColumn("_end", nxt).withColumnRenamed(key, "_key")
-    both = pages.join(t, F.col(key) == F.col("_key"))
-    raw = F.substr(html, F.col("stop") + 1, F.coalesce("_end", F.length(html)) - F.col("stop"))
-    out = both.select(key, "ord", X.html_template(first_cell(F.col("table"))).alias("title"), X.html_template(raw).alias("body"), trim(raw).alias("html_body"))
+    found = pages.select(key, F.col(html).alias("_html"), F.filter(table_spans(F.col(html)), lambda t: title_table(t["table"])).alias("_t"))
+    end = lambda i: F.coalesce(F.get("_t", i + 1)["start"], F.length("_html"))
+    blocks = F.transform("_t", lambda t, i: F.struct(t["ord"].alias("ord"), t["table"].alias("table"), F.substr("_html", t["stop"] + 1, end(i) - t["stop"]).alias("raw")))
+    out = found.select(key, F.inline(blocks)).select(key, "ord", X.html_template(first_cell(F.col("table"))).alias("title"), X.html_template(F.col("raw")).alias("body"), trim(F.col("raw")).alias("html_body"))
     return out.filter(F.length("body") >= least)
 
 
@@ -121,17 +88,16 @@ BOUNDARY = rf"(?iu)<(?:h[1-6]|p|strong)[^>]*>[^<]*(?:{_STOP_WORDS}|кол[.]?\s*
 def technology_blocks(pages: DataFrame, key: str, html: str = "html", least: int = 20) -> DataFrame:
     """key, ord, title, html_body, plain: each resource table up to the next one; the last ends
     at a price table or the heading of another section behind it."""
-    t = toplevel_tables(pages, key, html).withColumn("_res", resource_table(F.col("table")))
-    last = F.max(F.when(F.col("_res"), F.col("start"))).over(W.partitionBy(key))
-    t = t.withColumn("_last", last)
-    t = t.withColumn("_price", F.min(F.when(price_table(F.col("table")) & (F.col("start") > F.col("_last")), F.col("start"))).over(W.partitionBy(key)))
-    t = t.filter("_res").withColumn("_next", F.lead("start").over(W.partitionBy(key).orderBy("start"))).withColumnRenamed(key, "_key")
-    both = pages.join(t, F.col(key) == F.col("_key"))
-    head = F.regexp_instr(F.substr(html, F.col("_last") + 1), F.lit(BOUNDARY))
-    stop = F.least(F.coalesce("_next", F.length(html)), F.coalesce("_price", F.length(html)), F.when(head > 1, F.col("_last") + head - 1).otherwise(F.length(html)))
-    raw = trim(F.substr(html, F.col("start") + 1, stop - F.col("start")))
+    found = pages.select(key, F.col(html).alias("_html"), table_spans(F.col(html)).alias("_all"))
+    found = found.withColumn("_t", F.filter("_all", lambda t: resource_table(t["table"]))).filter(F.size("_t") > 0)
+    found = found.withColumn("_last", F.element_at("_t", -1)["start"]).withColumn("_len", F.length("_html"))
+    prices = F.filter("_all", lambda t: (t["start"] > F.col("_last")) & price_table(t["table"]))
+    head = F.regexp_instr(F.substr("_html", F.col("_last") + 1), F.lit(BOUNDARY))
+    found = found.withColumn("_end", F.least(F.coalesce(F.get(prices, F.lit(0))["start"], F.col("_len")), F.when(head > 1, F.col("_last") + head - 1).otherwise(F.col("_len"))))
+    stop = lambda i: F.least(F.coalesce(F.get("_t", i + 1)["start"], F.col("_len")), F.col("_end"))
+    blocks = F.transform("_t", lambda t, i: F.struct((i + 1).alias("ord"), t["table"].alias("table"), trim(F.substr("_html", t["start"] + 1, stop(i) - t["start"])).alias("raw")))
     name = X.html_block(F.regexp_extract("table", r"(?i)<t[dh][^>]*>([\s\S]*?)</t[dh]>", 1))
-    return both.select(key, F.row_number().over(W.partitionBy(key).orderBy("start")).alias("ord"), name.alias("title"), raw.alias("html_body"), X.html_block(raw).alias("plain")).filter(F.length("plain") >= least)
+    return found.select(key, F.inline(blocks)).select(key, "ord", name.alias("title"), F.col("raw").alias("html_body"), X.html_block(F.col("raw")).alias("plain")).filter(F.length("plain") >= least)
 
 
 def donor_fill(blocks: DataFrame, key: str, short: int = 1200, enough: int = 200) -> DataFrame:
@@ -159,7 +125,7 @@ def donor_fill(blocks: DataFrame, key: str, short: int = 1200, enough: int = 200
 def cut_trailing(html: Column) -> Column:
     """A block up to the heading of another section or a price table."""
     head = F.regexp_instr(html, F.lit(rf"(?iu)<(?:h[1-6]|p|strong)(?![a-z0-9])[^>]*>(?:(?!</(?:h[1-6]|p|strong)>)[\s\S])*?(?:{_STOP_WORDS})"))
-    tables = F.filter(positions(html, r"(?i)<table(?:\s[^>]*)?>"), lambda t: price_table(F.substr(html, t["at"] + 1, F.lit(2000))))
+    tables = F.filter(all_matches(html, [r"(?i)<table(?:\s[^>]*)?>"]), lambda t: price_table(F.substr(html, t["at"] + 1, F.lit(2000))))
     first = F.get(F.transform(tables, lambda t: t["at"]), F.lit(0))
     stop = F.least(F.when(head > 0, head - 1), first)
     return F.when(stop.isNotNull(), trim(F.left(html, stop))).otherwise(html)

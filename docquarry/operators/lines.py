@@ -108,24 +108,25 @@ FURNITURE = [
     (r"(?imu)\n\s*Част:?\s*Пътна\s*\d+/\d+\s*$", ""), (r"(?imu)\n\s*КОЛИЧЕСТВЕНА\s+СМЕТКА\s*\d+/\d+\s*$", ""), (r"(?m)\n\s{15,}\d{1,2}\s*$", ""),
     (r"(?m)\n\s*Съставил\s*:[\s\S]*?(?:/[^/]+/|$)", ""), (r"(?m)\n[^\n]*\s{20,}\d{1,2}\s*$", ""),
 ]
-FURNITURE_LINE = [
-    r"(?iu)^\s*m\s+\(m\)\s+шир\s+", r"(?iu)^Част:?\s*Пътна\s*\d+/\d+\z", r"(?iu)^КОЛИЧЕСТВЕНА\s+СМЕТКА\s*\d+/\d+\z",
-    r"(?iu)Съставил\s*:", r"^\d{4}\s*г\.?\s*\z", r"(?iu)^гр\.\s*\S+\s*\z", r"(?iu)^/\s*инж\.\s", r"^/[^/]+/\s*\z", r"^\.{5,}",
-]
-
-
+# Lines that go before, and those that go after, a page number is cut from the ends of lines.
+FURNITURE_LINE = [r"(?iu)^\s*m\s+\(m\)\s+шир\s+", r"(?iu)^Част:?\s*Пътна\s*\d+/\d+\z", r"(?iu)^КОЛИЧЕСТВЕНА\s+СМЕТКА\s*\d+/\d+\z"]
+PAGE_AT_END = r"(?m)\s{10,}\d{1,2}\s*$"
+SIGNED_LINE = [r"(?iu)Съставил\s*:", r"^\d{4}\s*г\.?\s*\z", r"(?iu)^гр\.\s*\S+\s*\z", r"(?iu)^/\s*инж\.\s", r"^/[^/]+/\s*\z", r"^\.{5,}"]
 # A line of a page's number of pages, if it has at most so many letters.
 PAGE_OF, PAGE_OF_MOST = r"^\d+/\d+\z", 4
 
 
 def strip_boilerplate(text: Column) -> Column:
-    """A text without page furniture; in the row, line by line, nothing is shuffled."""
+    """A text without page furniture; in the row, line by line, nothing is shuffled.
+
+    Page numbers are cut from the ends of lines between the two passes over lines, so that a
+    signature goes that has one behind it."""
     out = text
     for pattern, to in FURNITURE:
         out = F.regexp_replace(out, pattern, to)
-    furniture = lambda t: L.any_of(t, FURNITURE_LINE) | (t.rlike(PAGE_OF) & (F.length(t) <= PAGE_OF_MOST))
-    kept = F.filter(F.split(out, "\n", -1), lambda x: ~let(trim(x), furniture))
-    out = F.regexp_replace(F.array_join(kept, "\n"), r"(?m)\s{10,}\d{1,2}\s*$", "")
+    without = lambda t, drop: F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~let(trim(x), drop)), "\n")
+    out = without(out, lambda t: L.any_of(t, FURNITURE_LINE) | (t.rlike(PAGE_OF) & (F.length(t) <= PAGE_OF_MOST)))
+    out = without(F.regexp_replace(out, PAGE_AT_END, ""), lambda t: L.any_of(t, SIGNED_LINE))
     return F.when(trim(text) == "", text).otherwise(trim(F.regexp_replace(out, r"\n{3,}", "\n\n")))
 
 

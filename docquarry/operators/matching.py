@@ -20,37 +20,79 @@ def match_exact(items: DataFrame, templates: DataFrame) -> DataFrame:
     return items.filter(F.trim("name") != "").select("item_id", X.title_key_folded(F.col("name")).alias("_k")).join(firsts, "_k").select("item_id", "tpl_id")
 
 
-def lexical_scores(items: DataFrame, templates: DataFrame) -> DataFrame:
-    """item_id, tpl_id, score of all pairs that share a word, a beginning of four letters or
-    more, or a pair of words.
-
-    An inverted index instead of all pairs: both sides are exploded by word, by beginning and
-    by pair of words, and joined on these. score: for each word of the item 1 if the title has
-    it, else 0.7 if the title has a word with the same four letters, over the number of
-    different words; and 0.15 for each of the item's word pairs in the title."""
-    it = items.select("item_id", X.tokens(F.col("name")).alias("w"))
-    tt = templates.select("tpl_id", X.tokens(F.col("title")).alias("w")).withColumn("d", F.array_distinct("w"))
-    four = F.when(F.length("token") >= 4, F.left("token", F.lit(4)))
-    iw = it.select("item_id", F.posexplode("w").alias("pos", "token")).withColumn("four", four)
-    tw = tt.select("tpl_id", F.explode("d").alias("token")).withColumn("four", four)
-    exact = iw.join(tw.select("tpl_id", "token"), "token").select("item_id", "tpl_id", "pos", F.lit(1.0).alias("hit"), "token")
-    begin = iw.filter("four is not null").join(tw.filter("four is not null").select("tpl_id", "four").distinct(), "four").select("item_id", "tpl_id", "pos", F.lit(0.7).alias("hit"), F.lit(None).cast("string").alias("token"))
-    hits = exact.union(begin).groupBy("item_id", "tpl_id", "pos").agg(F.max("hit").alias("hit"), F.max("token").alias("token"))
-    sums = hits.groupBy("item_id", "tpl_id").agg(F.sum("hit").alias("hits"), F.countDistinct("token").alias("shared"))
-    pairs = lambda a: F.expr(f"transform(if(size({a}) > 1, sequence(0, size({a}) - 2), array()), i -> concat({a}[i], ' ', {a}[i + 1]))")
-    ib = it.select("item_id", F.explode(pairs("w")).alias("two"))
-    tb = tt.select("tpl_id", F.explode(F.array_distinct(pairs("w"))).alias("two"))
-    bonus = ib.join(tb, "two").groupBy("item_id", "tpl_id").agg((F.count("*") * 0.15).alias("bonus"))
-    sizes = it.select("item_id", F.size(F.array_distinct("w")).alias("n"))
-    out = sums.join(bonus, ["item_id", "tpl_id"], "left").join(sizes, "item_id").join(tt.select("tpl_id", F.size("d").alias("m")), "tpl_id")
-    score = F.col("hits") / (F.col("n") + F.col("m") - F.col("shared")) + F.coalesce("bonus", F.lit(0.0))
-    return out.select("item_id", "tpl_id", F.round(score, 6).alias("score"))
+def _pairs_of(words: str) -> str:
+    return f"transform(if(size({words}) > 1, sequence(0, size({words}) - 2), array()), i -> concat({words}[i], ' ', {words}[i + 1]))"
+
+
+def _keyed(words: Column) -> Column:
+    """What two words that count for each other have in common: four letters, or the whole short word."""
+    return F.transform(words, lambda x: F.when(F.length(x) >= 4, F.left(x, F.lit(4))).otherwise(F.concat(F.lit("="), x)))
+
+
+#: SQL: what titles t give an item i (structs of words and what is made of them): for each word of
+#: the item 1 if the title has it, else 0.7 if the title has one of the same four letters, over
+#: the number of different words; and 0.15 for each of the item's word pairs in the title.
+_SCORE = (
+    "round(aggregate(i.w, 0.0D, (s, x) -> s + case when array_contains(t.d, x) then 1.0D when length(x) >= 4 and array_contains(t.k, left(x, 4)) then 0.7D else 0.0D end)"
+    " / (size(i.d) + size(t.d) - size(array_intersect(i.d, t.d))) + 0.15D * size(filter(i.b, x -> array_contains(t.b, x))), 6)"
+)
+#: Titles of a key and length that meet an item's row in one task.
+BLOCK = 1000
+
+
+def candidates(items: DataFrame, templates: DataFrame, top: int) -> DataFrame:
+    """item_id, tpl_id, score, least: the titles that may be among an item's top, with a bound that
+    the top ones reach.
+
+    An inverted index that is read no further than the top can reach. Words meet by their keys.
+    For each key a bounded list of its shortest titles is scored first, which gives each item a
+    score that its top titles have at least. Then keys are gone through from the rarest on: a
+    title that has none of the rarer keys, and is of a length, can have no more than what the
+    other words are worth over that many different words; key and length are read only where
+    that reaches the bound. A frequent word therefore makes rows for those titles that it can
+    bring among the top, not for all that have it."""
+    it = items.select("item_id", X.tokens(F.col("name")).alias("w")).filter(F.size("w") > 0)
+    it = it.select("item_id", F.struct("w", F.array_distinct("w").alias("d"), F.expr(_pairs_of("w")).alias("b"), _keyed(F.col("w")).alias("r")).alias("i"))
+    tt = templates.select("tpl_id", X.tokens(F.col("title")).alias("w")).filter(F.size("w") > 0)
+    tt = tt.select(F.struct("tpl_id", F.array_distinct("w").alias("d"), F.array_distinct(_keyed(F.col("w"))).alias("k"), F.array_distinct(F.expr(_pairs_of("w"))).alias("b")).alias("t"))
+    index = tt.select(F.explode("t.k").alias("key"), F.size("t.d").alias("m"), "t")
+    sizes = index.groupBy("key", "m").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    # the limit is applied in front of the shuffle, too
+    first = F.row_number().over(W.partitionBy("key").orderBy("m", "t.tpl_id"))
+    seeds = index.withColumn("_n", first).filter(F.col("_n") <= top).groupBy("key").agg(F.collect_list("t").alias("seeds"))
+    stats = sizes.groupBy("key").agg(F.sum("n").alias("df"), F.collect_list(F.struct("m", "blocks")).alias("lengths")).join(seeds, "key")
+    each = it.select("item_id", "i", F.explode(F.array_distinct("i.r")).alias("key")).join(stats, "key")
+    rows = each.groupBy("item_id").agg(F.first("i").alias("i"), F.array_sort(F.collect_list(F.struct("df", "key", "lengths"))).alias("ks"), F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds"))
+    rows = rows.withColumn("least", F.expr(f"coalesce(try_element_at(sort_array(transform(seeds, t -> {_SCORE}), false), {top}), 0.0D)")).drop("seeds")
+    # places of the words' keys in the order of rarity, of all, of different words and of pairs; 0 where no title has it
+    rows = rows.withColumn("order", F.expr("transform(ks, x -> x.key)")).withColumn("all", F.expr("transform(i.r, k -> array_position(order, k))"))
+    rows = rows.withColumn("own", F.expr("map_values(map_from_entries(array_distinct(transform(i.w, (x, n) -> struct(x, all[n])))))")).withColumn("two", F.expr("transform(i.b, (x, n) -> least(all[n], all[n + 1]))"))
+    rows = rows.select("item_id", "i", "least", "order", "all", "own", "two", F.posexplode("ks").alias("at", "x"))
+    worth = "size(filter(all, p -> p > at)) / (size(i.d) + greatest(0, l.m - size(filter(own, p -> p > at)))) + 0.15D * size(filter(two, p -> p > at))"
+    rows = rows.select("item_id", "i", "least", F.expr("slice(order, 1, at)").alias("rarer"), F.col("x.key").alias("key"), F.explode(F.expr(f"filter(x.lengths, l -> {worth} >= least - 1e-6)")).alias("l"))
+    rows = rows.select("item_id", "i", "least", "rarer", "key", "l.m", F.explode(F.expr("sequence(0L, l.blocks - 1)")).alias("block"))
+    dealt = index.join(sizes, ["key", "m"]).select("key", "m", "t", F.pmod(F.xxhash64("t.tpl_id"), F.col("blocks")).alias("block"))
+    # each pair once: where the rarest key of both meets
+    met = rows.join(dealt, ["key", "m", "block"]).filter(~F.arrays_overlap("rarer", "t.k"))
+    return met.select("item_id", F.col("t.tpl_id").alias("tpl_id"), F.expr(_SCORE).alias("score"), "least")
 
 
 def match_lexical(items: DataFrame, templates: DataFrame, top: int = TOP) -> DataFrame:
-    """Of lexical_scores() the top of each item, with all that tie with the last."""
+    """item_id, tpl_id, score, rank: the top titles of each item by shared words, with all that tie
+    with the last.
+
+    Where fewer titles share a word with an item, the first others (by ord, then tpl_id) fill
+    the list up with score 0: an item without words gets the first titles, and a pool no larger
+    than the list is given whole. Titles that share nothing beyond the list are left out, as
+    nothing tells them apart. Ids must not repeat; nulls have no words."""
     rank = F.rank().over(W.partitionBy("item_id").orderBy(F.col("score").desc()))
-    return lexical_scores(items, templates).withColumn("rank", rank).filter(F.col("rank") <= top)
+    best = candidates(items, templates, top).filter("score > 0 and score >= least").drop("least").withColumn("rank", rank).filter(F.col("rank") <= top)
+    found = best.groupBy("item_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") < top, F.col("tpl_id")))), 1, top).alias("ids"))
+    # of so many titles fewer than top can be there already; one row, sent along
+    pool = templates.select("ord", "tpl_id").orderBy("ord", "tpl_id").limit(2 * top).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tpl_id"))), lambda x: x["tpl_id"]).alias("pool"))
+    short = items.select("item_id").join(found, "item_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < top).crossJoin(F.broadcast(pool))
+    fill = short.select("item_id", "n", F.explode(F.expr(f"slice(filter(pool, x -> not coalesce(array_contains(ids, x), false)), 1, cast({top} - n as int))")).alias("tpl_id"))
+    return best.unionByName(fill.select("item_id", "tpl_id", F.lit(0.0).alias("score"), (F.col("n") + 1).cast("int").alias("rank")))
 
 
 def vetoed(item: Column, title: Column) -> Column:

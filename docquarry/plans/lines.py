@@ -117,13 +117,18 @@ SQL["erase_leaked_rows"] = f"""WITH s AS (SELECT *, coalesce(last_value(mark IGN
 
 
 def strip_boilerplate(spark, d):
-    """Specification texts with a page number, a signature and a date among their lines."""
-    extra = F.concat(F.lit("\nСтраница 3 от 9\n"), F.col("text"), F.lit("\nстр. край\n12/34\nгр. Правец\n2024 г."))
+    """Specification texts with page numbers, signatures and dates among their lines, some of
+    them with a page number behind them."""
+    key = F.col("l_orderkey")
+    number = F.concat(F.lit(" " * 12), (key % 90 + 10).cast("string"))
+    signed = F.when(key % 3 == 0, F.concat(F.lit("гр. София"), number)).when(key % 3 == 1, F.concat(F.lit("Съставил край"), number)).otherwise(F.concat(F.lit("обект "), key.cast("string"), number))
+    extra = F.concat(F.lit("\nСтраница 3 от 9\n"), F.col("text"), F.lit("\nстр. край\n12/34\nгр. Правец\n2024 г.\n"), signed, F.lit("\nпоследен"))
     return tender_docs(spark, d).select("l_orderkey", O.strip_boilerplate(extra).alias("text"))
 
 
 QUERIES["strip_boilerplate"] = strip_boilerplate
-SQL["strip_boilerplate"] = f"""SELECT l_orderkey, {sql_trim(sql_sub('text || chr(10) || ' + quote('стр. край') + ' || chr(10) || ' + quote('12/34'), chr(92) + 'n{3,}', chr(10) * 2))} AS text FROM {TENDER_DOCS}"""
+_SIGNED = "CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Съставил край' ELSE chr(10) || 'обект ' || l_orderkey END"
+SQL["strip_boilerplate"] = f"""SELECT l_orderkey, {sql_trim(sql_sub(f"text || chr(10) || 'стр. край' || chr(10) || '12/34' || {_SIGNED} || chr(10) || 'последен'", chr(92) + 'n{3,}', chr(10) * 2))} AS text FROM {TENDER_DOCS}"""
 
 QUERIES["clean_output_lines"] = lambda s, d: O.clean_output(table(s, d, "documents"), "doc_id")
 SQL["clean_output_lines"] = f"""WITH l AS (SELECT doc_id, pos, {L.sql_output_line('line')} AS line FROM {DOC_LINES})

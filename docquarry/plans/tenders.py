@@ -36,7 +36,25 @@ _LEX = f"""WITH i AS (SELECT item_id, {SQL_TOKENS('name')} AS w FROM {_ITEM}), t
     len(list_distinct(list_concat(w, v))) AS u,
     len(list_filter(range(1, len(w)), lambda k: list_contains(list_transform(range(1, len(v)), lambda m: v[m] || ' ' || v[m + 1]), w[k] || ' ' || w[k + 1]))) AS b FROM s),
   r AS (SELECT item_id, tpl_id, round(h / u + 0.15 * b, 6) AS score FROM c WHERE h > 0)"""
-SQL["match_lexical"] = f"{_LEX} SELECT item_id, tpl_id, score, rank() OVER (PARTITION BY item_id ORDER BY score DESC) AS rank FROM r QUALIFY rank <= 20"
+_FILLED = """, b AS (SELECT item_id, tpl_id, score, rank() OVER (PARTITION BY item_id ORDER BY score DESC) AS rank FROM r QUALIFY rank <= 20),
+  n AS (SELECT i.item_id, count(tpl_id) AS n FROM i LEFT JOIN b USING (item_id) GROUP BY i.item_id),
+  f AS (SELECT n.item_id, t.tpl_id, n FROM n, t WHERE n < 20 AND NOT EXISTS (SELECT 1 FROM b WHERE b.item_id = n.item_id AND b.tpl_id = t.tpl_id)
+    QUALIFY row_number() OVER (PARTITION BY n.item_id ORDER BY t.tpl_id) <= 20 - n)
+  SELECT * FROM b UNION ALL SELECT item_id, tpl_id, 0.0, n + 1 FROM f"""
+SQL["match_lexical"] = f"{_LEX} {_FILLED}"
+
+
+def match_fill_up(spark, d):
+    """Names of which many have no words, or words that few titles have; a pool of all titles."""
+    p = table(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, "и на за").when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.concat_ws(" ", F.lit("доставка"), F.lower("p_type")))
+    return M.match_lexical(p.select(F.col("p_partkey").alias("item_id"), name.alias("name")), _templates(spark, d).filter("title like '%1%'"))
+
+
+QUERIES["match_fill_up"] = match_fill_up
+SQL["match_fill_up"] = f"""{_LEX.replace(_ITEM, "(SELECT p_partkey AS item_id, CASE p_partkey % 3 WHEN 0 THEN 'и на за' WHEN 1 THEN p_brand ELSE 'доставка ' || lower(p_type) END AS name FROM part)").replace(_TPL, f"(SELECT * FROM {_TPL} WHERE title LIKE '%1%')")} {_FILLED}"""
+QUERIES["match_small_pool"] = lambda s, d: M.match_lexical(table(s, d, "nation").select(F.col("n_nationkey").alias("item_id"), F.col("n_name").alias("name")), table(s, d, "region").select(F.col("r_regionkey").alias("tpl_id"), F.col("r_regionkey").alias("ord"), F.concat_ws(" ", "r_name", F.lit("CANADA AMERICA")).alias("title")))
+SQL["match_small_pool"] = f"""{_LEX.replace(_ITEM, "(SELECT n_nationkey AS item_id, n_name AS name FROM nation)").replace(_TPL, "(SELECT r_regionkey AS tpl_id, r_name || ' CANADA AMERICA' AS title FROM region)")} {_FILLED}"""
 
 
 def match_exact(spark, d):

@@ -79,3 +79,11 @@ def test_changes(spark):
 def test_marked_text(spark):
     docs = spark.createDataFrame([(1, "--- a.txt ---\n x \n--- b.txt ---\ny"), (2, "без знак"), (3, None)], "id long, text string")
     assert [tuple(r) for r in O.split_marked(docs, "id").orderBy("id", "ord").collect()] == [(1, 1, "a.txt", "x"), (1, 2, "b.txt", "y"), (2, 0, "", "без знак")]
+
+
+def test_signature_with_a_page_number_behind_it(spark):
+    from docquarry.operators.lines import strip_boilerplate
+
+    texts = {"а\nгр. София" + " " * 12 + "12\nб": "а\nб", "а\nгр. София\nб": "а\nб", "а\n/Иванов/" + " " * 10 + "7\nб": "а\nб", "а\n12/3\nб": "а\nб", "а\n12/34\nб": "а\n12/34\nб", "а\nСъставил: б" + " " * 11 + "3": "а", "": "", " ": " "}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.out for r in docs.select("text", strip_boilerplate(docs["text"]).alias("out")).collect()} == texts
