@@ -9,6 +9,7 @@ from ..functions.chains import trim
 from ..functions.places import all_matches
 from .library import ttl_split, upsert_latest
 from .lines import let
+from .terms import apart, standing
 
 # How standards and regulations are cited; the order decides which form stays.
 _NUMBER = r"[0-9][0-9\-.:/A-Za-z]*"
@@ -102,14 +103,6 @@ def stage_status(code: Column) -> Column:
     return F.coalesce(F.try_element_at(table, code), F.lit("unknown"))
 
 
-def _number_keys(title: Column) -> Column:
-    """The numbers of a title, each cut at its dashes, dots and colons: 933-1 gives 933, 1.
-
-    A term with letters in it that stands in a title is found under its first number."""
-    numbers = F.regexp_extract_all(title, F.lit(r"[0-9]+(?:[\-.:][0-9]+)*"), F.lit(0))
-    return F.array_distinct(F.flatten(F.transform(numbers, lambda n: F.split(n, r"[\-.:]"))))
-
-
 def _number_terms(title: Column) -> Column:
     """All terms of numbers in a title, whole and in parts: 933-1:2012 gives 933, 933-1,
     933-1:2012, 1, 1:2012, 2012."""
@@ -124,13 +117,16 @@ def _cards_of(terms: DataFrame, registry: DataFrame) -> DataFrame:
     """Terms with the cards in whose title they stand alone: no digit around them, nor a digit
     and a space or dash before them.
 
-    A term of numbers meets only the cards that have it, so a frequent number makes no more
-    rows than it has matches; a term with letters meets those of its first number."""
+    A term of numbers meets only the cards that have it; terms with letters are looked for by
+    an automaton. Neither makes more rows than there are matches. Terms without a digit match
+    nothing."""
     plain = F.col("search_term").rlike(r"^[0-9]+(?:[\-.:][0-9]+)*\z")
-    terms = terms.withColumn("_n", F.when(plain, F.col("search_term")).otherwise(F.concat(F.lit("#"), F.regexp_extract("search_term", "[0-9]+", 0)))).filter("_n <> '#'")
-    cards = registry.withColumn("_n", F.explode(F.concat(_number_terms(F.col("title")), F.transform(_number_keys(F.col("title")), lambda n: F.concat(F.lit("#"), n)))))
+    cards = registry.withColumn("_n", F.explode(_number_terms(F.col("title"))))
     alone = F.concat(F.lit(r"(?<![0-9])(?<![0-9][\s\-])\Q"), F.col("search_term"), F.lit(r"\E(?![0-9])"))
-    return terms.join(cards, "_n").drop("_n").filter(F.regexp_like("title", alone))
+    numbers = terms.filter(plain).join(cards, F.col("search_term") == F.col("_n")).drop("_n").filter(F.regexp_like("title", alone))
+    lettered = terms.filter(~plain & F.col("search_term").rlike("[0-9]"))
+    found = standing(registry, "title", lettered, "search_term", apart)
+    return numbers.unionByName(lettered.join(found, "search_term"))
 
 
 def registry_match(refs: DataFrame, registry: DataFrame) -> DataFrame:
@@ -163,11 +159,12 @@ def regulation_match(refs: DataFrame, listing: DataFrame) -> DataFrame:
     t = t.withColumn("year", F.explode(F.array_distinct(F.regexp_extract_all("_u", F.lit("[0-9]{4}"), F.lit(0)))))
     months = F.array(*[F.lit(m.upper()) for m in X.MONTHS])
     t = t.withColumn("month", F.explode(F.concat(F.array(F.lit("")), F.filter(months, lambda m: F.contains(F.col("_u"), m)))))
-    # a number is a key of its own; names with letters are looked for among those of the month
+    # a number is a key of its own; names with letters are looked for by an automaton
     numeric = F.col("id").rlike(r"^[0-9]+\z")
     numbered = t.withColumn("id", F.explode(F.array_distinct(F.regexp_extract_all("_u", F.lit(r"№\s*([0-9]+)(?=\s|,|\z)"), F.lit(1)))))
     hits = r.filter(numeric).join(numbered, ["year", "month", "id"]).select("normalized", "ord", "title", "url")
-    named = r.filter(~numeric).join(t, ["year", "month"]).filter(F.contains("_u", F.upper("id"))).select("normalized", "ord", "title", "url")
+    others = r.filter(~numeric).withColumn("id", F.upper("id"))
+    named = others.join(standing(t.select("_u", "year", "month", "ord", "title", "url"), "_u", others, "id"), ["year", "month", "id"]).select("normalized", "ord", "title", "url")
     hits = hits.unionByName(named)
     return hits.groupBy("normalized").agg(F.min_by(F.struct("title", "url"), F.struct("ord", "url")).alias("m")).select("normalized", "m.title", "m.url")
 

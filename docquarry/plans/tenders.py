@@ -139,6 +139,21 @@ QUERIES["registry_successor"] = lambda s, d: C.registry_successor(C.registry_mat
 SQL["registry_successor"] = "SELECT '1' || p_partkey || '-1' AS search_term, 'БДС EN 1' || p_partkey || '-1:2024 ' || p_name AS replaced_by, 'prБДС EN 1' || p_partkey || '-1' AS draft_version FROM part WHERE p_partkey % 4 = 1"
 
 
+def lettered(spark, d):
+    """Terms with letters; cards of two editions, and of a number that the term is a part of."""
+    key = F.col("p_partkey").cast("string")
+    terms = table(spark, d, "part").select(F.concat(F.lit("EN 1"), key, F.lit("+A1")).alias("search_term"))
+    editions = F.array(*[F.concat(F.lit(x), key, F.lit(y)) for x, y in (("БДС EN 1", "+A1:2012 кран"), ("БДС EN 1", "+A1:2015"), ("БДС 7-EN 1", "+A1"), ("EN 1", "+A12"), ("EN 1", "+B"))])
+    cards = table(spark, d, "part").select(F.posexplode(editions).alias("n", "title"), "p_partkey").select((F.col("p_partkey") * 8 + F.col("n")).alias("ord"), "title", F.when(F.col("n") == 0, "90.92").otherwise("60.60").alias("status_code"))
+    return terms, cards
+
+
+QUERIES["registry_match_lettered"] = lambda s, d: C.registry_match(*lettered(s, d)).select("search_term", "title", "status")
+SQL["registry_match_lettered"] = "SELECT 'EN 1' || p_partkey || '+A1' AS search_term, 'БДС EN 1' || p_partkey || '+A1:2012 кран' AS title, 'replaced' AS status FROM part"
+QUERIES["registry_successor_lettered"] = lambda s, d: C.registry_successor(C.registry_match(*lettered(s, d)), lettered(s, d)[1]).select("search_term", "replaced_by", "draft_version")
+SQL["registry_successor_lettered"] = "SELECT 'EN 1' || p_partkey || '+A1' AS search_term, 'БДС EN 1' || p_partkey || '+A1:2015' AS replaced_by, NULL::VARCHAR AS draft_version FROM part"
+
+
 def regulations(spark, d):
     o = table(spark, d, "orders")
     month = F.upper(X.month_name(F.date_format("o_orderdate", "MM")))
@@ -150,6 +165,26 @@ QUERIES["regulation_match"] = lambda s, d: C.regulation_match(C.extract_referenc
 SQL["regulation_match"] = f"SELECT 'Наредба № ' || o_orderkey || ' от ' || {_day} || ' г.' AS normalized, '/view/' || o_orderkey AS url FROM orders WHERE o_orderkey % 5 <> 0"
 
 
+def named_regulations(spark, d):
+    """Citations by ids with letters, and the listing's titles; every fifth is of another year."""
+    o = table(spark, d, "orders")
+    key, day = F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy")
+    refs = o.select(F.concat(F.lit("Наредба № РД-02-20-"), key, F.lit(" от "), day, F.lit(" г.")).alias("normalized"))
+    year = F.when(F.col("o_orderkey") % 5 == 0, F.lit(1901)).otherwise(F.year("o_orderdate")).cast("string")
+    title = F.concat(F.lit("Наредба № рд-02-20-"), key, F.lit(", "), X.month_name(F.date_format("o_orderdate", "MM")), F.lit(" "), year, F.lit(" г. за реда"))
+    return refs, o.select(F.col("o_orderkey").alias("ord"), title.alias("title"), F.concat(F.lit("/view/"), key).alias("url"))
+
+
+def regulation_match_named(spark, d):
+    hits = C.regulation_match(*named_regulations(spark, d))
+    return hits.select("normalized", "url")
+
+
+QUERIES["regulation_match_named"] = regulation_match_named
+SQL["regulation_match_named"] = f"""SELECT 'Наредба № РД-02-20-' || a.o_orderkey || ' от ' || strftime(a.o_orderdate, '%d.%m.%Y') || ' г.' AS normalized, '/view/' || min(b.o_orderkey) AS url
+  FROM orders a JOIN orders b ON starts_with(CAST(b.o_orderkey AS VARCHAR), CAST(a.o_orderkey AS VARCHAR)) AND b.o_orderkey % 5 <> 0 AND year(a.o_orderdate) = year(b.o_orderdate) AND month(a.o_orderdate) = month(b.o_orderdate) GROUP BY a.o_orderkey, a.o_orderdate"""
+
+
 def regulation_status(spark, d):
     page = F.concat(F.lit("<p>Обн. ДВ. бр. "), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderstatus") == "F", ", отм.  ДВ. бр. 2").otherwise(", изм. ДВ."), F.lit("</p>"))
     return table(spark, d, "orders").select("o_orderkey", C.publication_status(page).alias("status"))
