@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first in the given order."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
+    """One row for each key, the first in the given order (rising, nulls first). Rows of a null key
+    are one group; it is an aggregation, so a hot key is combined before it is shuffled."""
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_r"))
+    return best.select("_r.*")
 
 
 def best_version(sections: DataFrame, key: Column, text: str, created: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions.chains import sql_match
 from ..operators import library as B, lines as O, vectors as V
 from ..sources import tables as T
+from ..sources.stored import BucketedTable, Library, replace_stored_children
 from ..sources.tables import table
 from ..streaming import jobs
 
@@ -77,8 +78,6 @@ def vector_topk_ivf(spark, d):
 QUERIES["vector_topk_ivf"] = vector_topk_ivf
 QUERIES["recent_fallback"] = lambda s, d: V.recent(table(s, d, "documents").filter(F.col("lang") == "en").select("doc_id"), [F.col("doc_id").desc()])
 SQL["recent_fallback"] = "SELECT doc_id, 0.5::DOUBLE AS similarity FROM documents WHERE lang = 'en' ORDER BY doc_id DESC LIMIT 3"
-QUERIES["embed_sections"] = lambda s, d: V.embed_sections(table(s, d, "benchmark"), "text", V.hashing_embedder()).select("item_id", F.size("embedding").alias("dim"), F.round(V.cosine(F.col("embedding"), F.col("embedding")), 6).alias("self"))
-SQL["embed_sections"] = "SELECT item_id, 64 AS dim, 1.0::DOUBLE AS self FROM benchmark"
 
 
 def _length_embedder():
@@ -86,6 +85,11 @@ def _length_embedder():
     return lambda texts: [[1.0, len(t) / 1024] for t in texts]
 
 
+QUERIES["embed_sections"] = lambda s, d: V.embed_sections(table(s, d, "documents").select("doc_id", "text"), "text", _length_embedder()).select("doc_id", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(1)).cast("double"), 6).alias("length"))
+_BLANK_SQL = "trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')"
+SQL["embed_sections"] = f"""SELECT doc_id, CASE WHEN {_BLANK_SQL} <> '' THEN 2 END AS dim, CASE WHEN {_BLANK_SQL} <> '' THEN round(CAST(least(length(text), 8000) / 1024.0 AS FLOAT)::DOUBLE, 6) END AS length FROM documents"""
+
+
 def search_sections(spark, d):
     """The three English documents nearest to the first benchmark text, by a toy embedding."""
     docs = V.embed_sections(table(spark, d, "documents").select("doc_id", "lang", "text"), "text", _length_embedder())
@@ -108,8 +112,20 @@ def best_version(spark, d):
 QUERIES["best_version"] = best_version
 SQL["best_version"] = f"""SELECT key, doc_id, length(text) AS n, min(doc_id) OVER (PARTITION BY key) AS first_seen FROM (SELECT *, {_KEY_SQL} AS key FROM documents)
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY coalesce(length(text), 0) DESC, doc_id) = 1"""
-QUERIES["refresh_library"] = lambda s, d: best_version(s, d).orderBy("first_seen")
-SQL["refresh_library"] = SQL["best_version"]
+
+
+def refresh_library(spark, d):
+    """The library after three batches of changes: two of documents, one that takes every seventh away."""
+    kept = Library(spark, folder(spark), buckets=8, deltas=2)
+    docs = table(spark, d, "documents").select(_key(F.col("text")).alias("key"), F.col("doc_id").alias("id"), F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.col("doc_id").alias("created"))
+    for n, (part, gone) in enumerate((("id % 2 = 0", False), ("id % 2 = 1", False), ("id % 7 = 0", True))):
+        kept.change(docs.filter(part).withColumn("gone", F.lit(gone)), n)
+    return kept.library().select("key", F.col("id").alias("doc_id"), F.col("size").cast("int").alias("n"), "first_seen")
+
+
+QUERIES["refresh_library"] = refresh_library
+SQL["refresh_library"] = f"""SELECT key, doc_id, coalesce(length(text), 0) AS n, min(doc_id) OVER (PARTITION BY key) AS first_seen FROM (SELECT *, {_KEY_SQL} AS key FROM documents WHERE doc_id % 7 <> 0)
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY coalesce(length(text), 0) DESC, doc_id) = 1"""
 
 
 def _sections(spark, d):
@@ -143,6 +159,20 @@ SQL["replace_children"] = f"""WITH s AS (SELECT doc_id, lang, source, {_KEY_SQL}
   SELECT source, count(*) AS section_count FROM r GROUP BY source"""
 
 
+def reparse_stored(spark, d):
+    """A table of sections by source, of which one source gets those of another in its name: what
+    the table holds then, by source."""
+    s, only, out = _sections(spark, d), F.col("lang") == "en", folder(spark)
+    s.write.partitionBy("source").parquet(out)
+    new = s.filter("source = 'src2'").withColumn("source", F.lit("src1"))
+    replace_stored_children(new, out, "source", _key(F.col("title")), only, [F.col("doc_id")])
+    return spark.read.schema(s.select([c for c in s.columns if c != "source"] + ["source"]).schema).parquet(out).groupBy("source").agg(F.count("*").alias("section_count"))
+
+
+QUERIES["reparse_stored"] = reparse_stored
+SQL["reparse_stored"] = SQL["replace_children"]
+
+
 def prefer_merge(spark, d):
     s = _sections(spark, d).withColumn("k", _key(F.col("title")))
     return B.prefer_merge(s.filter("lang = 'en'"), s.filter("lang <> 'en'"), ["k"], [F.col("doc_id")]).select("k", "doc_id")
@@ -195,6 +225,19 @@ def _halves(spark, d):
 
 QUERIES["upsert_latest"] = lambda s, d: B.upsert_latest(*_halves(s, d), ["user_id", "event_type"], ["ts", "event_id"])
 SQL["upsert_latest"] = "SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"
+
+
+def stored_upsert(spark, d):
+    """Events as changes of a stored table, in five batches, of which some are merged."""
+    ev = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    kept = BucketedTable(spark, folder(spark), ev.schema, ["user_id", "event_type"], ["ts", "event_id"], buckets=8, deltas=3)
+    for n in range(5):
+        kept.add(ev.filter(F.col("event_id") % 5 == n), n)
+    return kept.rows()
+
+
+QUERIES["stored_upsert"] = stored_upsert
+SQL["stored_upsert"] = SQL["upsert_latest"]
 QUERIES["cache_type"] = lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Наредба ").otherwise("БДС "), F.col("o_orderkey").cast("string")).rlike("^(Наредба|Закон)"), "regulation").otherwise("standard").alias("ref_type"))
 SQL["cache_type"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'regulation' ELSE 'standard' END AS ref_type FROM orders"
 
@@ -301,8 +344,8 @@ SQL["stream_section_ingest"] = f"SELECT {_KEY_SQL} AS key, lang FROM documents W
 def stream_upsert(spark, d):
     out, ev = folder(spark), table(spark, d, "events").select("user_id", "event_type", "event_id", "ts", "value")
     ev.repartitionByRange(4, "event_id").write.parquet(f"{out}/in")
-    jobs.upsert_stream(jobs.file_source(spark, f"{out}/in", ev.schema, 2), f"{out}/table", f"{out}/state", ["user_id", "event_type"], ["ts", "event_id"])
-    return jobs.latest_table(spark, f"{out}/table", ev.schema).select("user_id", "event_type", "event_id")
+    kept = jobs.upsert_stream(jobs.file_source(spark, f"{out}/in", ev.schema, 2), f"{out}/table", f"{out}/state", ["user_id", "event_type"], ["ts", "event_id"], buckets=8)
+    return kept.rows().select("user_id", "event_type", "event_id")
 
 
 QUERIES["stream_upsert"] = stream_upsert

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators import library
+from ..sources import stored
 
 
 def run_batches(source: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> None:
@@ -23,51 +24,25 @@ def file_source(spark: SparkSession, path: str, schema: StructType, files: int =
 
 def section_ingest(source: DataFrame, target: str, checkpoint: str, key, only, order) -> None:
     """Append new sections that the table at target lacks. A batch that is repeated after a
-    failure is written to the same folder again, so it isn't counted twice."""
+    failure is written to the same folder again, so it isn't counted twice. Of the table only
+    the keys are read, from the folders of other batches by their names."""
     spark = source.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
-        try:
-            done = spark.read.schema(batch.schema).parquet(target).filter(~F.contains(F.input_file_name(), F.lit(f"/batch={n}/")))
-            known = done.drop("batch") if "batch" in done.columns else done
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.limit(0)
+        done = [f for f in stored.folders(spark, target, done=True) if f.startswith("batch=") and f != f"batch={n}"]
+        known = spark.read.schema(batch.schema).parquet(*[f"{target}/{f}" for f in done]) if done else batch.limit(0)
         library.dedup_against_library(batch, known.filter(only), key, key, only, order).write.mode("overwrite").parquet(f"{target}/batch={n}")
 
     run_batches(source, checkpoint, step)
 
 
-def upsert_stream(source: DataFrame, target: str, checkpoint: str, key: list[str], version: list[str]) -> None:
-    """Keep the latest row of each key at target/<batch>; the folder of the last batch is the
-    table (latest_table()). A restarted stream goes on from the folder that is there; a batch
-    that is repeated after a failure starts from the one before it."""
-    spark = source.sparkSession
-
-    def step(batch: DataFrame, n: int) -> None:
-        done = [m for m in finished_batches(spark, target) if m < n]
-        base = spark.read.schema(batch.schema).parquet(f"{target}/{max(done)}") if done else batch.limit(0)
-        library.upsert_latest(base, batch, key, version).write.mode("overwrite").parquet(f"{target}/{n}")
-
-    run_batches(source, checkpoint, step)
-
-
-def finished_batches(spark: SparkSession, target: str) -> list[int]:
-    """The batches whose folders under target were written to the end."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-    return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
-
-
-def latest_table(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
-    """The table that upsert_stream() keeps; no rows before its first batch."""
-    done = finished_batches(spark, target)
-    return spark.read.schema(schema).parquet(f"{target}/{done[-1]}") if done else spark.createDataFrame([], schema)
+def upsert_stream(source: DataFrame, target: str, checkpoint: str, key: list[str], version: list[str], buckets: int = stored.BUCKETS) -> stored.BucketedTable:
+    """Keep the latest row of each key in a bucketed table at target, which is returned. A batch
+    is written beside the base; after some batches those buckets are rewritten that they touch.
+    A restarted stream goes on from what is there; a batch that is repeated replaces itself."""
+    table = stored.BucketedTable(source.sparkSession, target, source.schema, key, version, buckets=buckets)
+    run_batches(source, checkpoint, table.add)
+    return table
 
 
 class LatestStatus(StatefulProcessor):

@@ -7,6 +7,7 @@ from pyspark.sql import functions
 
 from docquarry.operators import citations, html, matching, vectors
 from docquarry.plans import registry
+from docquarry.sources import stored
 from docquarry.streaming import jobs
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -102,11 +103,11 @@ def test_upserts_go_on_after_a_restart(spark, tmp_path):
     for run, rows in enumerate([[(1, 10, 1), (2, 20, 1)], [(2, 21, 2)], [(1, 9, 0), (3, 30, 3)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = jobs.file_source(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
-        jobs.upsert_stream(source, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], ["at"])
-        assert len(jobs.finished_batches(spark, str(tmp_path / "table"))) == run + 1
-    got = jobs.latest_table(spark, str(tmp_path / "table"), source.schema)
+        kept = jobs.upsert_stream(source, str(tmp_path / "table"), str(tmp_path / "state"), ["k"], ["at"], buckets=4)
+        assert len(kept.batches()) == run + 1
+    got = kept.rows()
     assert {tuple(r) for r in got.collect()} == {(1, 10, 1), (2, 21, 2), (3, 30, 3)}
-    assert jobs.latest_table(spark, str(tmp_path / "none"), source.schema).count() == 0
+    assert stored.BucketedTable(spark, str(tmp_path / "none"), source.schema, ["k"], ["at"]).rows().count() == 0
 
 
 def test_judge_from_a_function(spark):
