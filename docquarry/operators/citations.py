@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 from ..functions.chains import trim
 from ..functions.places import all_matches
+from ..sources.tables import settled
 from .library import ttl_split, upsert_latest
 from .lines import let
 from .terms import apart, standing
@@ -169,6 +170,31 @@ def regulation_match(refs: DataFrame, listing: DataFrame) -> DataFrame:
     return hits.groupBy("normalized").agg(F.min_by(F.struct("title", "url"), F.struct("ord", "url")).alias("m")).select("normalized", "m.title", "m.url")
 
 
+# Statuses from the most urgent on.
+URGENT = ("withdrawn", "replaced", "under_review", "unknown", "valid")
+
+
+def by_urgency(results: DataFrame, status: str, reference: str, language: str = "bg") -> DataFrame:
+    """results with urgency (1 for the most urgent status; unknown ones last) and place, the rank of
+    the reference within it in the language's own order, sorted by both.
+
+    Places come from the distinct references of a status alone, in ranges of their order: a
+    range is ranked by itself and the sizes of those before it are added, so nothing is sorted
+    in one task."""
+    at = F.array_position(F.array(*map(F.lit, URGENT)), F.col(status))
+    rows = results.withColumn("urgency", F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(len(URGENT) + 1).cast("long"))
+    named = rows.groupBy("urgency", reference).agg(F.count("*").alias("_n")).withColumn("_c", F.collate(reference, language))
+    # an order that equal keys of the collation keep together
+    dealt = settled(named.repartitionByRange("urgency", "_c").sortWithinPartitions("urgency", "_c").withColumn("_part", F.spark_partition_id()).drop("_c")).withColumn("_c", F.collate(reference, language))
+    before = dealt.groupBy("urgency", "_part").agg(F.sum("_n").alias("_size"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_size").over(W.partitionBy("urgency").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    peers = W.partitionBy("urgency", "_part").orderBy("_c")
+    inner = F.coalesce(F.sum("_n").over(peers.rangeBetween(W.unboundedPreceding, W.currentRow)), F.lit(0)) - F.sum("_n").over(W.partitionBy("urgency", "_part", "_c"))
+    placed = dealt.withColumn("_inner", inner).join(before, ["urgency", "_part"]).select(F.col("urgency").alias("_u"), F.col(reference).alias("_r"), (F.col("_before") + F.col("_inner") + 1).cast("long").alias("place"))
+    out = rows.join(placed, (F.col("urgency") == F.col("_u")) & F.col(reference).eqNullSafe(F.col("_r"))).drop("_u", "_r")
+    return out.orderBy("urgency", "place")
+
+
 def publication_status(page: Column) -> Column:
     """withdrawn if the publication block says that all of it is repealed, else valid."""
     plain = F.regexp_replace(F.regexp_replace(page, "<[^>]+>", " "), "(?i)&nbsp;", " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "lines", "library", "tenders")
+MODULES = ("scalars", "lines", "library", "tenders", "files")
 
 
 def _gathered(what: str) -> dict:

@@ -211,14 +211,16 @@ SQL["validate_references"] = f"""SELECT ref_type, status, cached, count(*) AS n
 
 
 def status_sort(spark, d):
-    """Results by how urgent their status is, then by reference."""
-    o = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, ["valid", "withdrawn", "replaced", "under_review", "unknown"])), (F.col("o_orderkey") % 5).cast("int") + 1).alias("status"))
-    urgency = F.array_position(F.array(*map(F.lit, ["withdrawn", "replaced", "under_review", "unknown", "valid"])), F.col("status"))
-    return o.select("o_orderkey", "status", urgency.alias("urgency")).orderBy("urgency", "o_orderkey")
+    """Results by how urgent their status is, then by reference as Bulgarian sorts it: place."""
+    letters = F.element_at(F.array(*map(F.lit, ["а", "Б", "б", "Я", "БДС ", "бдс ", "Наредба "])), (F.col("o_orderkey") % 7).cast("int") + 1)
+    reference = F.concat(letters, (F.col("o_orderkey") % 1000).cast("string"))
+    o = table(spark, d, "orders").select("o_orderkey", reference.alias("reference"), F.element_at(F.array(*map(F.lit, ["valid", "withdrawn", "replaced", "under_review", "unknown"])), (F.col("o_orderkey") % 5).cast("int") + 1).alias("status"))
+    return C.by_urgency(o, "status", "reference").select("o_orderkey", "reference", "status", "urgency", "place")
 
 
 QUERIES["status_sort"] = status_sort
-SQL["status_sort"] = "SELECT o_orderkey, ['valid', 'withdrawn', 'replaced', 'under_review', 'unknown'][o_orderkey % 5 + 1] AS status, CAST([5, 1, 2, 3, 4][o_orderkey % 5 + 1] AS BIGINT) AS urgency FROM orders"
+SQL["status_sort"] = """WITH o AS (SELECT o_orderkey, ['а', 'Б', 'б', 'Я', 'БДС ', 'бдс ', 'Наредба '][o_orderkey % 7 + 1] || o_orderkey % 1000 AS reference, ['valid', 'withdrawn', 'replaced', 'under_review', 'unknown'][o_orderkey % 5 + 1] AS status, CAST([5, 1, 2, 3, 4][o_orderkey % 5 + 1] AS BIGINT) AS urgency FROM orders)
+  SELECT *, rank() OVER (PARTITION BY urgency ORDER BY reference COLLATE bg) AS place FROM o"""
 
 
 def raw_cells(spark, d):

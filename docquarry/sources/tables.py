@@ -40,6 +40,13 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written in the shared folder and read again: they stay as they are dealt."""
+    path = fresh_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def manifest(files: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
     """path, length, accepted, reason of a listing with columns path and length.
 
