@@ -28,20 +28,20 @@ def topk(sections: DataFrame, query: DataFrame, k: int = 3, vector: str = "embed
     return scored.orderBy(F.col("similarity").desc_nulls_last(), key).limit(k).drop("q")
 
 
-#: Query vectors of one block, and the most that are sent to all executors at a time.
-BLOCK, MOST_SENT = 2048, 100_000
+#: Query vectors of one block, and bytes of vectors (queries or centres) that are sent to all executors at a time.
+BLOCK, MOST_SENT = 2048, 1 << 26
 
 
 def topk_batch(queries: DataFrame, sections: DataFrame, k: int = 3, vector: str = "embedding", key: str = "vec_id", query: str = "q_id") -> DataFrame:
     """query, key, similarity, rank: the k nearest rows of each query vector.
 
-    queries: query, q. Blocks of at most MOST_SENT query vectors are sent out, one after the
+    queries: query, q. Blocks of about MOST_SENT bytes of query vectors are sent out, one after the
     other; each task multiplies its rows with them and keeps k for each query, so what is
     shuffled is k rows for each query and task. Vectors are compared with those of their own
     length; null and zero ones have no neighbours."""
     spark = sections.sparkSession
     named = queries.filter("q is not null").select(query, "q")
-    parts = max(1, -(-named.count() // MOST_SENT))
+    parts = max(1, -(-8 * (named.agg(F.sum(F.size("q"))).first()[0] or 0) // MOST_SENT))
     found = None
     for part in range(parts):
         own = named if parts == 1 else named.filter(F.pmod(F.xxhash64(query), F.lit(parts)) == part)
@@ -91,30 +91,100 @@ def _nearest(sent, k: int, vector: str, key: str, query: str):
     return run
 
 
-def lists_for(rows: int) -> int:
-    """So many lists that a list has about as many rows as there are lists."""
-    return max(1, round(rows**0.5))
+def lists_for(rows: int, dim: int = 64) -> int:
+    """So many lists that a list has about as many rows as there are lists, but no more than
+    MOST_SENT bytes of centres, which every task gets; longer lists are searched in blocks."""
+    return max(1, min(round(rows**0.5), MOST_SENT // (8 * max(1, dim))))
 
 
-def assign_lists(sections: DataFrame, lists: int, vector: str = "embedding", sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
-    """sections with list, the nearest of so many centres; the centres are fitted on a bounded
-    sample (32 rows a list where that is more), every row gets a list (rows without a vector a null one)."""
+def _unit(vector: str) -> Column:
+    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
+    return F.when(size > 0, F.transform(vector, lambda v: v.cast("double") / size))
+
+
+def _ranked(held, most: int):
+    """For each unit vector the numbers of the nearest centres, in order: one product for a batch."""
+
+    @F.pandas_udf("array<int>")
+    def near(u: pd.Series) -> pd.Series:
+        out = [None] * len(u)
+        sound = np.flatnonzero([v is not None and len(v) == held.value.shape[1] for v in u])
+        for at in range(0, len(sound), 1024):
+            own = sound[at : at + 1024]
+            order = np.argsort(-(np.stack([np.asarray(u.iloc[i], np.float64) for i in own]) @ held.value.T), axis=1, kind="stable")[:, :most]
+            for i, x in zip(own, order.tolist(), strict=True):
+                out[i] = x
+        return pd.Series(out, dtype=object)
+
+    return near
+
+
+def assigned(sections: DataFrame, centres: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """sections with list, the nearest centre; null for rows without a vector, or of another length."""
+    held = sections.sparkSession.sparkContext.broadcast(centres)
+    return sections.withColumn("list", F.get(_ranked(held, 1)(_unit(vector)), F.lit(0)))
+
+
+def fit_centres(sections: DataFrame, lists: int, vector: str = "embedding", sample: int = 20_000, seed: int = 42) -> np.ndarray:
+    """So many unit centres, fitted on a bounded sample: 20,000 rows, or 32 a list where that is more.
+    Vectors of the most frequent length count."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v))
-    rows = sections.withColumn("_u", F.when(size > 0, F.transform(vector, lambda v: v.cast("double") / size)))
-    drawn = rows.filter("_u is not null").orderBy(F.xxhash64("_u")).limit(max(sample, 32 * lists)).select(array_to_vector("_u").alias("features"))
+    rows = sections.select(_unit(vector).alias("_u")).filter("_u is not null")
+    dim = rows.groupBy(F.size("_u").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    rows = rows.filter(F.size("_u") == (dim.dim if dim else 0))
+    drawn = rows.orderBy(F.xxhash64("_u")).limit(max(sample, 32 * lists)).select(array_to_vector("_u").alias("features")).cache()
     centres = np.array(KMeans(k=lists, seed=seed, maxIter=10).fit(drawn).clusterCenters())
-    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    held = sections.sparkSession.sparkContext.broadcast(centres)
+    drawn.unpersist()
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+
+def assign_lists(sections: DataFrame, lists: int, vector: str = "embedding", sample: int = 20_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """sections with list, the nearest of so many centres, and the centres (fit_centres())."""
+    centres = fit_centres(sections, lists, vector, sample, seed)
+    return assigned(sections, centres, vector), centres
+
+
+class StoredLists:
+    """An index on storage: rows in a folder for each batch and list, and the centres beside them.
+
+    It is built once; new rows are assigned to the centres that are there, in a batch of their
+    own (a batch that is repeated replaces itself). A search reads the lists that some of its
+    queries probe, and no others."""
 
-    @F.pandas_udf("int")
-    def nearest(u: pd.Series) -> pd.Series:
-        out = [None if v is None else int((held.value @ np.asarray(v)).argmax()) for v in u]
-        return pd.Series(out, dtype="Int32")
+    def __init__(self, spark, path: str, vector: str = "embedding", key: str = "vec_id"):
+        self.spark, self.path, self.vector, self.key = spark, path.rstrip("/"), vector, key
 
-    return rows.withColumn("list", nearest("_u")).drop("_u"), centres
+    def build(self, sections: DataFrame, lists: int | None = None) -> StoredLists:
+        """Fit centres and write all rows as batch 0; rows without a vector go to no list."""
+        if lists is None:
+            found = sections.agg(F.count("*"), F.max(F.size(self.vector))).first()
+            lists = lists_for(found[0], found[1] or 1)
+        centres = fit_centres(sections, lists, self.vector)
+        rows = self.spark.createDataFrame([(n, c) for n, c in enumerate(centres.tolist())], "list int, centre array<double>")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
+        self.add(sections, 0)
+        return self
+
+    def centres(self) -> np.ndarray:
+        return np.array([r.centre for r in self.spark.read.parquet(f"{self.path}/centres").orderBy("list").collect()])
+
+    def add(self, sections: DataFrame, batch: int) -> None:
+        dealt = assigned(sections, self.centres(), self.vector).repartition("list", F.pmod(F.xxhash64(self.key), F.lit(4)))
+        dealt.write.mode("overwrite").partitionBy("list").parquet(f"{self.path}/rows/batch={batch}")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows").drop("batch")
+
+    def search(self, queries: DataFrame, k: int = 3, probes: int = 8, query: str = "q_id") -> DataFrame:
+        """As topk_ivf(); of the rows only the lists that are probed are read."""
+        centres = self.centres()
+        held = self.spark.sparkContext.broadcast(centres)
+        wanted = queries.select(F.explode(_ranked(held, probes)(_unit("q"))).alias("list")).distinct()
+        # no more numbers than there are lists
+        rows = self.rows().filter(F.col("list").isin([r.list for r in wanted.collect()]))
+        return topk_ivf(queries, rows, centres, k, probes, self.vector, self.key, query)
 
 
 #: Queries that the number of probes is fitted on, at most.
@@ -150,14 +220,9 @@ def topk_ivf(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, k: int
 
     The queries and the rows of a list meet in blocks, dealt by hashes of their keys; a pair of
     blocks gives k rows for each query."""
-    held = queries.sparkSession.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("array<int>")
-    def near(q: pd.Series) -> pd.Series:
-        return pd.Series([np.argsort(-(held.value @ np.asarray(v, np.float64)), kind="stable")[:probes].astype(np.int32).tolist() for v in q])
-
+    near = _ranked(queries.sparkSession.sparkContext.broadcast(centres), probes)
     sound = F.exists("q", lambda x: x != 0) & F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x))
-    probed = queries.filter(sound).withColumn("list", F.explode(near("q"))).select("list", F.col(query).cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"))
+    probed = queries.filter(sound).withColumn("list", F.explode(near(_unit("q")))).select("list", F.col(query).cast("long").alias("id"), F.col("q").cast("array<double>").alias("v"))
     rows = indexed.filter("list is not null").select("list", F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     blocks = lambda x, name: x.groupBy("list").agg(F.ceil(F.count("*") / block).alias(name))
     sizes = F.broadcast(blocks(probed, "left").join(blocks(rows, "right"), "list"))

@@ -66,13 +66,9 @@ SQL["vector_topk_batch"] = """SELECT a.vec_id AS q_id, b.vec_id AS vec_id, round
 
 def vector_topk_ivf(spark, d):
     """Lists grow with the table; so many are probed that 0.9 of the true neighbours are found."""
-    e, queries = table(spark, d, "embeddings"), _queries(spark, d)
-    indexed, centres = V.assign_lists(e, V.lists_for(e.count()))
-    path = f"{folder(spark)}/lists"
-    indexed.write.parquet(path)
-    indexed = spark.read.schema(indexed.schema).parquet(path)
-    probes, _ = V.fit_probes(queries, indexed, centres, recall=0.9)
-    return V.topk_ivf(queries, indexed, centres, probes=probes).select("q_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+    index = V.StoredLists(spark, folder(spark)).build(table(spark, d, "embeddings"))
+    probes, _ = V.fit_probes(_queries(spark, d), index.rows(), index.centres(), recall=0.9)
+    return index.search(_queries(spark, d), probes=probes).select("q_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 QUERIES["vector_topk_ivf"] = vector_topk_ivf
