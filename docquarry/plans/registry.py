@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "lines", "library", "tenders", "files")
+MODULES = ("scalars", "lines", "library", "tenders", "files", "offers")
 
 
 def _gathered(what: str) -> dict:
