@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import settle
+
 #: Rows of a shard are numbered in so many blocks, each by itself.
 BLOCKS = 1024
 
@@ -47,7 +49,8 @@ def shard_table(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
     of nothing. slot: rows of a shard are numbered from 0 without a gap, by blocks that a hash
     of the row deals out, then by key; rows without a key are spread over the blocks as well,
     and equal rows get different slots. grown_shard: where the row is with one more shard.
-    Texts are read once and not shuffled; other columns are not read."""
+    Texts are read once: what is known of them is written, and only that goes on. Other columns
+    are not read."""
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)) + 1).cast("long").alias("size"),
@@ -55,7 +58,7 @@ def shard_table(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "
         F.lit("key").alias("law"),
     )
     rows = rows.withColumn("shard", jump_shard(F.col("doc_id"), shards)).withColumn("grown_shard", jump_shard(F.col("doc_id"), shards + 1))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(blocks)))
+    rows = settle(rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(blocks))))
     # at most shards x blocks rows, however large the table is
     counts = rows.groupBy("shard", "_block").count()
     before = counts.select("shard", "_block", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -13,7 +13,8 @@ Layout of a shard file, all numbers little-endian:
     one line feed
 
 A lookup hashes the key to a bucket, reads its move, computes the slot, compares the
-fingerprint and reads the ordinal and its start: constant time whatever the shard's size."""
+fingerprint and reads the ordinal and its start: constant time whatever the shard's size. A
+table of shards (write_index()) tells the shard of a key, so a folder isn't walked (lookup())."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -207,6 +209,61 @@ def read_shards(spark, path: str) -> DataFrame:
     return rows.join(shards, ["partition", "sequence"]).join(parts, "partition").select("doc_id", (F.col("outer") + F.col("inner") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def write_index(spark, path: str) -> None:
+    """Write the table of all shards beside them: file, and the smallest and largest key in it.
+
+    It is made once, by a job that reads each shard; keyed access needs it to know the shard."""
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = Shard(data.as_buffer().to_pybytes())
+                own = s.keys[s.missing :]
+                some = len(own) > 0
+                yield pa.RecordBatch.from_pydict({"file": [name] * some, "partition": pa.array([s.partition] * some, pa.int64()), "sequence": pa.array([s.sequence] * some, pa.int64()), "low": pa.array(own[:1], pa.int64()), "high": pa.array(own[-1:], pa.int64())})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files.mapInArrow(spans, "file string, partition long, sequence long, low long, high long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_index/shards")
+
+
+def lookup(spark, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, ids (the stored integers' bytes, as wide as the shard has them) of each different key.
+
+    The table of shards, a row for each, tells the shard by two searches; only shards that
+    hold some of the keys are read, and in each the index leads a key to its slot and place.
+    Keys that aren't there, and null ones, give no row; of a key that several documents share
+    the first is given."""
+    shards = spark.read.parquet(f"{path}/_index/shards").orderBy("partition", "sequence").collect()
+    low, high, names = np.array([r.low for r in shards], np.int64), np.array([r.high for r in shards], np.int64), [r.file for r in shards]
+    sent = spark.sparkContext.broadcast((low, high))
+
+    @F.pandas_udf("int")
+    def shard_of(k: pd.Series) -> pd.Series:
+        k, (low, high) = k.to_numpy(np.int64), sent.value
+        at = np.searchsorted(high, k)
+        found = np.zeros(len(k), bool)
+        found[at < len(high)] = low[at[at < len(high)]] <= k[at < len(high)]
+        return pd.Series(np.where(found, at, -1).astype(np.int32))
+
+    wanted = keys.select(F.col(key).cast("long").alias("k")).filter("k is not null").distinct().withColumn("at", shard_of("k")).filter("at >= 0")
+    wanted = settle(wanted)
+    needed = sorted(r.at for r in wanted.select("at").distinct().collect())  # no more than there are shards
+    if not needed:
+        return spark.createDataFrame([], f"`{key}` long, ids binary")
+    places = spark.createDataFrame([(names[n], n) for n in needed], "path string, at int")
+    files = spark.read.format("binaryFile").load([names[n] for n in needed]).select("path", "content").join(F.broadcast(places), "path")
+
+    def found(own: pa.Table, shard: pa.Table) -> pa.Table:
+        k = np.sort(own.column("k").to_numpy())
+        s = Shard(shard.column("content")[0].as_buffer().to_pybytes())
+        at = s.ordinal(k)
+        k, at = k[at >= 0], at[at >= 0]
+        k, at = k[s.keys[at] == k], at[s.keys[at] == k]  # a foreign key may have the fingerprint
+        return pa.table({key: pa.array(k), "ids": pa.array([s.ids[s.starts[i] : s.starts[i + 1]].tobytes() for i in at], pa.binary())})
+
+    return wanted.groupBy("at").cogroup(files.groupBy("at")).applyInArrow(found, f"`{key}` long, ids binary")
+
+
 def token_output(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, **kw) -> DataFrame:
     """Write the shards into the shared folder and return what read_shards() finds there."""
     out = fresh_path(docs.sparkSession, "ids")
