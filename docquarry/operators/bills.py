@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from ..functions.chains import WS, trim
 from .lines import let
-from .matching import _any
 
 # What header cells may say, in order of preference.
 ALIASES = {
@@ -50,7 +51,7 @@ def summary_row(code: Column) -> Column:
 
 def header_row(name: Column, code: Column) -> Column:
     """A header that is repeated among the rows."""
-    fits = lambda n: _any(F.contains(n, F.lit(a)) | F.contains(F.lit(a), n) for a in ALIASES["name"])
+    fits = lambda n: reduce(lambda x, y: x | y, [F.contains(n, F.lit(a)) | F.contains(F.lit(a), n) for a in ALIASES["name"]])
     return let(_norm(name), lambda n: (F.length(n) > 3) & fits(n)) | _norm(code).isin(*ALIASES["code"])
 
 

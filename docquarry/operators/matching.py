@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -95,32 +96,32 @@ def match_lexical(items: DataFrame, templates: DataFrame, top: int = TOP) -> Dat
     return best.unionByName(fill.select("item_id", "tpl_id", F.lit(0.0).alias("score"), (F.col("n") + 1).cast("int").alias("rank")))
 
 
+# Words of items and titles that contradict each other. An item that has all of the
+# first and one of the second words doesn't go with a title that has all of the third and one of
+# the fourth, but for titles that have one of the last.
+CONTRADICTIONS = [
+    (["технологич", "дебелин"], [], ["отстраняв"], [], []),
+    (["разваляне"], ["пътна основа", "пътно покритие"], [], ["асфалтобетон", "настилка", "фрезоване"], []),
+    (["линейни отводнители"], [], ["шахт"], [], []),
+    ([], ["ел. шахт", "ел.шахт", "електро шахт"], ["ревизионн"], [], ["ел.", "ел ", "електр"]),
+    (["електрическ", "шахт"], [], ["ревизионн"], [], ["ел.", "ел ", "електр"]),
+    (["изкореняване"], [], [], ["сервитут", "разчистване на площ"], []),
+    (["втори", "битумен", "разлив"], [], ["първи", "битумен"], [], []),
+]
+# Fixed pattern: the class of a barrier, which item and title must share if both have one.
+BARRIER = r"n\s*[0-9]+\s*w\s*[0-9]+"
+
+
 def vetoed(item: Column, title: Column) -> Column:
     """Whether item and title contradict each other, although their words agree."""
     i, t = F.lower(item), F.lower(title)
-    has = lambda c, *words: _all(F.contains(c, F.lit(w)) for w in words)
-    any_ = lambda c, *words: _any(F.contains(c, F.lit(w)) for w in words)
-    cls = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(c, r"n\s*[0-9]+\s*w\s*[0-9]+", 0), r"\s", ""), F.lit(""))
-    shaft = any_(i, "ел. шахт", "ел.шахт", "електро шахт") | has(i, "електрическ", "шахт")
-    return (
-        (has(i, "технологич", "дебелин") & has(t, "отстраняв")) | (has(i, "разваляне") & any_(i, "пътна основа", "пътно покритие") & any_(t, "асфалтобетон", "настилка", "фрезоване"))
-        | F.coalesce(cls(i) != cls(t), F.lit(False)) | (has(i, "линейни отводнители") & has(t, "шахт")) | (shaft & has(t, "ревизионн") & ~any_(t, "ел.", "ел ", "електр"))
-        | (has(i, "изкореняване") & any_(t, "сервитут", "разчистване на площ")) | (has(i, "втори", "битумен", "разлив") & has(t, "първи", "битумен"))
-    )
-
-
-def _all(conditions) -> Column:
-    out = None
-    for c in conditions:
-        out = c if out is None else out & c
-    return out
-
-
-def _any(conditions) -> Column:
-    out = None
-    for c in conditions:
-        out = c if out is None else out | c
-    return out
+    yes = F.lit(True)
+    has_all = lambda c, words: reduce(lambda a, w: a & F.contains(c, F.lit(w)), words, yes)
+    has_any = lambda c, words: reduce(lambda a, w: a | F.contains(c, F.lit(w)), words, F.lit(False))
+    of = lambda c, all_, any_: has_all(c, all_) & (has_any(c, any_) if any_ else yes)
+    barrier = lambda c: F.nullif(F.regexp_replace(F.regexp_extract(c, BARRIER, 0), r"\s", ""), F.lit(""))
+    rules = [of(i, i_all, i_any) & of(t, t_all, t_any) & ~has_any(t, t_not) for i_all, i_any, t_all, t_any, t_not in CONTRADICTIONS]
+    return reduce(lambda a, r: a | r, rules, F.coalesce(barrier(i) != barrier(t), F.lit(False)))
 
 
 def best_score_judge(candidates: DataFrame) -> DataFrame:

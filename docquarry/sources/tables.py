@@ -21,13 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
     Where the session names none, it is a folder of the warehouse, and in a session of one
-    process a temporary one."""
+    process a temporary one. A warehouse on a local disk is refused where there are others."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_jobs"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if warehouse.startswith(("file:", "/")):
+            raise ValueError("executors don't share the warehouse's folder: set spark.checkpoint.dir to one that they do")
+        return f"{warehouse}/_jobs"
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
