@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from ..sources.tables import settled
 from .library import first_per_key
 
 TOP = 20
@@ -72,10 +73,13 @@ def candidates(items: DataFrame, templates: DataFrame, top: int) -> DataFrame:
     worth = "size(filter(all, p -> p > at)) / (size(i.d) + greatest(0, l.m - size(filter(own, p -> p > at)))) + 0.15D * size(filter(two, p -> p > at))"
     rows = rows.select("item_id", "i", "least", F.expr("slice(order, 1, at)").alias("rarer"), F.col("x.key").alias("key"), F.explode(F.expr(f"filter(x.lengths, l -> {worth} >= least - 1e-6)")).alias("l"))
     rows = rows.select("item_id", "i", "least", "rarer", "key", "l.m", F.explode(F.expr("sequence(0L, l.blocks - 1)")).alias("block"))
+    # few bytes may make many pairs: as many parts as the session names, whatever their size
+    rows = rows.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item_id", "key", "m", "block")
     dealt = index.join(sizes, ["key", "m"]).select("key", "m", "t", F.pmod(F.xxhash64("t.tpl_id"), F.col("blocks")).alias("block"))
     # each pair once: where the rarest key of both meets
     met = rows.join(dealt, ["key", "m", "block"]).filter(~F.arrays_overlap("rarer", "t.k"))
-    return met.select("item_id", F.col("t.tpl_id").alias("tpl_id"), F.expr(_SCORE).alias("score"), "least")
+    # exploded, so that a filter over the score isn't moved in front of it and it is worked out once
+    return met.select("item_id", F.col("t.tpl_id").alias("tpl_id"), F.explode(F.array(F.expr(_SCORE))).alias("score"), "least")
 
 
 def match_lexical(items: DataFrame, templates: DataFrame, top: int = TOP) -> DataFrame:
@@ -88,6 +92,7 @@ def match_lexical(items: DataFrame, templates: DataFrame, top: int = TOP) -> Dat
     nothing tells them apart. Ids must not repeat; nulls have no words."""
     rank = F.rank().over(W.partitionBy("item_id").orderBy(F.col("score").desc()))
     best = candidates(items, templates, top).filter("score > 0 and score >= least").drop("least").withColumn("rank", rank).filter(F.col("rank") <= top)
+    best = settled(best)  # it is looked at twice
     found = best.groupBy("item_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") < top, F.col("tpl_id")))), 1, top).alias("ids"))
     # of so many titles fewer than top can be there already; one row, sent along
     pool = templates.select("ord", "tpl_id").orderBy("ord", "tpl_id").limit(2 * top).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tpl_id"))), lambda x: x["tpl_id"]).alias("pool"))

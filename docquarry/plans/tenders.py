@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from ..functions import entities as E, text as X
 from ..functions.chains import quote, sql_trim, trim
 from ..operators import bills, citations as C, html as H, lines as O, matching as M
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .library import folder
 from .scalars import SQL_TOKENS
 
@@ -100,7 +100,7 @@ SQL["match_vetoes"] = f"SELECT p_partkey, [{', '.join(str(p[2]).lower() for p in
 def cited_texts(spark, d):
     """A text of citations for each order: a standard twice, a regulation, a stray number."""
     key = F.col("o_orderkey").cast("string")
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("<p>Съгласно БДС EN "), key, F.lit("-1:2012 – Изпитвания за геометрични характеристики , както и EN "), key, F.lit("-1, ISO 9001 и xEN 13.</p> НАРЕДБА №"), key, F.lit(" от "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" г. за съставяне на актове")).alias("text"))
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", F.concat(F.lit("<p>Съгласно БДС EN "), key, F.lit("-1:2012 – Изпитвания за геометрични характеристики , както и EN "), key, F.lit("-1, ISO 9001 и xEN 13.</p> НАРЕДБА №"), key, F.lit(" от "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(" г. за съставяне на актове")).alias("text"))
 
 
 QUERIES["extract_references"] = lambda s, d: C.extract_references(cited_texts(s, d), "o_orderkey").select("o_orderkey", "normalized", "ref_type", "search_term", "extracted_title", "inline_description")

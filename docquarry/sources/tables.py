@@ -43,6 +43,13 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows over all cores, where the table's files make fewer tasks than there are: costly
+    work on each row isn't left to the few tasks of a small file. Larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written in the shared folder and read again: they stay as they are dealt."""
     path = fresh_path(df.sparkSession, "table")
