@@ -12,6 +12,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -636,16 +637,35 @@ def test_toxicity_on_odd_rows(spark, odd):
     assert toxicity.toxicity(odd.limit(0), labels).count() == 0
 
 
-def test_contexts_as_brute_force(spark):
-    rows = [(1, "a B c. a b c"), (1, "a b c"), (0, "b a\tb"), (0, ""), (1, ". .")]
-    seen = defaultdict(set)
-    for label, text in rows:
-        w = [x.strip(".").encode() for x in text.lower().split()]
-        for x in zip([b"", *w[:-1]], w, [*w[1:], b""]):
-            if x[1]:
-                seen[x[1], label].add((x[0], x[2]))
-    got = {bytes(r.window): (r.toxic, r.ordinary) for r in toxicity.contexts(spark.createDataFrame(rows, "label int, text string")).collect()}
-    assert got == {w: (len(seen[w, 1]), len(seen[w, 0])) for w in {w for w, _ in seen}}
+def test_windows_are_all_pairs_of_words():
+    got = lambda t: [w for part in toxicity.windows(t) for w in part]
+    assert got(None) == got("") == got(" \n") == []
+    assert got("One") == [b" one "] and got(" a\tB  c ") == [b" a b ", b" b c "]
+    long = " ".join(f"w{i}" for i in range(1_000_000))  # several pieces
+    w = [x.encode() for x in long.split()]
+    assert got(long) == [b" %b %b " % p for p in zip(w, w[1:])]
+
+
+def test_toxicity_scores_as_brute_force(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels)
+    assert model == toxicity.learn(docs.repartition(7), labels.repartition(3))
+    # margins by new compressors for each window, without a memory; features and scores in plain Python
+    def size(content, x):
+        held = zstandard.ZstdCompressionDict(content + toxicity.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x + toxicity.TAIL))
+
+    some = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(4).collect()]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    for key, text in some:
+        w = (text or "").encode().lower().split()
+        m = sorted((size(model.ordinary, x) - size(model.toxic, x) for x in (b" %b %b " % p for p in zip(w, w[1:]))), reverse=True)
+        best = m[:6]
+        x = [math.log2(1 + sum(v >= k for v in m)) for k in toxicity.MARGINS] + [math.log2(1 + sum(v <= -k for v in m)) for k in toxicity.AGAINST]
+        x += [best[0] / 4, sum(best[:3]) / 12, sum(best) / len(best) / 4, sum(m) / len(m), math.log2(1 + len(m)), 1]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert abs(got[key] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
 
 
 def test_pipeline_on_odd_rows(spark, odd, data):
