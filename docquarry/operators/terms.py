@@ -1,4 +1,5 @@
-"""Which of many terms stand in a text: an automaton over all terms walks each text once."""
+"""Which of many terms stand in a text: an automaton over the terms' beginnings walks each text once,
+and what may be a term is joined with the terms."""
 
 from __future__ import annotations
 
@@ -7,8 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Letters of the terms of one automaton, which is sent to all tasks.
+#: Letters of the beginnings in the automaton, which is sent to all tasks.
 LETTERS = 1 << 21
+#: Letters that a beginning may have; the longest are taken that stay within LETTERS.
+HEADS = (32, 16, 12, 8, 4, 2, 1)
 _DIGITS = frozenset("0123456789")
 
 
@@ -20,43 +23,48 @@ def apart(text: str, start: int, stop: int) -> bool:
     return not (before[-1:] in frozenset(" \t\n\x0b\f\r-") and before[:1] in _DIGITS and len(before) == 2)
 
 
-def standing(rows: DataFrame, text: str, terms: DataFrame, term: str, ok: Callable[[str, int, int], bool] | None = None, letters: int = LETTERS) -> DataFrame:
+def standing(rows: DataFrame, text: str, terms: DataFrame, term: str, ok: Callable[[str, int, int], bool] | None = None, letters: int = LETTERS, keys: list[str] | None = None) -> DataFrame:
     """rows with each term that stands in their text, once, if ok(text, start, stop) of one place.
 
-    Terms are dealt into blocks of about so many letters; each block is an automaton that every
-    text goes through once, so there are as many rows as matches, whatever is frequent. Null
-    and empty terms and null texts match nothing; repeated rows are matched each."""
-    own = terms.select(F.col(term).cast("string").alias("t")).filter("length(t) > 0").distinct()
-    size = own.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // letters))
+    keys: columns of both sides that must be equal, too. Each text is walked once: where a
+    term's beginning stands, the parts are taken that are as long as terms of this beginning,
+    and these are joined with the terms. The terms aren't sent to the tasks, only their
+    beginnings with their lengths, of about so many letters. Null and empty terms and null
+    texts match nothing; repeated rows are matched each."""
+    keys = keys or []
+    own = terms.select(F.col(term).cast("string").alias(term), *keys).filter(F.length(term) > 0).distinct()
+    head = lambda n: F.struct(F.left(term, F.lit(n)).alias("h"), F.length(term).alias("n"))
+    sizes = own.agg(*[F.approx_count_distinct(head(n)).alias(f"_{n}") for n in HEADS]).first()
+    most = next((n for n in HEADS if sizes[f"_{n}"] * n <= letters), HEADS[-1])
+    heads = own.select(head(most).alias("x")).groupBy("x.h").agg(F.sort_array(F.collect_set("x.n")).alias("n")).collect()
+    sent = rows.sparkSession.sparkContext.broadcast([(r.h, r.n) for r in heads])
     at, schema = rows.columns.index(text), rows.select("*", F.lit("").alias(term)).schema
-    out = None
-    for n in range(blocks):
-        held = own if blocks == 1 else own.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n)
-        part = _matched(rows, at, held.toArrow().column(0).to_pylist(), schema, ok)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rows.mapInArrow(_parts(sent, at, schema, ok), schema).join(own, [term, *keys]).select(*rows.columns, term)
 
 
-def _matched(rows: DataFrame, at: int, terms: list[str], schema, ok: Callable[[str, int, int], bool] | None) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(terms)
-
+def _parts(sent, at: int, schema, ok: Callable[[str, int, int], bool] | None):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for t in sent.value:
-            automaton.add_word(t, t)
+        for head, lengths in sent.value:
+            automaton.add_word(head, (len(head), lengths))
         automaton.make_automaton()
         for batch in batches:
             row, found = [], []
             for n, value in enumerate(batch.column(at).to_pylist() if len(automaton) else ()):
                 seen = set()
-                for end, t in automaton.iter(value or ""):
-                    if t not in seen and (ok is None or ok(value, end + 1 - len(t), end + 1)):
-                        seen.add(t)
-                        row.append(n)
-                        found.append(t)
+                for end, (size, lengths) in automaton.iter(value or ""):
+                    start = end + 1 - size
+                    for length in lengths:
+                        stop = start + length
+                        if stop > len(value):
+                            break
+                        t = value[start:stop]
+                        if t not in seen and (ok is None or ok(value, start, stop)):
+                            seen.add(t)
+                            row.append(n)
+                            found.append(t)
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns), pa.array(found, pa.string())], schema.names)
 
-    return rows.mapInArrow(walk, schema)
+    return walk

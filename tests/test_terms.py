@@ -29,3 +29,33 @@ def test_many_lettered_terms_make_as_many_rows_as_matches(spark):
     got = citations.registry_match(own, cards)
     assert got.count() == 100_000 and got.filter("title <> concat('БДС ', search_term, ':2015')").count() == 0
     assert citations._cards_of(own, cards).count() == 100_000
+
+
+def test_terms_meet_texts_of_their_keys_only(spark):
+    """Each of many terms stands in many texts, but in few of its own key; no term is sent to the tasks."""
+    own = spark.range(3000).select(F.format_string("Н-%d", "id").alias("term"), (F.col("id") % 50).alias("k"))
+    rows = spark.range(3000).select(F.format_string("x Н-%d, Н-%d0", "id", "id").alias("text"), (F.col("id") % 50).alias("k"))
+    got = {(r.text, r.term) for r in terms.standing(rows, "text", own, "term", keys=["k"]).collect()}
+    want = {(f"x Н-{n}, Н-{n}0", f"Н-{m}") for n in range(3000) for m in range(n % 50, 3000, 50) if f"Н-{m}" in f"Н-{n}, Н-{n}0"}
+    assert got == want
+
+
+def test_a_number_that_all_cards_share_makes_no_rows(spark):
+    """The parts of cards' numbers, as 1 and 2024, were rows of one key each."""
+    own = spark.range(2000).select(F.format_string("1%d-1", "id").alias("search_term"))
+    cards = spark.range(2000).select(F.col("id").alias("ord"), F.format_string("БДС EN 1%d-1:2024", "id").alias("title"), F.lit("60.60").alias("status_code"))
+    sent = []
+    walk = terms._parts
+    try:
+        terms._parts = lambda *a: sent.append(walk(*a)) or sent[-1]
+        assert citations._cards_of(own, cards).count() == 2000
+    finally:
+        terms._parts = walk
+    assert cards.mapInArrow(sent[0], "ord long, title string, status_code string, search_term string").count() == 2000
+
+
+def test_costly_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from docquarry.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    assert tables.spread(spark.range(0, 1000, 1, 6)).rdd.getNumPartitions() == 10
