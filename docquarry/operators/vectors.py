@@ -30,6 +30,8 @@ def topk(sections: DataFrame, query: DataFrame, k: int = 3, vector: str = "embed
 
 #: Query vectors of one block, and bytes of vectors (queries or centres) that are sent to all executors at a time.
 BLOCK, MOST_SENT = 2048, 1 << 26
+#: Rows that a block of queries is multiplied with at a time: a task's memory is that of BLOCK x ROWS similarities.
+ROWS = 512
 
 
 def topk_batch(queries: DataFrame, sections: DataFrame, k: int = 3, vector: str = "embedding", key: str = "vec_id", query: str = "q_id") -> DataFrame:
@@ -67,8 +69,8 @@ def _nearest(sent, k: int, vector: str, key: str, query: str):
         best = {dim: (np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)) for dim, (ids, _) in sent.value.items()}
         for pdf in batches:
             for dim, own in pdf.groupby(pdf[vector].map(len)):
-                if dim in best:
-                    best[dim] = better(best[dim], sent.value[dim][1], own)
+                for at in range(0, len(own) if dim in best else 0, ROWS):
+                    best[dim] = better(best[dim], sent.value[dim][1], own.iloc[at : at + ROWS])
         for dim, (s, n) in best.items():
             if s.shape[1]:
                 yield pd.DataFrame({query: np.repeat(sent.value[dim][0], s.shape[1]), key: n.ravel(), "similarity": s.ravel()})

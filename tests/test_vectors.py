@@ -56,3 +56,23 @@ def test_bounds_in_bytes(monkeypatch, spark, points):
     whole = sorted(tuple(r) for r in vectors.topk_batch(queries, rows).select("q_id", "vec_id", "rank").collect())
     monkeypatch.setattr(vectors, "MOST_SENT", 8 * 24 * 20)
     assert sorted(tuple(r) for r in vectors.topk_batch(queries, rows).select("q_id", "vec_id", "rank").collect()) == whole
+
+
+def test_a_task_holds_similarities_of_few_rows(points):
+    """Memory of the search of many queries grows neither with the batch of rows nor with the queries."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    q = points[:2000] / np.linalg.norm(points[:2000], axis=1)[:, None]
+    sent = SimpleNamespace(value={24: (np.arange(2000), q)})
+    rows = pd.DataFrame({"vec_id": np.arange(4000), "embedding": list(points)})
+    tracemalloc.start()
+    got = pd.concat(vectors._nearest(sent, 3, "embedding", "vec_id", "q_id")(iter([rows])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # 8000 bytes x 4000 for one array of all similarities of a block, of which there were five
+    s = q @ (points / np.linalg.norm(points, axis=1)[:, None]).T
+    want = np.argsort(-s, axis=1, kind="stable")[:, :3]
+    assert {tuple(x) for x in got[["q_id", "vec_id"]].to_numpy().tolist()} == {(i, int(j)) for i, x in enumerate(want) for j in x}
