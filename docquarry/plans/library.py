@@ -324,12 +324,18 @@ SQL["assemble_sections"] = """WITH t AS (SELECT conv_id, turn, coalesce(role = '
   UNION ALL SELECT conv_id, 'other', 0, 'Цялото съдържание', string_agg(text, chr(10) ORDER BY turn) FROM t WHERE conv_id % 5 >= 3 GROUP BY conv_id"""
 
 
+#: Documents of one file that arrives.
+FILE_ROWS = 10_000
+
+
 def stream_section_ingest(spark, d):
-    """Documents arrive in four files; the table that grows equals the batch result's keys."""
+    """Documents arrive in two batches of files, four or more; the table that grows equals the batch
+    result's keys. A file has a bounded number of rows, as a task writes and reads it whole."""
     out, s = folder(spark), _sections(spark, d)
-    s.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{out}/in")
+    half = max(2, -(-s.count() // (2 * FILE_ROWS)))
+    s.repartitionByRange(2 * half, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{out}/in")
     only = F.col("lang") == "en"
-    jobs.section_ingest(jobs.file_source(spark, f"{out}/in", s.schema, 2), f"{out}/table", f"{out}/state", _key(F.col("title")), only, [F.col("doc_id")])
+    jobs.section_ingest(jobs.file_source(spark, f"{out}/in", s.schema, half), f"{out}/table", f"{out}/state", _key(F.col("title")), only, [F.col("doc_id")])
     return spark.read.parquet(f"{out}/table").select(_key(F.col("title")).alias("key"), "lang")
 
 

@@ -97,3 +97,20 @@ def test_first_of_a_hot_key_is_an_aggregation(spark):
     out = library.first_per_key(rows, ["k"], [-F.col("o"), F.col("id")])
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in out._jdf.queryExecution().toString() and [tuple(r) for r in out.collect()] == [(6, None, 6)] and out.columns == ["id", "k", "o"]
+
+
+def test_arriving_files_have_bounded_rows(spark, data, monkeypatch):
+    from docquarry.plans import library
+
+    seen = []
+    plain_source = library.jobs.file_source
+
+    def source(spark, path, schema, files):
+        seen.append((spark.read.parquet(path).select(F.input_file_name()).distinct().count(), files))
+        return plain_source(spark, path, schema, files)
+
+    monkeypatch.setattr(library.jobs, "file_source", source)
+    monkeypatch.setattr(library, "FILE_ROWS", 25)
+    docs = spark.read.parquet(f"{data}/documents.parquet").count()
+    got = library.stream_section_ingest(spark, data)
+    assert got.count() > 0 and seen[0][0] >= docs / 25 * 0.9 and seen[0][1] >= docs / 50
