@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-from .chains import WS, sql_match, sql_sub, sql_trim, trim
+from .chains import WS, let, spaced, sql_match, sql_sub, sql_trim, trim
 
 _EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 # Fixed values. The class of "rules only" holds the range from \ to the long dash, and so all
@@ -27,31 +29,47 @@ BULLET = r"^(?:\d+[.)]\s*|-\s*|•\s*|–\s*)"
 
 
 def any_of(line: Column, patterns: list[str]) -> Column:
-    out = line.rlike(patterns[0])
-    for p in patterns[1:]:
-        out = out | line.rlike(p)
-    return out
+    """Whether any of the patterns is found: those for a line's beginning are tried together
+    there, the others together at each place."""
+    anchored, free = [], []
+    for p in patterns:
+        flags, body = re.fullmatch(r"(?:\(\?([a-z]+)\))?(.*)", p, re.S).groups()
+        first = body.startswith("^") and "m" not in (flags or "") and "|" not in re.sub(r"\([^()]*\)", "", body)
+        (anchored if first else free).append(f"(?{flags or ''}:{body[first:]})")
+    tests = [line.rlike(p) for p in (f"^(?:{'|'.join(anchored)})", "|".join(free)) if p not in ("^(?:)", "")]
+    return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
 def sql_any(expr: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(sql_match(expr, p) for p in patterns) + ")"
 
 
-def _share(line: Column) -> tuple[Column, Column]:
-    """Letters and digits as a share of what isn't white space (null if all is), and its length."""
-    solid = F.regexp_replace(line, rf"[{WS}]", "")
-    return F.try_divide(F.length(F.regexp_replace(solid, _ALNUM, "")), F.length(solid)), F.length(solid)
+def _share(line: Column) -> Column:
+    """Letters and digits as a share of what isn't white space; null if all is."""
+    return F.try_divide(F.length(F.regexp_replace(line, rf"{_ALNUM}++", "")), F.length(F.regexp_replace(line, rf"[{WS}]++", "")))
+
+
+def _thin(line: Column, below: Column | float) -> Column:
+    """Whether that share is below a number. Of ASCII letters and digits alone all characters
+    have no larger share, and most lines are told by these."""
+    some = F.try_divide(F.length(F.regexp_replace(line, r"\P{Alnum}++", "")), F.length(line))
+    return (some < below) & (_share(line) < below)
+
+
+def _solid(line: Column, least: int) -> Column:
+    """Whether so many characters aren't white space; no more of the line is looked at."""
+    return line.rlike(rf"^(?:[{WS}]*+[^{WS}]){{{least}}}")
 
 
 def garbage_line(line: Column, compat: bool = True) -> Column:
     """Addresses, rules, and lines of few letters and digits; a blank line is none.
 
     compat keeps the wide class of RULES_ONLY."""
-    share, total = _share(line)
-    rules = F.regexp_replace(line, r"\d", "").rlike(RULES_ONLY if compat else RULES_STRICT)
-    thin = (total >= 3) & (((total > 15) & (share < 0.45)) | ((total <= 15) & (share < 0.55)))
-    blank = trim(line) == ""
-    return ~blank & (line.rlike(_EMAIL) | line.rlike(r"(?i)e-?mail\s*:?\s*") | F.contains(line, F.lit("@")) | line.rlike(r"(?i)www\.") | rules | F.coalesce(thin, F.lit(False)))
+    # digits between are passed over; most lines have a mark that neither class holds
+    rules = ~line.rlike(r"""[!"$%&'()*+,./:;?@\[]""") & line.rlike((RULES_ONLY if compat else RULES_STRICT).replace(r"]*\z", r"\d]*+\z"))
+    thin = _solid(line, 3) & _thin(line, F.when(_solid(line, 16), 0.45).otherwise(0.55))
+    # what holds an address holds its sign
+    return _solid(line, 1) & (F.contains(line, F.lit("@")) | rules | line.rlike(r"(?i)e-?mail|www\.") | thin)
 
 
 def sql_garbage_line(e: str) -> str:
@@ -77,11 +95,9 @@ def heading_line(line: Column) -> Column:
 
 def output_line(line: Column) -> Column:
     """What is left of an output line: collapsed, or null if it is dropped; '' if blank."""
-    t = trim(line)
-    share, total = _share(t)
-    bad = any_of(t, OUTPUT_DROPPED) | table_line(t) | F.coalesce((total >= 10) & (share < 0.5), F.lit(False))
-    slim = F.regexp_replace(t, rf"[{WS}]+", " ")
-    return F.when(t == "", "").when(~bad & (F.length(slim) > 1), slim)
+    # what holds an address holds its sign, and all other kinds begin the line
+    bad = lambda t: F.contains(t, F.lit("@")) | any_of(t, OUTPUT_DROPPED[2:] + TABLE_LINE) | (t.rlike(TABLE_ROW[0]) & t.rlike(TABLE_ROW[1])) | t.rlike("(?i)e-?mail") | (_solid(t, 10) & _thin(t, 0.5))
+    return let(trim(line), lambda t: F.when(t == "", "").when((F.length(t) > 1) & ~bad(t), spaced(t)))
 
 
 def sql_output_line(e: str) -> str:
@@ -93,17 +109,16 @@ def sql_output_line(e: str) -> str:
 
 
 def role_line(line: Column) -> Column:
-    t = trim(line)
-    return (t != "") & (F.length(t) <= 200) & any_of(F.regexp_replace(t, BULLET, ""), ROLE_WORDS)
+    # no word begins within a bullet
+    return (F.length(trim(line)) <= 200) & any_of(line, ROLE_WORDS)
 
 
 def role_name(line: Column) -> Column:
     """The role's name: what stands before a dash, a colon or a comma, at most 80 letters."""
-    c = trim(F.regexp_replace(trim(line), BULLET, ""))
-    dash, colon, comma = (F.split(c, p, -1) for p in (r"\s+[-–—]\s+", r":\s*", ","))
-    first = lambda parts, ok: F.when((F.size(parts) > 1) & ok(F.length(parts[0])), trim(parts[0]))
-    cut = F.when(F.length(c) > 80, trim(F.regexp_replace(F.left(c, F.lit(80)), r"\s+\S*\z", ""))).otherwise(c)
-    return F.coalesce(first(dash, lambda n: n >= 5), first(colon, lambda n: n >= 5), first(comma, lambda n: (n >= 5) & (n <= 80)), cut)
+    first = lambda c, p, ok: let(F.split(c, p, 2), lambda parts: F.when((F.size(parts) > 1) & ok(F.length(parts[0])), trim(parts[0])))
+    cut = lambda c: F.when(F.length(c) > 80, trim(F.regexp_replace(F.left(c, F.lit(80)), r"\s+\S*\z", ""))).otherwise(c)
+    whole = trim(F.regexp_replace(trim(line), BULLET, ""))
+    return let(whole, lambda c: F.coalesce(first(c, r"\s+[-–—]\s+", lambda n: n >= 5), first(c, r":\s*", lambda n: n >= 5), first(c, ",", lambda n: (n >= 5) & (n <= 80)), cut(c)))
 
 
 def role_tail(line: Column) -> Column:
@@ -113,11 +128,16 @@ def role_tail(line: Column) -> Column:
 
 
 def garbage_document(text: Column, script: str = r"\x{400}-\x{4FF}", other: str = "a-zA-Z", share: float = 0.15) -> Column:
-    """A text that is too short, has too few letters, or too few of the wanted script."""
-    letters = F.regexp_replace(text, rf"[{WS}\d\p{{P}}]", "")
-    count = lambda cls: F.length(F.regexp_replace(letters, f"[^{cls}]", ""))
+    """A text that is too short, has too few letters, or too few of the wanted script.
+
+    script and other share no letter, and have no white space, digits or punctuation."""
+    # so many are found early, or most of the text isn't of the class
+    least = lambda cls, n, rest: text.rlike(rf"^(?:[{rest}]*+[{cls}]){{{n}}}+")
+    count = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]++", ""))
     wanted, rest = count(script), count(other)
-    return text.isNull() | (F.length(text) < 80) | (F.length(letters) < 50) | (wanted + rest < 30) | ((wanted < share * (wanted + rest)) & (rest > 20))
+    solid = rf"{WS}\d\p{{P}}"
+    few = (F.length(text) < 80) | ~least(f"^{solid}", 50, solid) | ~least(script + other, 30, f"^{script}{other}")
+    return text.isNull() | few | (least(other, 21, f"^{other}") & (wanted < share * (wanted + rest)))
 
 
 def sql_garbage_document(e: str) -> str:

@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import lines as L
-from ..functions.chains import WS, trim
+from ..functions.chains import let, trim
 
 MARKER = r"^---\s+(.+?)\s+---\z"
 
@@ -22,7 +22,7 @@ def explode_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def join_lines(lines: DataFrame, key: str, line: str = "line", between: str = "\n", name: str = "text") -> DataFrame:
     """The texts of documents from their lines, in order of pos; null lines are left out."""
-    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line))), lambda x: x[line]), between).alias(name))
+    return lines.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", line)))[line], between).alias(name))
 
 
 def heading_candidates(docs: DataFrame, key: str, text: str = "text", most: int = 500) -> DataFrame:
@@ -144,11 +144,6 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return let(F.regexp_instr(text, F.lit(whole)), lambda at: F.when(at > 0, at - 1).otherwise(F.length(text)))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def section_until(text: Column, heading: str, stops: list[str], least: int = 1) -> Column:
     """The text after the first heading up to the earliest stop; null if none or too short."""
     at, found = F.regexp_instr(text, F.lit(heading)), F.regexp_extract(text, heading, 0)
