@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.chains import WS, trim
-from .lines import let
+from ..functions.chains import let, spaced, trim
+from ..functions.lines import any_of
 
 # What header cells may say, in order of preference.
 ALIASES = {
@@ -21,7 +21,7 @@ SCANNED = 25
 
 
 def _norm(cell: Column) -> Column:
-    return F.regexp_replace(trim(F.lower(F.coalesce(cell, F.lit("")))), rf"[{WS}]+", " ")
+    return spaced(trim(F.lower(F.coalesce(cell, F.lit("")))))
 
 
 def column_index(normal: Column, aliases: list[str]) -> Column:
@@ -41,7 +41,7 @@ def _heading(c: Column, n: Column, both: Column) -> Column:
     road, area = r"(?iu)^(улично\s+платно|тротоари|паркинг|отводняване)\z", r"(?iu)^обща\s+(площ|дължина)"
     return (
         let(both, lambda b: (b == "") | b.rlike(r"(?iu)^Сметка\s*[0-9]+")) | c.rlike(r"^[IVXіІ]+\.?\s*\z") | ((c != "") & (n == "") & c.rlike("[А-Я]{3,}"))
-        | ((c == "") & (n != "") & n.rlike("[А-Я]{3,}") & (n == F.upper(n))) | c.rlike(road) | n.rlike(road) | c.rlike(area) | n.rlike(area)
+        | ((c == "") & (n != "") & n.rlike("[А-Я]{3,}") & (n == F.upper(n))) | any_of(c, [road, area]) | any_of(n, [road, area])
     )
 
 
@@ -60,10 +60,16 @@ def bill_headers(cells: DataFrame) -> DataFrame:
 
     The header is the first of the first rows that names both a name and a quantity, else
     row 0. cells: sheet_id, row_idx, cells."""
-    # only the first rows are looked at; all are counted in the same aggregation
-    normal = cells.select("sheet_id", "row_idx", F.when(F.col("row_idx") < SCANNED, F.transform("cells", _norm)).alias("normal"))
-    at = F.struct("row_idx", *[column_index(F.col("normal"), a).alias(k) for k, a in ALIASES.items()])
-    top = normal.select("sheet_id", "row_idx", F.when(F.col("normal").isNotNull(), at).alias("at"))
+    # only the first rows are looked at; all are counted in the same aggregation. Most rows name no
+    # quantity, or no name: other columns are looked for in those that do, and in row 0
+    def header(row: Column, cells: Column) -> Column:
+        at = lambda k: column_index(cells, ALIASES[k])
+        whole = lambda two: F.struct(row.alias("row_idx"), at("code").alias("code"), two["name"].alias("name"), at("unit").alias("unit"), two["quantity"].alias("quantity"))
+        first = lambda q: F.when(q.isNotNull() | (row == 0), F.struct(at("name").alias("name"), q.alias("quantity")))
+        return let(let(at("quantity"), first), lambda two: F.when((two["name"].isNotNull() & two["quantity"].isNotNull()) | (row == 0), whole(two)))
+
+    at = F.when(F.col("row_idx") < SCANNED, let(F.transform("cells", _norm), lambda cells: header(F.col("row_idx"), cells)))
+    top = cells.select("sheet_id", "row_idx", at.alias("at"))
     good = F.when(F.col("at.name").isNotNull() & F.col("at.quantity").isNotNull(), F.col("at"))
     heads = top.groupBy("sheet_id").agg(F.min(good).alias("h"), F.min(F.when(F.col("row_idx") == 0, F.col("at"))).alias("z"), F.count("*").alias("n_rows"))
     heads = heads.select("sheet_id", F.coalesce("h", "z").alias("h"), "n_rows")

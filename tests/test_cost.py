@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import lines as L, text as X
 from docquarry.functions.chains import WS, spaced, trim
+from docquarry.operators import bills
 from docquarry.plans import registry
 
 ODD = [
@@ -96,8 +97,19 @@ def test_garbage_documents(spark):
     compared(spark, lambda x: L.garbage_document(x, "a-zA-Z", r"\x{400}-\x{4FF}"), lambda x: old(x, "a-zA-Z", r"\x{400}-\x{4FF}"), texts)
 
 
+def test_headers(spark):
+    rows = [["x"], ["№", "Име", "М.е.", "Количество"], ["код", "  НАИМЕНОВАНИЕ ", "мярка", "кол"], ["№", "описание"], ["", None], []]
+    cells = spark.createDataFrame([(s, i, r) for s in range(len(rows)) for i, r in enumerate(rows[s:] + rows[:s])] + [(99, 30, rows[2]), (98, 1, rows[0]), (97, 0, None)], "sheet_id int, row_idx int, cells array<string>")
+    normal = cells.filter("row_idx < 25").withColumn("n", F.transform("cells", lambda c: F.regexp_replace(plain_trim(F.lower(F.coalesce(c, F.lit("")))), rf"[{WS}]+", " ")))
+    at = normal.select("sheet_id", "row_idx", *[bills.column_index(F.col("n"), a).alias(k) for k, a in bills.ALIASES.items()]).orderBy("row_idx").collect()
+    for h in bills.bill_headers(cells).collect():
+        own = [r for r in at if r.sheet_id == h.sheet_id]
+        best = ([r for r in own if r.name is not None and r.quantity is not None] or [r for r in own if r.row_idx == 0] or [None])[0]
+        assert tuple(h)[1:6] == (tuple(best)[1:] if best else (None,) * 5), h
+
+
 #: Before: hundreds in clean_output_lines, then 15, 18, 49, 4, 177, 81, 76, 25 and 60.
-MOST = {"clean_output_lines": 10, "garbage_lines": 10, "sql_functions": 9, "role_requirements": 16, "role_lines": 5, "role_names": 3, "strip_boilerplate": 15}
+MOST = {"clean_output_lines": 10, "garbage_lines": 10, "sql_functions": 9, "bill_items": 23, "bill_columns": 2, "role_requirements": 16, "role_lines": 5, "role_names": 3, "strip_boilerplate": 15}
 
 
 @pytest.mark.parametrize("name", MOST)
