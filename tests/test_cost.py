@@ -6,9 +6,9 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.functions import lines as L, text as X
+from docquarry.functions import lines as L, places, text as X
 from docquarry.functions.chains import WS, spaced, trim
-from docquarry.operators import bills
+from docquarry.operators import bills, citations as C
 from docquarry.plans import registry
 
 ODD = [
@@ -97,6 +97,16 @@ def test_garbage_documents(spark):
     compared(spark, lambda x: L.garbage_document(x, "a-zA-Z", r"\x{400}-\x{4FF}"), lambda x: old(x, "a-zA-Z", r"\x{400}-\x{4FF}"), texts)
 
 
+def test_citations_where_they_may_begin(spark):
+    texts = ["БДС EN ISO 1, бдс ЕN 2 eN 3 ıSO 4 İsO 5 xEN 6 ENISO 7 EN\xa08 EN ISO 9", "БДС БДС 1 EN EN 2", "нАРЕДБА №3 от 1.2.2003 г. наредба НАРЕДБА РД-1 ОТ 1.2.2003", "", None, "БДС", "EN " * 50 + "1"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = docs.select(places.all_matches(F.col("t"), C.STANDARDS + C.REGULATIONS, C.BEGINS).alias("new"), places.all_matches(F.col("t"), C.STANDARDS + C.REGULATIONS).alias("old")).collect()
+    assert [r.new for r in both] == [r.old for r in both] and sum(len(r.old or ()) for r in both) >= 10
+    # the classes hold every form of the first letters
+    for begin, letter in zip(C.BEGINS, "ББББEIНН", strict=True):
+        assert set(re.findall(f"(?i){letter}", "".join(map(chr, range(0x20000))))) == set(re.match(r"\[(.*?)\]", begin)[1])
+
+
 def test_headers(spark):
     rows = [["x"], ["№", "Име", "М.е.", "Количество"], ["код", "  НАИМЕНОВАНИЕ ", "мярка", "кол"], ["№", "описание"], ["", None], []]
     cells = spark.createDataFrame([(s, i, r) for s in range(len(rows)) for i, r in enumerate(rows[s:] + rows[:s])] + [(99, 30, rows[2]), (98, 1, rows[0]), (97, 0, None)], "sheet_id int, row_idx int, cells array<string>")
@@ -109,7 +119,7 @@ def test_headers(spark):
 
 
 #: Before: hundreds in clean_output_lines, then 15, 18, 49, 4, 177, 81, 76, 25 and 60.
-MOST = {"clean_output_lines": 10, "garbage_lines": 10, "sql_functions": 9, "bill_items": 23, "bill_columns": 2, "role_requirements": 16, "role_lines": 5, "role_names": 3, "strip_boilerplate": 15}
+MOST = {"clean_output_lines": 10, "garbage_lines": 10, "sql_functions": 9, "bill_items": 23, "bill_columns": 2, "role_requirements": 16, "role_lines": 5, "role_names": 3, "strip_boilerplate": 15, "extract_references": 37}
 
 
 @pytest.mark.parametrize("name", MOST)
