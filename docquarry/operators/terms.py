@@ -37,6 +37,8 @@ def standing(rows: DataFrame, text: str, terms: DataFrame, term: str, ok: Callab
     sizes = own.agg(*[F.approx_count_distinct(head(n)).alias(f"_{n}") for n in HEADS]).first()
     most = next((n for n in HEADS if sizes[f"_{n}"] * n <= letters), HEADS[-1])
     heads = own.select(head(most).alias("x")).groupBy("x.h").agg(F.sort_array(F.collect_set("x.n")).alias("n")).collect()
+    if not heads:  # then no text is walked
+        return rows.withColumn(term, F.lit("")).filter("false")
     sent = rows.sparkSession.sparkContext.broadcast([(r.h, r.n) for r in heads])
     at, schema = rows.columns.index(text), rows.select("*", F.lit("").alias(term)).schema
     return rows.mapInArrow(_parts(sent, at, schema, ok), schema).join(own, [term, *keys]).select(*rows.columns, term)

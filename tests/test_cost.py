@@ -107,6 +107,36 @@ def test_citations_where_they_may_begin(spark):
         assert set(re.findall(f"(?i){letter}", "".join(map(chr, range(0x20000))))) == set(re.match(r"\[(.*?)\]", begin)[1])
 
 
+def test_titles_and_descriptions(spark):
+    def after(x):
+        rest = F.regexp_extract(F.regexp_replace(x, r"^(?::[0-9]{4}(?:/[A-Z0-9:]+)*)?\s*", ""), r"^(?:–|—|-{1,2})\s*([А-ЯA-Z][\s\S]*)", 1)
+        return F.regexp_extract(rest, r"^[^\n]{15,250}", 0)
+
+    def inline(x):
+        short = F.regexp_replace(F.left(x, F.lit(120)), r"^:[0-9]{4}(?:/[A-Z0-9:]+)*", "")
+        d = F.regexp_extract(short, r"^\s*(?:за|–|-|—|:)\s+([^,.\n;(]{5,80})", 1)
+        return F.nullif(plain_trim(F.regexp_replace(d, r"\s*(?:БДС(?=[A-Za-z0-9_])|(?:EN|ISO)(?![A-Za-z0-9_])|Наредба(?=[A-Za-z0-9_])).*", "")), F.lit(""))
+
+    titles = ["Изпитвания за свойства", "Изпитвания\nза свойства", "изпитвания за свойства", "Aб", "Аб " * 120, "акт EN 5 и", "EN и друго", "12345 : нещо"]
+    tails = [a + b + c + t for a in ("", ":2012", ":2012/A1:2015", ":201", ":2012/", ":2012 :", "\n") for b in ("", " ", "\n ") for c in ("", "–", "-", "--", "---", "— ", "за ", ": ") for t in titles]
+    # words of a title that is found are those of its first line, which the last steps only shorten
+    plain = lambda x: F.when(after(x) != "", C.title_after(F.concat(F.lit("– "), after(x))))
+    compared(spark, C.title_after, plain, tails)
+    compared(spark, C.inline_description, inline, tails)
+    heads = [h + d + s for h in ("", "Изпитвания за свойства", "увод; Изпитвания за свойства ", "-" * 20) for d in ("", "–", "—", "-", "--") for s in ("", " ", "\n\t", "\xa0", "x")]
+    cand = lambda x: plain_trim(F.regexp_extract(x, r"^([\s\S]*?)(?:–|—|-{1,2})\s*\z", 1))
+    compared(spark, C.title_before, lambda x: F.when(cand(x) != "", C.title_before(F.concat(cand(x), F.lit(" –")))), heads)
+
+
+def test_no_terms_no_walk(spark):
+    from docquarry.operators import terms
+
+    rows = spark.createDataFrame([("а 1",), (None,)], "t string")
+    none = terms.standing(rows, "t", spark.createDataFrame([("",), (None,)], "w string"), "w")
+    assert none.columns == ["t", "w"] and none.count() == 0
+    assert "Arrow" not in none._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_headers(spark):
     rows = [["x"], ["№", "Име", "М.е.", "Количество"], ["код", "  НАИМЕНОВАНИЕ ", "мярка", "кол"], ["№", "описание"], ["", None], []]
     cells = spark.createDataFrame([(s, i, r) for s in range(len(rows)) for i, r in enumerate(rows[s:] + rows[:s])] + [(99, 30, rows[2]), (98, 1, rows[0]), (97, 0, None)], "sheet_id int, row_idx int, cells array<string>")
