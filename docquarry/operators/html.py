@@ -85,27 +85,33 @@ _STOP_WORDS = r"мерки\s+(?:за|по)\s+збут|график\s+за\s+из
 BOUNDARY = rf"(?iu)<(?:h[1-6]|p|strong)[^>]*>[^<]*(?:{_STOP_WORDS}|кол[.]?\s*стойностна)[^<]*</(?:h[1-6]|p|strong)>"
 
 
+def blocks_of_tables(html: Column, spans: Column, least: int = 20) -> Column:
+    """Array of structs ord, title, html_body, plain of one text, as technology_blocks() gives
+    them; spans: its tables, as table_spans()."""
+
+    def cut(t: Column, last: Column) -> Column:
+        prices = F.filter(spans, lambda x: (x["start"] > last) & price_table(x["table"]))
+        head = F.regexp_instr(F.substr(html, last + 1), F.lit(BOUNDARY))
+        end = let(head, lambda at: F.least(F.get(prices, F.lit(0))["start"], F.when(at > 1, last + at - 1), F.length(html)))
+        raw = lambda x, i, end: trim(F.substr(html, x["start"] + 1, F.least(F.get(t, i + 1)["start"], end) - x["start"]))
+        name = lambda x: X.html_block(F.regexp_extract(x["table"], r"(?i)<t[dh][^>]*>([\s\S]*?)</t[dh]>", 1))
+        block = lambda x, i, raw: F.struct((i + 1).alias("ord"), name(x).alias("title"), raw.alias("html_body"), X.html_block(raw).alias("plain"))
+        return let(end, lambda e: F.transform(t, lambda x, i: let(raw(x, i, e), lambda r: block(x, i, r))))
+
+    found = let(F.filter(spans, lambda x: resource_table(x["table"])), lambda t: F.when(F.size(t) > 0, let(F.get(t, F.size(t) - 1)["start"], lambda last: cut(t, last))))
+    return F.filter(found, lambda x: F.length(x["plain"]) >= least)
+
+
 def technology_blocks(pages: DataFrame, key: str, html: str = "html", least: int = 20) -> DataFrame:
     """key, ord, title, html_body, plain: each resource table up to the next one; the last ends
     at a price table or the heading of another section behind it."""
     found = pages.select(key, F.col(html).alias("_html"), table_spans(F.col(html)).alias("_all"))
-    found = found.withColumn("_t", F.filter("_all", lambda t: resource_table(t["table"]))).filter(F.size("_t") > 0)
-    found = found.withColumn("_last", F.element_at("_t", -1)["start"]).withColumn("_len", F.length("_html"))
-    prices = F.filter("_all", lambda t: (t["start"] > F.col("_last")) & price_table(t["table"]))
-    head = F.regexp_instr(F.substr("_html", F.col("_last") + 1), F.lit(BOUNDARY))
-    found = found.withColumn("_end", F.least(F.coalesce(F.get(prices, F.lit(0))["start"], F.col("_len")), F.when(head > 1, F.col("_last") + head - 1).otherwise(F.col("_len"))))
-    stop = lambda i: F.least(F.coalesce(F.get("_t", i + 1)["start"], F.col("_len")), F.col("_end"))
-    blocks = F.transform("_t", lambda t, i: F.struct((i + 1).alias("ord"), t["table"].alias("table"), trim(F.substr("_html", t["start"] + 1, stop(i) - t["start"])).alias("raw")))
-    name = X.html_block(F.regexp_extract("table", r"(?i)<t[dh][^>]*>([\s\S]*?)</t[dh]>", 1))
-    return found.select(key, F.inline(blocks)).select(key, "ord", name.alias("title"), F.col("raw").alias("html_body"), X.html_block(F.col("raw")).alias("plain")).filter(F.length("plain") >= least)
-
+    return found.select(key, F.inline(blocks_of_tables(F.col("_html"), F.col("_all"), least)))
 
-def donor_fill(blocks: DataFrame, key: str, short: int = 1200, enough: int = 200) -> DataFrame:
-    """Blocks in which short ones got the description of the next long one.
 
-    From the last block backwards: a block that was filled can give to those before it. A
-    document's blocks are few, so they are walked through as an array."""
-    rows = blocks.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(F.struct("ord", "title", "html_body", "plain")))).alias("b"))
+def filled_blocks(blocks: Column, short: int = 1200, enough: int = 200) -> Column:
+    """An array of a document's blocks by ord, in which short ones got the description of the
+    next long one; it is walked from the last to the first."""
 
     def step(a: Column, x: Column) -> Column:
         donor = a["donor"]
@@ -114,12 +120,20 @@ def donor_fill(blocks: DataFrame, key: str, short: int = 1200, enough: int = 200
         gets = (F.length(x["plain"]) < short) & donor.isNotNull() & (at > 0) & (F.length(shared) >= enough)
         whole = F.when(F.coalesce(gets, F.lit(False)), F.concat(x["html_body"], shared)).otherwise(x["html_body"])
         return let(whole, lambda h: let(F.when(h == x["html_body"], x["plain"]).otherwise(X.html_block(h)), lambda p: F.struct(
-            F.concat(a["out"], F.array(F.struct(x["ord"].alias("ord"), x["title"].alias("title"), h.alias("html_body"), p.alias("plain")))).alias("out"),
+            F.concat(F.array(F.struct(x["ord"].alias("ord"), x["title"].alias("title"), h.alias("html_body"), p.alias("plain"))), a["out"]).alias("out"),
             F.when(F.length(p) >= short, h).otherwise(donor).alias("donor"))))
 
     kind = "array<struct<ord:int,title:string,html_body:string,plain:string>>"
-    walked = F.aggregate("b", F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("string").alias("donor")), step, lambda a: a["out"])
-    return rows.select(key, F.explode(walked).alias("x")).select(key, "x.*")
+    return F.aggregate(F.reverse(F.array_sort(blocks)), F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("string").alias("donor")), step, lambda a: a["out"])
+
+
+def donor_fill(blocks: DataFrame, key: str, short: int = 1200, enough: int = 200) -> DataFrame:
+    """Blocks in which short ones got the description of the next long one.
+
+    From the last block backwards: a block that was filled can give to those before it. A
+    document's blocks are few, so they are walked through as an array."""
+    rows = blocks.groupBy(key).agg(F.collect_list(F.struct("ord", "title", "html_body", "plain")).alias("b"))
+    return rows.select(key, F.explode(filled_blocks(F.col("b"), short, enough)).alias("x")).select(key, "x.*")
 
 
 def cut_trailing(html: Column) -> Column:
@@ -149,6 +163,19 @@ def title_place(text: Column, title: Column, start: Column) -> Column:
     return let(F.call_function("locate", title, text, start), lambda at: F.when(at > 0, at).otherwise(windows + start - 1))
 
 
+def title_parts(text: Column, titles: Column, least: int = 50, more: tuple[str, ...] = ()) -> Column:
+    """Array of structs ord, title, body and the titles' other fields named: a text cut as
+    split_by_titles() does. titles: array of structs ord, title in order."""
+    walk = F.aggregate(
+        titles, F.struct(F.lit(-1).alias("p"), F.array().cast("array<int>").alias("out")),
+        lambda a, x: let(title_place(text, x["title"], a["p"] + 2), lambda f: let(F.coalesce(f - 1, a["p"] + 1).cast("int"), lambda p: F.struct(p.alias("p"), F.concat(a["out"], F.array(p)).alias("out")))),
+        lambda a: a["out"],
+    )
+    body = lambda at, i: trim(F.substr(text, F.get(at, i) + 1, F.coalesce(F.get(at, i + 1), F.length(text)) - F.get(at, i)))
+    parts = let(walk, lambda at: F.transform(titles, lambda x, i: F.struct(x["ord"].cast("int").alias("ord"), x["title"].alias("title"), body(at, i).alias("body"), *[x[c].alias(c) for c in more])))
+    return F.filter(parts, lambda x: F.length(x["body"]) >= least)
+
+
 def split_by_titles(docs: DataFrame, sections: DataFrame, key: str, text: str = "text", least: int = 50) -> DataFrame:
     """key, ord, title, body: a text cut where its titles stand, each behind the one before.
 
@@ -156,16 +183,7 @@ def split_by_titles(docs: DataFrame, sections: DataFrame, key: str, text: str =
     isn't found there follows the one before at once; short bodies go. sections: key, ord, title."""
     lists = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("s")).withColumnRenamed(key, "_key")
     both = docs.join(lists, F.col(key) == F.col("_key"))
-    walk = F.aggregate(
-        "s", F.struct(F.lit(-1).alias("p"), F.array().cast("array<struct<ord:int,title:string,at:int>>").alias("out")),
-        lambda a, x: let(title_place(F.col(text), x["title"], a["p"] + 2), lambda f: let(F.coalesce(f - 1, a["p"] + 1), lambda p: F.struct(p.cast("int").alias("p"), F.concat(a["out"], F.array(F.struct(x["ord"].cast("int").alias("ord"), x["title"].alias("title"), p.cast("int").alias("at")))).alias("out")))),
-        lambda a: a["out"],
-    )
-    rows = both.select(key, text, F.posexplode(walk).alias("_i", "x"), F.length(text).alias("_len"))
-    nxt = F.coalesce(F.lead("x.at").over(W.partitionBy(key).orderBy("_i")), F.col("_len"))
-    rows = rows.withColumn("_next", nxt)
-    body = trim(F.substr(text, F.col("x.at") + 1, F.col("_next") - F.col("x.at")))
-    return rows.select(key, F.col("x.ord").alias("ord"), F.col("x.title").alias("title"), body.alias("body")).filter(F.length("body") >= least)
+    return both.select(key, F.inline(title_parts(F.col(text), F.col("s"), least)))
 
 
 def table_grid(tables: DataFrame, key: str, table: str = "table") -> DataFrame:

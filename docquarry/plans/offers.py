@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.chains import quote
 from ..operators import lines as O, offers
-from ..sources.tables import table
+from ..sources.tables import PAGES_A_TASK, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -30,7 +30,8 @@ def offer_pages(spark, d):
     early = F.when(F.col("page_id") % 3 == 0, F.concat(block(1), block(9))).otherwise("")
     html = F.concat(early, intro, F.lit("<h1>Технологии</h1>"), block(1), block(2), F.lit(_PLAN))
     answer = F.when(F.col("page_id") % 5 == 0, "няма раздели").otherwise(F.lit(f"ето: [{_LIST}]"))
-    return table(spark, d, "pages").select("page_id", html.alias("html"), answer.alias("answer"))
+    pages = spread(table(spark, d, "pages").select("page_id", "html"), PAGES_A_TASK, ("page_id",))
+    return pages.select("page_id", html.alias("html"), answer.alias("answer"))
 
 
 def parse_offers(spark, d):

@@ -1,5 +1,6 @@
 """Work a row: each of these queries has few patterns, and gives what its plainer form gives."""
 
+import itertools
 import re
 from functools import reduce
 
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquarry.functions import lines as L, places, text as X
-from docquarry.functions.chains import WS, spaced, trim
-from docquarry.operators import bills, citations as C
+from docquarry.functions.chains import WS, lines, spaced, trim
+from docquarry.operators import bills, citations as C, offers
 from docquarry.plans import registry
 
 ODD = [
@@ -157,3 +158,47 @@ def test_few_patterns_a_row(spark, data, name):
     spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
     plan = registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"regexp_replace\(|RLIKE|regexp_extract\(", plan)) <= MOST[name]
+
+
+def test_lines(spark):
+    def old(x):
+        for pattern, to in ((r"[ \t]+", " "), (r"\n[ \t]+", "\n"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
+            x = F.regexp_replace(x, pattern, to)
+        return x
+
+    runs = ["".join(r) for n in range(6) for r in itertools.product(" \t\n", repeat=n)]
+    compared(spark, lines, old, ["а" + r + "b" for r in runs] + [r + "\xa0" + r + "\r" for r in runs] + ODD)
+    # one pattern over the text, where there were four
+    docs = spark.createDataFrame([("a",)], "t string")
+    assert docs.select(lines(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_offers_in_their_rows(spark, data):
+    """A page is made, cut and searched for tables once, and meets nothing but its list of sections."""
+    plan = registry.queries()["parse_offers"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 2 and plan.count("(?iu)&nbsp;") == 1
+    assert not re.search(r"Window|min_by|LeftAnti", plan)
+
+
+def test_offers_of_odd_pages(spark):
+    table = lambda n, x="": f"<table><tr><td>Технология {n}</td><td>Ангажирани лица, механизация</td></tr></table><p>Описание {n}, достатъчно дълго за блок{x}.</p>"
+    page = table(1) + "<h1>Увод</h1><p>" + "дума " * 60 + "<h1>Технологии</h1>" + table(1, ", второ") + table(2) + "<h1>Край</h1><p>" + "план " * 20 + "</p>"
+    pages = spark.createDataFrame([(1, page), (2, page), (3, "без нищо"), (4, ""), (5, None), (6, "<p>къс</p>"), (None, page), (None, "също без нищо")], "k long, html string")
+    sections = spark.createDataFrame([(1, 0, "introduction", "Увод"), (1, 1, "smr_technology", "Технологии"), (1, 2, "other", "Край"), (3, 0, "other", "Цялото"), (4, 0, "other", "x"), (9, 0, "other", "y")], "k long, ord int, type string, title string")
+    got = offers.parse_sections(pages, sections, "k").collect()
+    of = lambda k: [(r.order_index, r.section_type, r.title) for r in sorted(got, key=lambda r: r.order_index) if r.k == k]
+    technologies = ["Технология 1", "Технология 2"]
+    assert of(1) == [(0, "introduction", "Увод"), (1, "other", "Край"), *[(i, "smr_technology", t) for i, t in enumerate(technologies, 2)]]
+    # of equal names that of the section; a page without a list has those of the whole page
+    assert {r.k: "второ" in r.plain_text for r in got if r.k and r.title == technologies[0]} == {1: True, 2: False}
+    assert [t for *_, t in of(2)] == technologies and of(3) == of(6) == [(0, "other", "Цялото съдържание")] and not of(4) + of(5) + of(9)
+    # rows without a key are pages of their own
+    assert sorted(of(None)) == sorted([*of(2), *of(3)])
+
+
+def test_tables_of_each_text(spark):
+    texts = [["<table>1</table>", "", None, "<table>2"], [], None, ["x<table><table></table></table>"]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t array<string>").coalesce(1)
+    got = rows.select("t", places.table_spans_each(F.col("t")).alias("s")).collect()
+    one = {r.x: r.s for r in spark.createDataFrame([(x,) for t in texts for x in t or ()], "x string").select("x", places.table_spans(F.col("x")).alias("s")).collect()}
+    assert [r.s for r in got] == [None if t is None else [one[x] for x in t] for t in texts]
