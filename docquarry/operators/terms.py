@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.tables import settled, sorted_join
+
 #: Letters of the beginnings in the automaton, which is sent to all tasks.
 LETTERS = 1 << 21
 #: Letters that a beginning may have; the longest are taken that stay within LETTERS.
@@ -32,7 +34,8 @@ def standing(rows: DataFrame, text: str, terms: DataFrame, term: str, ok: Callab
     beginnings with their lengths, of about so many letters. Null and empty terms and null
     texts match nothing; repeated rows are matched each."""
     keys = keys or []
-    own = terms.select(F.col(term).cast("string").alias(term), *keys).filter(F.length(term) > 0).distinct()
+    # found once, as they are looked at several times
+    own = settled(terms.select(F.col(term).cast("string").alias(term), *keys).filter(F.length(term) > 0).distinct())
     head = lambda n: F.struct(F.left(term, F.lit(n)).alias("h"), F.length(term).alias("n"))
     sizes = own.agg(*[F.approx_count_distinct(head(n)).alias(f"_{n}") for n in HEADS]).first()
     most = next((n for n in HEADS if sizes[f"_{n}"] * n <= letters), HEADS[-1])
@@ -41,7 +44,7 @@ def standing(rows: DataFrame, text: str, terms: DataFrame, term: str, ok: Callab
         return rows.withColumn(term, F.lit("")).filter("false")
     sent = rows.sparkSession.sparkContext.broadcast([(r.h, r.n) for r in heads])
     at, schema = rows.columns.index(text), rows.select("*", F.lit("").alias(term)).schema
-    return rows.mapInArrow(_parts(sent, at, schema, ok), schema).join(own, [term, *keys]).select(*rows.columns, term)
+    return sorted_join(rows.mapInArrow(_parts(sent, at, schema, ok), schema), own, [term, *keys]).select(*rows.columns, term)
 
 
 def _parts(sent, at: int, schema, ok: Callable[[str, int, int], bool] | None):

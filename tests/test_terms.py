@@ -59,3 +59,23 @@ def test_costly_rows_are_dealt_by_their_number(spark, monkeypatch):
 
     monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
     assert tables.spread(spark.range(0, 1000, 1, 6)).rdd.getNumPartitions() == 10
+
+
+def _sides(spark):
+    """Sides that Spark takes to be small, as tables of compressed files are: 16 bytes a row."""
+    own = spark.range(3000).select(F.format_string("EN 1%d+A1", "id").alias("search_term"))
+    cards = spark.range(6000).select(F.col("id").alias("ord"), F.format_string("БДС EN 1%d+A1:20%d", F.col("id") % 3000, F.when(F.col("id") < 3000, 12).otherwise(15)).alias("title"), F.when(F.col("id") < 3000, "90.92").otherwise("60.60").alias("status_code"))
+    return own, cards
+
+
+def _sent_whole(df):
+    df.collect()
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cards_and_terms_are_not_sent_through_the_driver(spark):
+    """They were broadcast, as Spark takes what is derived from a small file to be small."""
+    own, cards = _sides(spark)
+    got = citations.registry_match(own, cards)
+    assert not _sent_whole(got)
+    assert got.filter("title = concat('БДС ', search_term, ':2012') and status = 'replaced'").count() == got.count() == 3000
