@@ -79,3 +79,10 @@ def test_cards_and_terms_are_not_sent_through_the_driver(spark):
     got = citations.registry_match(own, cards)
     assert not _sent_whole(got)
     assert got.filter("title = concat('БДС ', search_term, ':2012') and status = 'replaced'").count() == got.count() == 3000
+
+
+def test_replaced_standards_are_not_sent_through_the_driver(spark):
+    own, cards = _sides(spark)
+    got = citations.registry_successor(citations.registry_match(own, cards), cards)
+    assert not _sent_whole(got)
+    assert got.filter("replaced_by = concat('БДС ', search_term, ':2015') and draft_version is null").count() == got.count() == 3000
