@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.tables import sorted_join
+
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in the given order (rising, nulls first). Rows of a null key
@@ -90,7 +92,7 @@ def ttl_split(refs: DataFrame, cache: DataFrame, key: str, now: Column, hours: i
     cache: key, status, checked_at, one row for each key."""
     age = now.cast("timestamp").cast("double") - F.col("checked_at").cast("timestamp").cast("double")
     fresh = (age < hours * 3600) & (F.col("status") != "unknown")
-    return refs.join(cache.select(key, "status", "checked_at"), key, "left").withColumn("state", F.when(F.coalesce(fresh, F.lit(False)), "fresh").otherwise("check"))
+    return sorted_join(refs, cache.select(key, "status", "checked_at"), key, "left").withColumn("state", F.when(F.coalesce(fresh, F.lit(False)), "fresh").otherwise("check"))
 
 
 def status_summary(results: DataFrame, status: Column) -> DataFrame:

@@ -86,3 +86,21 @@ def test_replaced_standards_are_not_sent_through_the_driver(spark):
     got = citations.registry_successor(citations.registry_match(own, cards), cards)
     assert not _sent_whole(got)
     assert got.filter("replaced_by = concat('БДС ', search_term, ':2015') and draft_version is null").count() == got.count() == 3000
+
+
+def test_references_and_their_cache_are_not_sent_through_the_driver(spark):
+    """Only the years and months that are cited are: there are few."""
+    own, cards = _sides(spark)
+    standards = own.select(F.concat(F.lit("БДС "), "search_term").alias("normalized"), F.lit("standard").alias("ref_type"), "search_term")
+    rules = spark.range(300).select(F.format_string("Наредба № %d от 01.03.2015 г.", "id").alias("normalized"), F.lit("regulation").alias("ref_type"), F.lit("").alias("search_term"))
+    none = F.lit(None).cast("string")
+    refs = standards.unionByName(rules).withColumns({"extracted_title": none, "inline_description": none})
+    cache = own.filter("search_term like '%5+A1'").select(F.concat(F.lit("БДС "), "search_term").alias("reference_key"), F.lit("valid").alias("status"), F.lit("2024-01-30 12:00:00").alias("checked_at"))
+    listing = spark.range(0, 300, 2).select(F.col("id").alias("ord"), F.format_string("НАРЕДБА № %d ОТ 1 МАРТ 2015 Г.", "id").alias("title"), F.format_string("/%d", "id").alias("url"))
+    got = citations.validate(refs, cache, cards, listing, F.lit("2024-01-31 00:00:00"))
+    rows = got.groupBy("ref_type", "status", "cached", F.col("replaced_by").isNotNull().alias("new")).count().collect()
+    seen = {(r.ref_type, r.status, r.cached, r.new): r["count"] for r in rows}
+    assert seen == {("standard", "valid", True, False): 300, ("standard", "replaced", False, True): 2700, ("regulation", "valid", False, False): 150, ("regulation", "unknown", False, False): 150}
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert all("year" in line for line in plan if "BroadcastHashJoin" in line)
